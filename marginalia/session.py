@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +46,20 @@ def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from there: a lost executor loses nothing."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers, once per application, unless a local session finds it by PYTHONPATH."""
+    root = Path(__file__).resolve().parent.parent
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED or context.master.startswith("local") and str(root) in os.environ.get("PYTHONPATH", "").split(":"):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="marginalia-")) / "marginalia.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted((root / "marginalia").rglob("*.py")):
+            out.write(file, file.relative_to(root))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
