@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marginalia.llm import encoding, near_copies
+from marginalia.llm import encoding, near_copies, shared_spans
 from marginalia.sources.tables import table
 
 
@@ -18,9 +19,24 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.groups(table(spark, sf_dir, "text_docs", "text_no", "text"), "text_no", "text").toDF("text_no", "group_no", "links")
 
 
+def _texts_and_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, no, text) of lesson texts and code blocks."""
+    texts = table(spark, sf_dir, "text_docs", "text_no", "text").select(F.lit("text_docs").alias("src"), F.col("text_no").alias("no"), "text")
+    blocks = table(spark, sf_dir, "code_blocks", "block_no", "code").select(F.lit("code_blocks").alias("src"), F.col("block_no").alias("no"), F.col("code").alias("text"))
+    return texts.unionByName(blocks)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.found(_texts_and_code(spark, sf_dir)).toDF("src_table", "record_no")
+
+
+def p2_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.coverage(_texts_and_code(spark, sf_dir)).toDF("src_table", "record_no", "chars", "shared_chars", "spans")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_groups": p1_groups, "p7_ids": p7_ids}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_coverage": p2_coverage, "p7_ids": p7_ids}
 SQL: dict[str, str] = {}
