@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import encoding, near_copies, shared_spans
+from marginalia.llm import encoding, layout_copies, near_copies, shared_spans
 from marginalia.sources.tables import table
 
 
@@ -34,9 +34,17 @@ def p2_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.coverage(_texts_and_code(spark, sf_dir)).toDF("src_table", "record_no", "chars", "shared_chars", "spans")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout_copies.found(table(spark, sf_dir, "code_blocks", "block_no", "code"), "block_no", "code").toDF("first_no", "copy_no")
+
+
+def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout_copies.counts(table(spark, sf_dir, "code_blocks", "block_no", "code"), "block_no", "code").toDF("first_no", "copies")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_coverage": p2_coverage, "p7_ids": p7_ids}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_coverage": p2_coverage, "p5_found": p5_found, "p5_counts": p5_counts, "p7_ids": p7_ids}
 SQL: dict[str, str] = {}
