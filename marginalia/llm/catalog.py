@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import encoding, layout_copies, near_copies, shared_spans
+from marginalia.llm import encoding, layout_copies, look_alikes, near_copies, shared_spans
 from marginalia.sources.tables import table
 
 
@@ -42,9 +42,21 @@ def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout_copies.counts(table(spark, sf_dir, "code_blocks", "block_no", "code"), "block_no", "code").toDF("first_no", "copies")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return look_alikes.found(_texts_and_code(spark, sf_dir)).toDF("src_table", "no_a", "no_b")
+
+
+def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in its consistent form."""
+    raw = table(spark, sf_dir, "code_blocks", "block_no", "raw_code").select(F.lit("code_blocks").alias("src"), F.col("block_no").alias("no"), F.col("raw_code").alias("text"))
+    named = _texts_and_code(spark, sf_dir).withColumn("field", F.when(F.col("src") == "text_docs", "text").otherwise("code"))
+    both = named.unionByName(raw.withColumn("field", F.lit("raw_code")))
+    return both.select(F.col("src").alias("src_table"), "no", "field", look_alikes.unify(F.col("text")).alias("form")).distinct()
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_coverage": p2_coverage, "p5_found": p5_found, "p5_counts": p5_counts, "p7_ids": p7_ids}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_coverage": p2_coverage, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_forms": p6_forms, "p7_ids": p7_ids}
 SQL: dict[str, str] = {}
