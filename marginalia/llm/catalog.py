@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import encoding, layout_copies, look_alikes, near_copies, shared_spans
+from marginalia.llm import encoding, layout_copies, look_alikes, near_copies, packing, shared_spans
+from marginalia.session import cut
 from marginalia.sources.tables import table
 
 
@@ -58,5 +59,19 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_coverage": p2_coverage, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_forms": p6_forms, "p7_ids": p7_ids}
+def p8_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document (or piece of one larger than the capacity) for each window of token_windows."""
+    windows = {r.window_name: r.capacity for r in table(spark, sf_dir, "token_windows", "window_name", "capacity").collect()}
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    sizes = cut(docs.select("doc_id", encoding.count_column(F.col("text")).alias("tokens")))
+    return packing.pack(sizes, "doc_id", "tokens", windows)
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per window the containers, the tokens in them and the share of room used."""
+    by = p8_assign(spark, sf_dir).groupBy("window_name", "capacity").agg((F.max("container_no") + 1).alias("containers"), F.sum("tokens").alias("tokens"))
+    return by.withColumn("used", F.col("tokens") / (F.col("containers") * F.col("capacity")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_coverage": p2_coverage, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_forms": p6_forms, "p7_ids": p7_ids, "p8_assign": p8_assign, "p8_fill": p8_fill}
 SQL: dict[str, str] = {}
