@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import encoding, layout_copies, look_alikes, near_copies, packing, shared_spans
+from marginalia.llm import encoding, languages, layout_copies, look_alikes, near_copies, packing, shared_spans
 from marginalia.session import cut
 from marginalia.sources.tables import table
 
@@ -73,5 +73,21 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.withColumn("used", F.col("tokens") / (F.col("containers") * F.col("capacity")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_coverage": p2_coverage, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_forms": p6_forms, "p7_ids": p7_ids, "p8_assign": p8_assign, "p8_fill": p8_fill}
+def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str, str, str]:
+    return table(spark, sf_dir, "documents", "doc_id", "text", "lang"), "doc_id", "text", "lang"
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.found(*_labelled(spark, sf_dir))
+
+
+def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.documents(*_labelled(spark, sf_dir))
+
+
+def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.segments(*_labelled(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_coverage": p2_coverage, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_forms": p6_forms, "p7_ids": p7_ids, "p8_assign": p8_assign, "p8_fill": p8_fill, "p9_found": p9_found, "p9_documents": p9_documents, "p9_segments": p9_segments}
 SQL: dict[str, str] = {}
