@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import encoding, languages, layout_copies, look_alikes, near_copies, packing, shared_spans
+from marginalia.llm import encoding, languages, layout_copies, look_alikes, near_copies, packing, residue, shared_spans
 from marginalia.session import cut
 from marginalia.sources.tables import table
 
@@ -35,6 +35,17 @@ def p2_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.coverage(_texts_and_code(spark, sf_dir)).toDF("src_table", "record_no", "chars", "shared_chars", "spans")
 
 
+def p4_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with residue, its kinds, its share of the value and whether the record is left out."""
+    parts = [("courses", "course_dir", "short_description", False), ("lessons_meta", "lesson_id", "description_html", True), ("text_docs", "text_id", "text", False)]
+    records = [table(spark, sf_dir, name, key, field).select(F.lit(name).alias("src"), F.col(key).alias("key"), F.col(field).alias("value"), F.lit(markup).alias("markup")) for name, key, field, markup in parts]
+    return residue.cases(records[0].unionByName(records[1]).unionByName(records[2])).withColumnsRenamed({"src": "src_table", "key": "row_key"})
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_cases(spark, sf_dir).select("src_table", "row_key")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout_copies.found(table(spark, sf_dir, "code_blocks", "block_no", "code"), "block_no", "code").toDF("first_no", "copy_no")
 
@@ -89,5 +100,5 @@ def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.segments(*_labelled(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_coverage": p2_coverage, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_forms": p6_forms, "p7_ids": p7_ids, "p8_assign": p8_assign, "p8_fill": p8_fill, "p9_found": p9_found, "p9_documents": p9_documents, "p9_segments": p9_segments}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_coverage": p2_coverage, "p4_found": p4_found, "p4_cases": p4_cases, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_forms": p6_forms, "p7_ids": p7_ids, "p8_assign": p8_assign, "p8_fill": p8_fill, "p9_found": p9_found, "p9_documents": p9_documents, "p9_segments": p9_segments}
 SQL: dict[str, str] = {}

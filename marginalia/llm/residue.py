@@ -1,0 +1,207 @@
+"""Problem 4: template residue, filler, error pages and script notices in place of content.
+
+A value is cut into units (lines, blocks of markup, sentences). One automaton finds all phrases of error pages, script
+notices and fillers, in several languages, in one pass over the text; a unit is residue if phrases cover most of its
+letters and one of them is decisive, so that a sentence that merely speaks about such a thing has too little coverage.
+Unfilled template parts and values rendered from nothing are found by their syntax, unless the sentence talks
+about syntax. Lines of invented Latin and of keys struck at random are told by their words. What a unit
+is, is judged in the consistent form of look-alikes, with quoted code masked.
+
+A record is a case if one unit is. `share` is the part of a value's letters in such units, `exclude` says that it is at
+least EXCLUDE. Null, blank and tag-only values are no cases.
+"""
+
+from __future__ import annotations
+
+import functools
+import html
+import re
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from marginalia.llm.look_alikes import uniform
+
+COVERAGE = 0.7
+EXCLUDE = 0.5
+
+# Phrases that decide, by kind.
+ERRORS = """
+page not found; not found; page introuvable; page non trouvée; página no encontrada; página não encontrada; pagina non trovata; pagina niet gevonden; seite nicht gefunden; nie znaleziono strony; strona nie istnieje; страница не найдена; доступ запрещен; доступ запрещён; ошибка сервера; сервис недоступен; сервис временно недоступен
+forbidden; access denied; permission denied; unauthorized; bad request; bad gateway; gateway timeout; gateway time-out; service unavailable; service temporarily unavailable; internal server error; too many requests; request timeout; method not allowed; gone; not acceptable; not here
+accès refusé; accès interdit; acceso denegado; acesso negado; accesso negato; zugriff verweigert; toegang geweigerd; odmowa dostępu; brak dostępu
+dienst zurzeit nicht erreichbar; dienst nicht verfügbar; interner serverfehler; erreur interne du serveur; service indisponible; service temporairement indisponible; servicio no disponible; error interno del servidor; serviço indisponível; erro interno do servidor; servizio non disponibile; errore interno del server; dienst niet beschikbaar; interne serverfout; usługa niedostępna; błąd serwera; wewnętrzny błąd serwera; внутренняя ошибка сервера
+something broke on our side; something went wrong; an unexpected error occurred; an error occurred; nothing lives at this address; the gateway gave up waiting; the upstream server gave no usable answer; upstream timed out while reading the response; the content store did not respond; could not connect to the content store; template not found; an unexpected condition stopped the renderer; the service is down for maintenance; access to this resource is denied; you are not allowed to open this lesson; this content has been moved or no longer exists; rate limit reached for your address; slow down; failed to render partial; cannot read property; failed to render; could not be loaded; cannot be displayed; could not be found; cannot be found; does not exist; no longer exists; is gone; your session has run out; your session has expired; sign in again to see the page; log in to read on; please log in; sign in to continue; we are checking your browser; checking your browser before; verify that you are not a robot; verify you are human; just a moment while we; something broke
+etwas ist schiefgelaufen; une erreur est survenue; algo salió mal; algo deu errado; qualcosa è andato storto; er is iets misgegaan; coś poszło nie tak; что-то пошло не так; ist ein fehler aufgetreten; wartungsarbeiten; en maintenance; en mantenimiento; em manutenção; in manutenzione
+loading
+"""
+SCRIPTS = """
+javascript; js; scripting; scripts; client-side code; javascript is disabled; javascript is required; javascript is turned off; your browser does not run scripts; scripting is switched off; without script support only this notice can be displayed; if nothing happens, unblock scripts for this site
+activez les scripts; activez javascript; activer javascript; activa los scripts; activa javascript; activar javascript; habilite javascript; habilita javascript; ative o javascript; ative os scripts; ativar javascript; attiva javascript; attiva gli script; abilita javascript; aktivieren sie javascript; javascript aktivieren; schalten sie javascript ein; schakel javascript in; zet javascript aan; schakel scripts in; włącz javascript; włącz obsługę javascript; włącz skrypty; включите javascript; включите скрипты
+"""
+FILLERS = """
+coming soon; próximamente; prossimamente; em breve; demnächst; bientôt disponible; binnenkort beschikbaar; wkrótce; скоро; скоро будет; tba; tbd; t.b.d.; t.b.a.; tbc; tk; wip; todo; fixme; n.n.; xxx; lorem; lorem ipsum; dolor sit amet; consectetur adipiscing elit; placeholder; platzhalter; marcador de posición; espaço reservado; segnaposto; tijdelijke tekst; tekst zastępczy; заполнитель; placeholder text; to be written; to be announced; to be defined; to be done; to be completed; work in progress
+texte à venir; à compléter; à venir; à rédiger; por completar; texto pendiente; a completar; texto a definir; da completare; testo in arrivo; in te vullen; nog in te vullen; tekst volgt; do uzupełnienia; tekst w przygotowaniu; здесь будет текст; текст будет позже; noch kein text vorhanden; text folgt; inhalt folgt; folgt in kürze
+content pending review; content to follow; more to come; copy goes in here later; goes in here later; empty on purpose; author will deliver; no content yet; no description; no text yet; missing paragraph; write this; title / subtitle / body; this is a sample sentence; one two three four; some text here; sample paragraph; sample text; replace before publishing; body copy; headline follows; dummy line; dummy text; text text text; blah blah; bla bla; test test; asdf; qwerty; foo bar baz; insert text here; your text here; write something here; under construction
+"""
+# Phrases that go with them, without deciding.
+COMPANIONS = """
+error; status; code; http; erreur; fehler; errore; erro; fout; błąd; ошибка; sorry; we are sorry; oops; hmm; fatal; please; the page you; the lesson you; the document you; the file you; the view you; the content you; asked for; are looking for; tried to open; requested; you; this app; this player; the course viewer; our site; this site; this page; this lesson; this website; requires; needs; depends on; cannot work without; does not work without; you need to; you must; to go on; enable; activate; allow; turn on; switch on; unblock; and cookies; in your browser; for this site; to continue; to view this page; and reload; the content stays hidden until you switch it on; so the lesson cannot be shown; if nothing happens; timeout; this takes about; seconds; body of nothing; property; lesson.body; for your address; on our side; draft; content; text; page; server
+pour continuer; de votre navigateur; dans votre navigateur; para ver esta lección; para continuar; en tu navegador; en su navegador; bitte; um fortzufahren; in ihrem browser; per continuare; nel browser; no seu navegador; no navegador; om door te gaan; in je browser; in uw browser; aby kontynuować; w przeglądarce; чтобы продолжить; в браузере; пожалуйста; test; blah; bla; later; here; follow; the; of; to; a; is; are; be; and; or
+"""
+
+
+@functools.cache
+def automaton():
+    """All phrases in their consistent form; the payload is (length, kind or None)."""
+    import ahocorasick
+
+    built = ahocorasick.Automaton()
+    for kind, text in ((None, COMPANIONS), ("filler", FILLERS), ("script", SCRIPTS), ("error", ERRORS)):
+        for phrase in re.split(r"[;\n]", text):
+            phrase = uniform(phrase).strip().lower()
+            if phrase:
+                built.add_word(phrase, (len(phrase), kind))
+    built.make_automaton()
+    return built
+
+
+_NAME = r"[A-Za-z][\w .\-]*"
+# Placeholders of common template languages and of authors.
+TEMPLATE = re.compile(
+    rf"""\{{\{{\s*[.#/^&>]?\s*{_NAME}(?:\s*\|[^{{}}]*)?\s*\}}\}}|\{{%-?\s*{_NAME}[^%]*%\}}|<%[=\-#]?\s*{_NAME}[^%]*%>|\[%\s*{_NAME}[^%]*%\]|\$\{{\s*{_NAME}\s*\}}|\{{\d+\}}|\{{{_NAME}\}}
+    |\[\[\s*{_NAME}\s*\]\]|@@\s*{_NAME}\s*@@|\b__[A-Z][A-Z0-9_]*[A-Z0-9]__\b|(?<![\w%])%[A-Z][A-Z0-9_]+%|(?<![\w%])%(?:\d+\$)?[sd](?!\w)
+    |\[(?:insert|enter|add|your|type)\s[^\[\]\n]{{2,60}}\]|\[[^\[\]\n]{{2,60}}\s(?:goes|comes|go)\shere\]|\[[^\[\]\n]{{2,40}}\shere\]|<(?:enter|insert|your|add|type)\s[^<>\n]{{2,60}}>
+    |\((?:add|insert|enter)\s(?:the\s|your\s)?[A-Za-z][\w ]{{2,30}}\)|\bXXX\s[^\n]{{2,40}}?\sXXX\b|\bYOUR(?:\s[A-Z]+){{1,4}}\sHERE\b|<!--[^>]*\b(?:here|todo|tbd|lead|text|placeholder)\b[^>]*-->""".replace("\n    ", ""),
+    re.I,
+)
+_CASED = re.compile(r"\b__[A-Z]|%[A-Z][A-Z0-9_]+%|XXX|YOUR")
+# Values rendered from nothing.
+HOLES = re.compile(r"\[object Object\]|#(?:REF|VALUE|NAME|NUM|NULL|DIV/0)[!?]|#N/A|\b(?:of|to|by|for|know|takes?|with|about|named|called|dear|hello)\s+(?:undefined|null|None|NaN)\b|\b(?i:hello|hi|dear|welcome to|learn|learn about)\s+[,.!:](?=\s|$)")
+# Words of sentences that talk about such syntax.
+ABOUT = re.compile(r"\b(?:expressions?|expands?|braces|brackets|parameters?|variables?|syntax|format string|mistypes?|notation|escapes?|literal(?:ly)?|mode field|marks?|is filled in|are filled in|fills? (?:it|one|them) in|differs?|placeholders? (?:is|are|password)|replace\s+\S+\s+with|stands? for|environment)\b", re.I)
+_CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`", re.S)
+_TAG = re.compile(r"</?(?:p|br|div|h[1-6]|li|ul|ol|tr|td|th|table|section|article|pre|blockquote|header|footer|hr)\b[^>]*>", re.I)
+_INLINE = re.compile(r"</?[a-zA-Z][^<>]*>")
+_COMMENT = re.compile(r"<!--.*?-->", re.S)
+_UNIT = re.compile(r"""\S.*?[.!?…。]+(?=["'»”)\]]*(?:\s|$))["'»”)\]]*|\S.*""")
+_WORD = re.compile(r"[^\W\d_]+")
+_KEYS = re.compile(r"[qwertyuiopasdfghjkl]+")
+_CLASH = re.compile(r"q(?!u)|[^aeiouy]{4}|[jq]$|(?:uj|yj|jy|wq|qk|fk|gj|jf|kj|jg|lj|jl|jk|kq|wg|rw|gw|fj|yy|aa|uu|ii|ww)|^rf|[^aeiouyh][^aeiouysth][^aeiouys]$")
+_LATIN = re.compile(r".*(?:atur|antur|ibus|que|unt|ere|ent|int|us|um|em|am|im|ae|is|it|at|ut|os|as|es|et|o|i|a|or|ar)$")
+_STRONG_LATIN = re.compile(r".*(?:atur|antur|ibus|que|unt|ere|ent|us|um|em|ae|is|it)$")
+_FUNCTION = frozenset("the and of to in a is that for with on at by from this der die das und ist wird den le la les des et est une un el los las y que se de del il lo gli di che si da o e em os as do da um uma het een van en op i w na z do się jest nie w и в на не что это он с по".split()) - {"et", "in", "is", "o", "i", "a", "que", "se", "e", "as", "os", "do", "da"}
+
+
+def _is_mash(words: list[str], text: str) -> bool:
+    letters = "".join(words)
+    return len(words) >= 3 and len(letters) >= 10 and not _FUNCTION.intersection(words) and letters == letters.lower() and _KEYS.fullmatch(letters) is not None and not re.search(r"\d", text) and sum(bool(_CLASH.search(w)) for w in words) >= max(1, len(words) // 4)
+
+
+def _is_latin(words: list[str]) -> bool:
+    low = [w.lower() for w in words]
+    return len(low) >= 5 and all(w.isascii() for w in low) and not _FUNCTION.intersection(low) and sum(bool(_LATIN.match(w)) for w in low) >= 0.9 * len(low) and sum(bool(_STRONG_LATIN.match(w)) for w in low) >= 0.5 * len(low)
+
+
+def visible(value: str, markup: bool) -> str:
+    """Text as a reader has it, one line a block; comments that may hold notes stay as lines."""
+    if not markup:
+        return value
+    notes = "\n".join(m[0].replace("\n", " ") for m in _COMMENT.finditer(value))
+    text = _INLINE.sub("", _TAG.sub("\n", _COMMENT.sub(" ", value)))
+    return html.unescape(text) + ("\n" + notes if notes else "")
+
+
+def units(value: str | None, markup: bool = False) -> list[tuple[str, str | None]]:
+    """(unit, kind) of the units of a value; kind is template, hole, filler, error, script or None."""
+    if not value or not value.strip():
+        return []
+    text = uniform(visible(value, markup))
+    text = _CODE.sub(lambda m: " " * len(m[0]), text)
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    hits = []
+    for end, (size, kind) in automaton().iter(low):
+        start = end + 1 - size
+        if (start and low[start - 1].isalnum() and low[start].isalnum()) or (end + 1 < len(low) and low[end + 1].isalnum() and low[end].isalnum()):
+            continue
+        hits.append((start, end + 1, kind))
+    hits.sort()
+    out: list[tuple[str, str | None]] = []
+    at, k = 0, 0
+    for line in text.split("\n"):
+        for m in _UNIT.finditer(line):
+            a, b = at + m.start(), at + m.end()
+            unit = m[0]
+            while k < len(hits) and hits[k][0] < a:
+                k += 1
+            mine = []
+            j = k
+            while j < len(hits) and hits[j][0] < b:
+                if hits[j][1] <= b:
+                    mine.append(hits[j])
+                j += 1
+            out.append((unit, _kind(unit, a, mine)))
+        at += len(line) + 1
+    return out
+
+
+def _kind(unit: str, a: int, hits: list[tuple[int, int, str | None]]) -> str | None:
+    for m in TEMPLATE.finditer(unit):
+        token = m[0]
+        if token.startswith(("__", "%", "XXX", "YOUR", "xxx", "your")) and not re.match(r"%(?:\d+\$)?[sd]$", token) and not _CASED.match(token):
+            continue
+        if re.fullmatch(r"(?:\{\{|\[\[)\s*(?:and|or|to)\s*(?:\}\}|\]\])", token):
+            continue
+        if not ABOUT.search(unit):
+            return "template"
+    if HOLES.search(unit) and not ABOUT.search(unit):
+        return "hole"
+    if unit.strip() in ("[ ]", "[]", "[…]", "[...]"):
+        return "filler"
+    words = _WORD.findall(unit)
+    if _is_mash(words, unit) or _is_latin(words):
+        return "filler"
+    decisive = {kind for _, _, kind in hits if kind}
+    if not decisive or unit.rstrip().endswith("?"):
+        return None
+    if decisive & {"filler"} and re.match(r"lorem ipsum(?! generator)\b", unit, re.I) and not _FUNCTION.intersection(w.lower() for w in words):
+        return "filler"
+    covered = bytearray(len(unit))
+    for start, end, _ in hits:
+        covered[start - a : end - a] = b"\1" * (end - start)
+    letters = [i for i, c in enumerate(unit) if c.isalpha()]
+    if letters and sum(covered[i] for i in letters) >= COVERAGE * len(letters):
+        return min(decisive)
+    return None
+
+
+RESULT = T.StructType([T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("share", T.DoubleType())])
+
+
+def residue_column(value: Column, markup: bool = False) -> Column:
+    """struct<kinds array<string>, share double> of a string column."""
+
+    def judge(a: pa.Array) -> pa.Array:
+        kinds, shares = [], []
+        for v in a.to_pylist():
+            parts = units(v, markup)
+            sizes = [sum(c.isalnum() for c in u) for u, _ in parts]
+            kinds.append(sorted({k for _, k in parts if k}))
+            shares.append(round(sum(n for n, (_, k) in zip(sizes, parts, strict=True) if k) / max(1, sum(sizes)), 6))
+        return pa.StructArray.from_arrays([pa.array(kinds, pa.list_(pa.string())), pa.array(shares, pa.float64())], ["kinds", "share"])
+
+    return F.arrow_udf(judge, RESULT)(value)
+
+
+def cases(records: DataFrame) -> DataFrame:
+    """(src, key, kinds, share, exclude) of the records (src, key, value, markup) that hold residue; repeated rows count once."""
+    rows = records.where("value is not null and key is not null").select("src", "key", "value", "markup").distinct()
+    plain = rows.where("not markup").withColumn("found", residue_column(F.col("value")))
+    marked = rows.where("markup").withColumn("found", residue_column(F.col("value"), markup=True))
+    both = plain.unionByName(marked).where(F.size("found.kinds") > 0)
+    by = both.groupBy("src", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("found.kinds")))).alias("kinds"), F.max("found.share").alias("share"))
+    return by.withColumn("exclude", F.col("share") >= EXCLUDE)
