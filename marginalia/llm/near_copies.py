@@ -40,7 +40,7 @@ THRESHOLD = 0.8
 MIN_WORDS = 50
 SEGMENTS = 4096
 BOUND = 32
-SPARE = 1.3
+SPARE = 1.15
 
 
 def fingerprints(docs: DataFrame, key: str, text: str, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
@@ -94,7 +94,7 @@ def class_radius(cls: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def cells(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(cell, no, cls, radius): for each record and class it enters one row a group."""
+    """(cell, no, cls): for each record and class it enters one row a group."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -115,9 +115,9 @@ def cells(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                     of = np.repeat(np.arange(len(n)), groups)
                     group = np.arange(first[-1]) - first[of]
                     cell = hashing.mix(sums + hashing.mix(cls[of].astype(np.uint64) * np.uint64(1 << 32) + group.astype(np.uint64) + np.uint64(1)))
-                    yield pa.record_batch({"cell": pa.array(cell.view(np.int64)), "no": pa.array(no[of]), "cls": pa.array(cls[of].astype(np.int16)), "radius": pa.array(radius[of].astype(np.int32))})
+                    yield pa.record_batch({"cell": pa.array(cell.view(np.int64)), "no": pa.array(no[of]), "cls": pa.array(cls[of].astype(np.int16))})
 
-    return records.select("no", "n", "runs").mapInArrow(batches, "cell bigint, no bigint, cls smallint, radius int")
+    return records.select("no", "n", "runs").mapInArrow(batches, "cell bigint, no bigint, cls smallint")
 
 
 def distance(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -131,7 +131,9 @@ def similar(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     grid = cells(records, threshold)
     often = grid.groupBy("cell").agg(F.count("*").alias("often"))
     ranked = grid.join(often, "cell").withColumn("rank", F.row_number().over(Window.partitionBy("no", "cls").orderBy("often", "cell")))
-    rare = ranked.where("rank <= radius + 1 and often > 1").select("cell", "no")
+    # The size classes are few: up to the logarithm of the longest text.
+    radius = F.create_map(*[F.lit(int(x)) for k in range(-1, 120) for x in (k, class_radius(np.array([k]), threshold)[0])])
+    rare = ranked.where((F.col("rank") <= radius[F.col("cls").cast("int")] + 1) & (F.col("often") > 1)).select("cell", "no")
     rare = rare.join(records.select("no", "n", "bound"), "no")
     one = rare.select("cell", *(F.col(c).alias(f"{c}_a") for c in ("no", "n", "bound")))
     two = rare.select("cell", *(F.col(c).alias(f"{c}_b") for c in ("no", "n", "bound")))
@@ -148,10 +150,13 @@ def similar(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(members, records): (no, rep) of every record with a fingerprint, and one record for each set of runs; both written to the shared folder."""
-    prints = cut(fingerprints(docs, key, text))
-    reps = prints.groupBy("same").agg(F.min("no").alias("rep"))
-    members = prints.select("no", "same").distinct().join(reps, "same").select("no", "rep")
-    return cut(members), prints.join(members.where("no = rep").select("no"), "no").dropDuplicates(["no"]).select("no", "n", "bound", "runs")
+    prints = fingerprints(docs, key, text)
+    digests = prints.select("no", "same").distinct()
+    reps = digests.groupBy("same").agg(F.min("no").alias("rep"))
+    members = cut(digests.join(reps, "same").select("no", "rep"))
+    # The sets are made again rather than kept from the first pass: that is cheaper than to write them twice.
+    firsts = prints.join(members.where("no = rep").select("no"), "no").dropDuplicates(["no"])
+    return members, cut(firsts.select("no", "n", "bound", "runs"))
 
 
 def all_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -190,7 +195,7 @@ def components(pairs: DataFrame, rounds: int = 40) -> DataFrame:
 def groups(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(no, group_no, links) of every record with a fingerprint: the smallest record of its group and how many records it is similar to."""
     members, records = classes(docs, key, text)
-    pairs = cut(similar(cut(records)).select("a", "b"))
+    pairs = cut(similar(records).select("a", "b"))
     roots = components(pairs)
     copies = members.groupBy("rep").agg(F.count("*").alias("copies"))
     sides = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -202,4 +207,4 @@ def groups(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def found(docs: DataFrame, key: str, text: str) -> DataFrame:
     members, records = classes(docs, key, text)
-    return all_pairs(members, similar(cut(records)))
+    return all_pairs(members, similar(records))
