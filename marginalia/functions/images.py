@@ -31,7 +31,7 @@ def parsed(ref: Column | str) -> Column:
     """struct<registry, repository, reference>; null without a namespace. The reference is the digest, else the tag, else latest."""
     repo = repository(ref)
     return F.when(
-        repo.rlike("^[^/]+/[^/]+"),
+        repo.rlike("^[^/]+/[^/]+/."),
         F.struct(F.substring_index(repo, "/", 1).alias("registry"), F.regexp_replace(repo, "^[^/]+/", "").alias("repository"), F.coalesce(pinned(ref), tag(ref), F.lit("latest")).alias("reference")),
     )
 

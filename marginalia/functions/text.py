@@ -5,14 +5,14 @@ Blanks are the set BLANKS (that of ECMAScript), not Java's: a no-break space at
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterable
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marginalia.functions import hashing
+
 # Fixed value: the characters that count as blanks, as the inside of a class of a regular expression.
 BLANKS = r"\t\n\x{0b}\x{0c}\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 # The same without the line feed.
@@ -92,19 +92,25 @@ def line_and_column(text: Column | str, offset: Column) -> Column:
     return F.struct(F.size(F.split(before, "\n")).alias("line"), (F.length(F.element_at(F.split(before, "\n"), -1)) + 1).alias("column"))
 
 
-def _digests(parts: Iterable[list[str] | None], n: int) -> pa.Array:
-    out = []
-    for ws in parts:
-        ws = ws or []
-        runs = {" ".join(ws[i : i + n]) for i in range(len(ws) - n + 1)}
-        out.append([int.from_bytes(hashlib.blake2b(r.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for r in runs])
-    return pa.array(out, pa.list_(pa.int64()))
-
-
-def shingles(word_array: Column | str, n: int = 5) -> Column:
-    """array<bigint>: hashes of the distinct runs of n words; empty for fewer words or null."""
-
-    def hashes(a: pa.Array) -> pa.Array:
-        return _digests(a.to_pylist(), n)
-
-    return F.arrow_udf(hashes, T.ArrayType(T.LongType()))(_column(word_array))
+def run_sets(c: Column | str, n: int = 5) -> Column:
+    """struct<words int, runs array<bigint>>: number of words, and sorted hashes of the distinct runs of n words; null is empty."""
+
+    def sets(a: pa.Array) -> pa.Array:
+        texts = [t or "" for t in a.to_pylist()]
+        words, parts, sizes = [], [], []
+        for x, y in hashing.slices(texts):
+            hashes, owner = hashing.word_hashes(texts[x:y])
+            words.append(np.bincount(owner, minlength=y - x))
+            runs, owner = hashing.runs(hashes, owner, n)
+            order = np.lexsort((runs, owner))
+            runs, owner = runs[order], owner[order]
+            fresh = np.ones(len(runs), bool)
+            fresh[1:] = (runs[1:] != runs[:-1]) | (owner[1:] != owner[:-1])
+            parts.append(runs[fresh])
+            sizes.append(np.bincount(owner[fresh], minlength=y - x))
+        ends = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))) if sizes else np.zeros(1, np.int64)
+        flat = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+        runs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(words) if words else [], pa.int32()), runs], ["words", "runs"])
+
+    return F.arrow_udf(sets, T.StructType([T.StructField("words", T.IntegerType()), T.StructField("runs", T.ArrayType(T.LongType()))]))(_column(c))

@@ -17,9 +17,9 @@ THRESHOLD = 0.8
 
 
 def documents(docs: DataFrame, key: str, body: str, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, words, runs) of the texts with enough words; null texts have none."""
-    rows = docs.select(F.col(key).alias("id"), text.words(F.col(body)).alias("words")).where(F.size("words") >= min_words)
-    return rows.withColumn("runs", text.shingles("words", run))
+    """(id, runs) of the texts with enough words; null texts have none."""
+    rows = docs.select(F.col(key).alias("id"), text.run_sets(F.col(body), run).alias("s"))
+    return rows.where(F.col("s.words") >= min_words).select("id", "s.runs")
 
 
 def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -333,8 +333,8 @@ SQL = {
     "block_regex_flags": _flag_sql(),
     "prompt_lines": rf"WITH {_KIND} SELECT block_no, len(list_filter(string_split(code, chr(10)), lambda x: regexp_matches(x, '^[\s\x0b]*(?:\[[^\]]*\][\s\x0b]*)?[$>](?:[\s\x0b]|$)') OR regexp_matches(x, '^[\s\x0b]*[\w.-]+(?:@[\w.-]+)?:[^\s\x0b]*[$#](?:[\s\x0b]|$)'))) AS prompts, regexp_matches(code, '\A[\s\x0b]*#!') AS script FROM kinded WHERE kind = 'shell'",
     "image_refs_distinct": f"""WITH {_BLOCKS}, {_REF_ROWS}, n AS (SELECT ref, count(*) AS blocks, {_repo('ref')} AS repo FROM refs GROUP BY ref)
-SELECT ref, blocks, repo, CASE WHEN regexp_matches(repo, '^[^/]+/[^/]+') THEN split_part(repo, '/', 1) END AS registry,
- CASE WHEN regexp_matches(repo, '^[^/]+/[^/]+') THEN coalesce(nullif(regexp_extract(ref, '@(sha256:[0-9a-f]+)$', 1), ''), nullif(regexp_extract(split_part(ref, '@', 1), ':([^:/]+)$', 1), ''), 'latest') END AS reference,
+SELECT ref, blocks, repo, CASE WHEN regexp_matches(repo, '^[^/]+/[^/]+/.') THEN split_part(repo, '/', 1) END AS registry,
+ CASE WHEN regexp_matches(repo, '^[^/]+/[^/]+/.') THEN coalesce(nullif(regexp_extract(ref, '@(sha256:[0-9a-f]+)$', 1), ''), nullif(regexp_extract(split_part(ref, '@', 1), ':([^:/]+)$', 1), ''), 'latest') END AS reference,
  coalesce(nullif(regexp_extract(split_part(ref, '@', 1), ':([^:/]+)$', 1), ''), 'latest') AS comparison_tag FROM n""",
     "pinned_refs": f"WITH {_BLOCKS} SELECT digest, count(*) AS sightings FROM (SELECT unnest(regexp_extract_all(code, 'sha256:[0-9a-f]{{16,64}}')) AS digest FROM blocks) GROUP BY digest",
     "block_urls": f"WITH {_BLOCKS}, {_urls(_URL_CODE)} SELECT block_no, url FROM urls",

@@ -46,7 +46,7 @@ def copy_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pair_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key and fingerprint of each pair."""
-    words = copies.documents(_docs(spark, sf_dir), "text_id", "text").select("id", "words")
+    words = _docs(spark, sf_dir).select(F.col("text_id").alias("id"), text.words("text").alias("words"))
     df = _pairs(spark, sf_dir).join(words.toDF("a", "words_a"), "a").join(words.toDF("b", "words_b"), "b")
     a, b = F.col("a"), F.col("b")
     return df.select(copies.pair_key(a, b).alias("key"), copies.pair_fingerprint(a, F.col("words_a"), b, F.col("words_b")).alias("fingerprint"))
