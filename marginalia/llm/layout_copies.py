@@ -7,7 +7,7 @@ their values, and the members of an object or mapping at any level. Elements of
 order. Structure serves sorting alone and leaves no mark, so that a mapping equals the object of the same words.
 
 A text is read as a JSON value if it begins like one, else as YAML if each of its lines is a key, a list item or a
-comment and no mapping repeats a key, else as lines of commands. Reading is tolerant: any quotes, blanks of any
+comment and no mapping repeats a key, else as lines of commands. Reading is tolerant: any quotes, full-width marks, blanks of any
 kind as indentation, stray indentation of the first line, unclosed brackets; YAML nested deeper than DEPTH is read as lines.
 
 Null texts and texts without a letter or digit belong to no group. Repeated rows are one block. Extra columns are ignored.
@@ -65,6 +65,12 @@ def flow_words(text: str) -> list[str]:
     return [w for p in stack[0][1] for w in p]
 
 
+# Marks of the full-width block read as the ordinary ones, and characters that show nothing.
+_MARKS = {0xFF00 + i: chr(0x20 + i) for i in range(1, 0x5F) if not chr(0x20 + i).isalnum()}
+_HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]+")
+_HIDDEN_INSIDE = re.compile(f"(?<=[^\\W_]){_HIDDEN.pattern}(?=[^\\W_])")
+
+
 class _Entry:
     __slots__ = ("indent", "item", "name", "open", "parts", "words")
 
@@ -192,6 +198,9 @@ def canonical(code: str | None) -> str | None:
     if not code or not _WORD.search(code):
         return None
     text = code.lower()
+    if not text.isascii():
+        # Structure alone: these characters only separate words, before and after.
+        text = _HIDDEN.sub("", _HIDDEN_INSIDE.sub(" ", text.translate(_MARKS)))
     start = text[_START.match(text).end() :]
     if start[:1] == "{" or (start[:1] == "[" and " --" not in start):
         return " ".join(flow_words(start))

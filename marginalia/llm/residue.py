@@ -89,15 +89,32 @@ _COMMENT = re.compile(r"<!--.*?-->", re.S)
 _UNIT = re.compile(r"""\S.*?[.!?…。]+(?=["'»”)\]]*(?:\s|$))["'»”)\]]*|\S.*""")
 _WORD = re.compile(r"[^\W\d_]+")
 _KEYS = re.compile(r"[qwertyuiopasdfghjkl]+")
-_CLASH = re.compile(r"q(?!u)|[^aeiouy]{4}|[jq]$|(?:uj|yj|jy|wq|qk|fk|gj|jf|kj|jg|lj|jl|jk|kq|wg|rw|gw|fj|yy|aa|uu|ii|ww)|^rf|[^aeiouyh][^aeiouysth][^aeiouys]$")
+# Consonants that begin and end words of the languages here; others tell of keys struck at random.
+_ONSETS = frozenset("bl br ch cl cr dr dw fl fr gh gl gr kn ph pl pr ps qu rh sc sh sk sl sm sn sp sq st sv sw th tr ts tw wh wr zw".split())
+_CODAS = frozenset("ck ct ds dt ff ft gh gs hr ht ks ld lf lk ll lm ln lp ls lt lz mb mp nd ng nk ns nt nz pf ps pt rd rf rg rk rl rm rn rp rs rt rz sh sk sm sp ss st th ts tt ws ys".split())
 _LATIN = re.compile(r".*(?:atur|antur|ibus|que|unt|ere|ent|int|us|um|em|am|im|ae|is|it|at|ut|os|as|es|et|o|i|a|or|ar)$")
 _STRONG_LATIN = re.compile(r".*(?:atur|antur|ibus|que|unt|ere|ent|us|um|em|ae|is|it)$")
 _FUNCTION = frozenset("the and of to in a is that for with on at by from this der die das und ist wird den le la les des et est une un el los las y que se de del il lo gli di che si da o e em os as do da um uma het een van en op i w na z do się jest nie w и в на не что это он с по".split()) - {"et", "in", "is", "o", "i", "a", "que", "se", "e", "as", "os", "do", "da"}
 
 
+def _is_odd(word: str) -> bool:
+    """Whether a word can hardly be said."""
+    if not re.search("[aeiouy]", word):
+        return len(word) > 1
+    begin, end = word[:2], word[-2:]
+    return (
+        (re.fullmatch("[^aeiouy]{2}", begin) is not None and begin not in _ONSETS)
+        or (re.fullmatch("[^aeiouy]{2}", end) is not None and end not in _CODAS)
+        or re.search("[^aeiouy]{4}|q(?!u)|[jq]$|aa|uu|ii|ww|yy|jj", word) is not None
+    )
+
+
 def _is_mash(words: list[str], text: str) -> bool:
+    """Three words or more of two rows of keys, in small letters, a third of which can't be said."""
     letters = "".join(words)
-    return len(words) >= 3 and len(letters) >= 10 and not _FUNCTION.intersection(words) and letters == letters.lower() and _KEYS.fullmatch(letters) is not None and not re.search(r"\d", text) and sum(bool(_CLASH.search(w)) for w in words) >= max(1, len(words) // 4)
+    if len(words) < 3 or len(letters) < 10 or _KEYS.fullmatch(letters) is None or re.search(r"\d", text) or _FUNCTION.intersection(words):
+        return False
+    return sum(map(_is_odd, words)) >= max(2, len(words) / 3)
 
 
 def _is_latin(words: list[str]) -> bool:

@@ -7,6 +7,7 @@ SAME = [
     ["$ kiln push --tag a:1 --quiet --org b pos reg.x/y:2", "> KILN push \\\n\t--org='b' \\  \n\n\t--quiet \\\r\n\t--tag=\"A :1\" \\\n  pos \\\n reg.x/y :2;", "kiln push pos --quiet --tag a:1 reg.x/y:2 --org b"],
     ['{"a": ["x", "y"], "b": {"c": "1", "d": "2"}}', "{\n\t'b' : {'d': '2',\n\n 'c': '1'},\n 'a' : ['x', 'y'],\n};\n…", "a:\n  - x\n  - y\nb:\n  c: 1\n  d: 2", "--- \r\nB: {d: 2, c: 1}  \r\nA: ['x', 'y']\r\n", "\tb:\n\t\td: '2'\n\t\tc: '1'\na:\n- x\n- y", "b:\n  d: 2\n  c: 1\na: [x,\n  y]"],
     ["list:\n  - k: 1\n    m: 2\n  - z", "list:\n  - m: 2\n    k: 1\n  - z", '{"list": [{"m": 2, "k": 1}, "z"]}'],
+    ["b： 1\nａ： 2\nc：［x， y］", "ａ: 2\n\u200bb: 1\nc:\n\ufeff  - x\n  \u2060- y"],
     ["x = 1\ny = 2", "X=1;\r\n\r\n  Y=2"],
     ["a --p 1 --q 2 && b --p 3", "a --q 2 --p 1 && b --p 3"],
 ]
@@ -19,6 +20,7 @@ DIFFERENT = [
     ("a:\n  - x\n  - y\nb: z", "a:\n  - y\n  - x\nb: z"),
     ("a:\n  c: 1\nb:\n  d: 2", "a:\n  d: 2\nb:\n  c: 1"),
     ("one two", "onetwo"),
+    ("one two: 1", "one\u200btwo2: 1"),
     ("cafe", "café"),
     ("ＡＢ", "ab"),
     ("ok: 1\nok: 2", "ok: 2\nok: 1"),
