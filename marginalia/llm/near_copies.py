@@ -8,8 +8,9 @@ d <= (|A| + |B|) (1 - t) / (1 + t); with sizes in one size class (ratio 1/t, a r
 below) that is at most r, a constant of the class. With g > r groups at least g - r cells are then equal, so a range
 join under Manhattan distance r becomes an equality join of cells of the grid. Cells are ordered by how
 many records have them; of each record the r + 1 rarest take part, as two records with g - r cells in common
-share one of those. Cells that occur once drop out, and frequent cells (of empty groups, or of passages that
-stand in a third of all records) are hardly ever among the rarest.
+share one of those. Cells that occur once drop out. Of g = SPARE (r + 1) groups all but r + 1 may be left out, so that
+frequent cells (of empty groups, or of a passage that stands in a third of all records and makes up to about 0.6 of
+them) are not among the rarest. Records that share more than that are compared pair by pair.
 
 Pairs that share a cell must then pass the lower bound over the popcounts of all BOUND segments, and
 the rest is verified on the sets of hashes. Records with equal sets are one class of copies before all that; their pairs
@@ -40,7 +41,7 @@ THRESHOLD = 0.8
 MIN_WORDS = 50
 SEGMENTS = 4096
 BOUND = 32
-SPARE = 1.15
+SPARE = 2.0
 
 
 def fingerprints(docs: DataFrame, key: str, text: str, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
@@ -93,6 +94,11 @@ def class_radius(cls: np.ndarray, threshold: float) -> np.ndarray:
     return np.floor(top * (1 + 1 / threshold) * (1 - threshold) / (1 + threshold) + 1e-6).astype(np.int64)
 
 
+def group_count(radius: np.ndarray) -> np.ndarray:
+    """Groups of a class: the radius, one more, and spare ones, so that frequent cells can be left out."""
+    return np.ceil((radius + 1) * SPARE).astype(np.int64)
+
+
 def cells(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(cell, no, cls): for each record and class it enters one row a group."""
 
@@ -108,7 +114,7 @@ def cells(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 for down in (0, 1):
                     cls = size_class(n, threshold) - down
                     radius = class_radius(cls, threshold)
-                    groups = np.ceil((radius + 1) * SPARE).astype(np.int64)
+                    groups = group_count(radius)
                     first = np.concatenate(([0], np.cumsum(groups)))
                     sums = np.zeros(first[-1], np.uint64)
                     np.add.at(sums, first[owner] + (place % groups[owner].astype(np.uint64)).astype(np.int64), segment)
@@ -129,11 +135,14 @@ def distance(a: pa.Array, b: pa.Array) -> pa.Array:
 def similar(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, shared, either) with a < b: the similar pairs of records (no, n, bound, runs) with different sets."""
     grid = cells(records, threshold)
-    often = grid.groupBy("cell").agg(F.count("*").alias("often"))
-    ranked = grid.join(often, "cell").withColumn("rank", F.row_number().over(Window.partitionBy("no", "cls").orderBy("often", "cell")))
+    # A cell of one record meets nothing. Such cells are the rarest, so their number is all that the ranks of others need.
+    often = grid.groupBy("cell").agg(F.count("*").alias("often")).where("often > 1")
+    by = Window.partitionBy("no", "cls")
+    ranked = grid.join(often, "cell").withColumn("rank", F.row_number().over(by.orderBy("often", "cell"))).withColumn("shared", F.count("*").over(by))
     # The size classes are few: up to the logarithm of the longest text.
-    radius = F.create_map(*[F.lit(int(x)) for k in range(-1, 120) for x in (k, class_radius(np.array([k]), threshold)[0])])
-    rare = ranked.where((F.col("rank") <= radius[F.col("cls").cast("int")] + 1) & (F.col("often") > 1)).select("cell", "no")
+    radii = class_radius(np.arange(-1, 120), threshold)
+    spare = F.create_map(*[F.lit(int(x)) for k, r, g in zip(range(-1, 120), radii, group_count(radii), strict=True) for x in (k, g - r - 1)])
+    rare = ranked.where(F.col("rank") <= F.col("shared") - spare[F.col("cls").cast("int")]).select("cell", "no")
     rare = rare.join(records.select("no", "n", "bound"), "no")
     one = rare.select("cell", *(F.col(c).alias(f"{c}_a") for c in ("no", "n", "bound")))
     two = rare.select("cell", *(F.col(c).alias(f"{c}_b") for c in ("no", "n", "bound")))
