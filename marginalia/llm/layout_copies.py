@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marginalia.session import cut
+
 # Fixed value: the options that never have a value.
 BARE_OPTIONS = frozenset({"quiet", "no-color", "dry-run"})
 
@@ -221,13 +223,13 @@ def groups(blocks: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
     """(members, survivors): (no, raw) of each block and (raw, copies, first, group_first, group_copies) of each distinct text."""
     rows = blocks.select(F.col(key).cast("bigint").alias("no"), F.col(text).alias("text")).where("no is not null and text is not null")
     members = rows.withColumn("raw", F.unhex(F.sha2("text", 256)))
-    # One row a block and text before counting: a redelivered row isn't a copy.
-    single = members.groupBy("no", "raw").agg(F.first("text").alias("text"))
-    distinct = single.groupBy("raw").agg(F.first("text").alias("text"), F.min("no").alias("first"), F.count("*").alias("copies"))
-    texts = distinct.select("raw", "first", "copies", canonical_column("text").alias("canon")).where("canon is not null")
-    texts = texts.withColumn("canon", F.unhex(F.sha2("canon", 256)))
+    # One row a block and text before counting: a redelivered row isn't a copy. Texts travel once, to be collapsed.
+    single = members.select("no", "raw").distinct()
+    copies = single.groupBy("raw").agg(F.min("no").alias("first"), F.count("*").alias("copies"))
+    survivors = members.groupBy("raw").agg(F.first("text").alias("text")).select("raw", canonical_column("text").alias("canon")).where("canon is not null")
+    texts = cut(survivors.select("raw", F.unhex(F.sha2("canon", 256)).alias("canon"))).join(copies, "raw")
     by = texts.groupBy("canon").agg(F.min("first").alias("group_first"), F.sum("copies").alias("group_copies"))
-    return single.select("no", "raw"), texts.join(by, "canon").drop("canon")
+    return single, texts.join(by, "canon").drop("canon")
 
 
 def found(blocks: DataFrame, key: str, text: str) -> DataFrame:
