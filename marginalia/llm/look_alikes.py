@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marginalia.session import cut
+
 # Letters of other scripts that have the shape of a Latin letter.
 LOOK_ALIKES = {
     "a": "аɑα", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һհ", "i": "і", "j": "јϳ", "l": "ӏ", "o": "оοօ", "p": "рρ", "q": "ԛ", "s": "ѕ", "u": "ս", "v": "ѵν", "w": "ԝ", "x": "х", "y": "уү",
@@ -141,7 +143,7 @@ def found(records: DataFrame) -> DataFrame:
     form = F.rtrim(F.regexp_replace(unify(F.col("text")), r"[ \t]+(?=\n|$)", ""), F.lit("\n "))
     plain = F.regexp_replace("text", r"[ \t\r\n]+", " ")
     rows = rows.select("src", "no", *(F.unhex(F.sha2(c, 256)).alias(n) for n, c in (("form", form), ("plain", F.trim(plain)))))
-    rows = rows.distinct()
+    rows = cut(rows.distinct())
     texts = rows.select("src", "form", "plain").distinct()
     several = texts.groupBy("src", "form").agg(F.min("plain").alias("low"), F.max("plain").alias("high")).where("low <> high").select("src", "form")
     texts = texts.join(several, ["src", "form"], "left_semi")
