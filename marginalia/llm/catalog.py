@@ -101,4 +101,17 @@ def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_coverage": p2_coverage, "p4_found": p4_found, "p4_cases": p4_cases, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_forms": p6_forms, "p7_ids": p7_ids, "p8_assign": p8_assign, "p8_fill": p8_fill, "p9_found": p9_found, "p9_documents": p9_documents, "p9_segments": p9_segments}
-SQL: dict[str, str] = {}
+#: Whole-table SQL of the queries that SQL can express; the others are tested against brute force, round trips or held-out truth.
+SQL: dict[str, str] = {
+    "p1_found": """
+WITH w AS (SELECT text_no, regexp_extract_all(lower(text), '[a-z0-9]+') AS words FROM text_docs WHERE text IS NOT NULL),
+r AS (SELECT DISTINCT text_no, words[i:i + 4] AS run FROM w, unnest(range(1, len(words) - 3)) AS u(i) WHERE len(words) >= 50),
+n AS (SELECT text_no, count(*) AS n FROM r GROUP BY text_no),
+m AS (SELECT a.text_no AS text_no_a, b.text_no AS text_no_b, count(*) AS shared FROM r a JOIN r b ON a.run = b.run AND a.text_no < b.text_no GROUP BY ALL)
+SELECT text_no_a, text_no_b FROM m JOIN n a ON a.text_no = text_no_a JOIN n b ON b.text_no = text_no_b WHERE 5 * shared >= 4 * (a.n + b.n - shared)""",
+    "p2_found": """
+WITH r AS (SELECT 'text_docs' AS src_table, text_no AS record_no, text FROM text_docs WHERE length(text) >= 300 UNION SELECT 'code_blocks', block_no, code FROM code_blocks WHERE length(code) >= 300),
+w AS (SELECT src_table, record_no, substring(text, i, 300) AS s FROM r, unnest(range(1, length(text) - 298)) AS u(i)),
+g AS (SELECT src_table, s FROM w GROUP BY ALL HAVING min(record_no) <> max(record_no))
+SELECT DISTINCT src_table, record_no FROM w JOIN g USING (src_table, s)""",
+}
