@@ -1,17 +1,21 @@
-"""Command line: inventory, copies and terms of a content tree."""
+"""Command line: inventory, links, copies and terms of a content tree."""
 
 from __future__ import annotations
 
 import argparse
+import html
 import json
 from pathlib import Path
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia import catalogue, report, settings
 from marginalia.operators import ledger, prose
+from marginalia.operators import links as link_ops
 from marginalia.plans.audit import Audit
 from marginalia.session import local_session, ship
+from marginalia.sources import network
 
 
 def _arguments() -> argparse.ArgumentParser:
@@ -25,6 +29,13 @@ def _arguments() -> argparse.ArgumentParser:
     inventory.add_argument("--flag")
     inventory.add_argument("--category")
     inventory.add_argument("--limit", type=int, default=10)
+    links = commands.add_parser("links", help="check links over the network")
+    links.add_argument("--owned", action="append", default=[])
+    links.add_argument("--json", action="store_true")
+    links.add_argument("--markdown", action="store_true")
+    links.add_argument("--fix", action="store_true", help="rewrite moved links in place")
+    links.add_argument("--dry-run", action="store_true")
+    links.add_argument("--limit", type=int, default=10)
     copies = commands.add_parser("copies", help="similar pages")
     copies.add_argument("--json", action="store_true")
     copies.add_argument("--limit", type=int, default=10)
@@ -48,7 +59,7 @@ def main(argv: list[str] | None = None) -> int:
     ship(spark)
     audit = Audit(spark, loaded)
     try:
-        return {"inventory": _inventory, "copies": _copies, "terms": _terms}[args.command](audit, book, args)
+        return {"inventory": _inventory, "links": _links, "copies": _copies, "terms": _terms}[args.command](audit, book, args)
     finally:
         audit.close()
 
@@ -74,6 +85,45 @@ def _inventory(audit: Audit, book: settings.Ledger, args: argparse.Namespace) ->
     return report.exit_code(rows, len(left), unknown)
 
 
+def check_links(audit: Audit, results: DataFrame, args: argparse.Namespace) -> int:
+    """Report verdicts over results of checks, rewrite if asked for; 1 if a link is dead or misses its fragment."""
+    judged = audit.judged_links(results, tuple(args.owned)).persist()
+    rows = [r.asDict() for r in judged.orderBy("url").collect()]
+    counts = {r.verdict: r.links for r in link_ops.verdict_counts(judged).collect()}
+    by = {v: [r for r in rows if r["verdict"] == v] for v in link_ops.VERDICTS if v != "ok"}
+    if args.json:
+        print(json.dumps({"checked": len(rows), "counts": counts, "verdicts": rows}, indent=2, default=str))
+    elif args.markdown:
+        print(report.links_markdown(by))
+    else:
+        for verdict, some in by.items():
+            for r in some if args.limit == 0 else some[: args.limit]:
+                print(f"{verdict}  {r['url']}" + (f" -> {r['final_url']}" if r["final_url"] else ""))
+        print(", ".join(f"{n} {v}" for v, n in counts.items()))
+    if args.fix:
+        edits = audit.link_sites().join(link_ops.rewrites(judged), "url").select("file", "raw", "target").distinct().collect()
+        for file in sorted({e.file for e in edits}):
+            path = audit.settings.root / file
+            source = path.read_text(encoding="utf-8")
+            new = source
+            for e in (e for e in edits if e.file == file):
+                for quote in "\"'":
+                    new = new.replace(f"={quote}{e.raw}{quote}", f"={quote}{html.escape(e.target, quote=False)}{quote}")
+            if new != source and not args.dry_run:
+                path.write_text(new, encoding="utf-8")
+            print(f"{'would rewrite' if args.dry_run else 'rewrote'} {file}" if new != source else f"unchanged {file}")
+    judged.unpersist()
+    return int(bool(by["dead"] or by["fragment"]))
+
+
+def _links(audit: Audit, book: settings.Ledger, args: argparse.Namespace) -> int:
+    results = network.link_results(audit.checkable()).persist()
+    try:
+        return check_links(audit, results, args)
+    finally:
+        results.unpersist()
+
+
 def _copies(audit: Audit, book: settings.Ledger, args: argparse.Namespace) -> int:
     pairs = [r.asDict() for r in audit.copies().orderBy(F.desc("score"), "a", "b").collect()]
     if args.json:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marginalia import catalogue
-from marginalia.functions import html, text
+from marginalia.functions import html, text, urls
 from marginalia.operators import blocks as block_ops
-from marginalia.operators import copies, ledger, pairing, paths, prose
+from marginalia.operators import copies, ledger, links, pairing, paths, prose
+from marginalia.session import written
 from marginalia.settings import Settings
 from marginalia.sources import tree
 
@@ -21,6 +22,8 @@ class Audit:
 
     def __init__(self, spark: SparkSession, settings: Settings):
         self.spark, self.settings, root = spark, settings, str(settings.root)
+        self._copies: DataFrame | None = None
+        self._findings: DataFrame | None = None
         self.courses = tree.courses(spark, root).persist()
         named = tree.items(self.courses)
         self.files = tree.pages(spark, root)
@@ -134,17 +137,69 @@ class Audit:
         return [*out, lost.select(F.lit("unreferenced-file").alias("problem"), F.col("path").alias("key"), none.alias("fingerprint"), none.alias("match"), F.concat("path", F.lit(":1:1")).alias("editor_ref"), none.alias("url"))]
 
     def copies(self) -> DataFrame:
-        """Similar pages with what they have alone."""
+        """Similar pages with what they have alone; found once."""
+        if self._copies is None:
+            self._copies = written(self._compared())
+        return self._copies
+
+    def _compared(self) -> DataFrame:
         seen = self.items.select(F.col("base").alias("id"), html.visible_column(F.col("html"), tuple(self.settings.ignore_elements)).alias("text"))
         docs = copies.documents(seen, "id", "text", self.settings.shingle_size, self.settings.min_words)
         return copies.drift(copies.similar_pairs(docs, self.settings.threshold), seen, "id", "text")
 
+    def copy_findings(self) -> list[DataFrame]:
+        """Copies that drifted apart in code or in prose, and code that stands in several courses."""
+        seen = self.items.select(F.col("base").alias("id"), text.words(html.visible_column(F.col("html"), tuple(self.settings.ignore_elements))).alias("words"), "found", "lesson_url")
+        pairs = self.copies().where("drifted").join(seen.select(F.col("id").alias("a"), F.col("words").alias("wa"), "found", "lesson_url"), "a").join(seen.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
+        a, b = F.col("a"), F.col("b")
+        drifted = pairs.select(
+            F.when(F.col("touches_code"), "drifted-copy-code").otherwise("drifted-copy-prose").alias("problem"),
+            copies.pair_key(a, b).alias("key"),
+            copies.pair_fingerprint(a, F.col("wa"), b, F.col("wb")).alias("fingerprint"),
+            F.round("score", 4).cast("string").alias("match"),
+            F.concat("found", F.lit(":1:1")).alias("editor_ref"),
+            F.col("lesson_url").alias("url"),
+        )
+        keyed = self.blocks.select("course_dir", "editor_ref", "lesson_url", text.code_key("code").alias("code_key")).where(text.worth_tracking("code_key"))
+        groups = keyed.groupBy("code_key").agg(F.count_distinct("course_dir").alias("courses"), F.min(F.struct("editor_ref", "lesson_url")).alias("first")).where("courses > 1")
+        prints = text.fingerprint("code_key")
+        shared = groups.select(F.lit("shared-code-block").alias("problem"), prints.alias("key"), prints.alias("fingerprint"), text.shorten("code_key").alias("match"), F.col("first.editor_ref").alias("editor_ref"), F.col("first.lesson_url").alias("url"))
+        return [drifted, shared]
+
+    def sibling_findings(self, judged: DataFrame) -> DataFrame:
+        """Findings that one of two similar pages has and the other not, both have, or one has accepted."""
+        of = self.items.select("base", "found").distinct()
+        pairs = self.copies().select("a", "b").join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        files = judged.where("editor_ref is not null").select("problem", F.regexp_replace("editor_ref", r":\d+:\d+$", "").alias("file"), (F.col("state") == "accepted").alias("accepted"))
+        return copies.sibling_findings(files, copies.sibling_files(pairs))
+
+    def link_sites(self) -> DataFrame:
+        """(url, kind, file, raw, text, key, fingerprint, editor_ref, lesson_url) of every link and image."""
+        rows = self.items.select("base", "found", "html", "lesson_url", F.explode(html.link_rows(F.col("html"))).alias("l")).select("*", "l.*")
+        at = text.line_and_column("html", F.col("start"))
+        return rows.select("url", "kind", F.col("found").alias("file"), "raw", "text", F.concat("base", F.lit("#"), "kind", F.col("ordinal").cast("string")).alias("key"), text.fingerprint("raw").alias("fingerprint"), F.concat_ws(":", "found", at["line"], at["column"]).alias("editor_ref"), "lesson_url")
+
+    def checkable(self) -> DataFrame:
+        """(url) of the distinct addresses that are checked."""
+        sites = self.link_sites()
+        return sites.where((urls.scheme("url") == "http") & urls.skip_reason("url", self.settings.skip).isNull()).select("url").distinct()
+
+    def judged_links(self, results: DataFrame, owned: tuple[str, ...] = ()) -> DataFrame:
+        return links.judged(results, (*self.settings.owned_domains, *owned), self.link_sites().where(urls.scheme("url") == "http").select("url"))
+
     def findings(self) -> DataFrame:
-        parts = [*self.block_findings(), self.prompted_output(), self.unused_lang(), *self.prose_findings(), *self.term_findings(), *self.file_findings()]
-        out = parts[0].select(*FINDING)
-        for p in parts[1:]:
-            out = out.unionByName(p.select(*FINDING))
-        return out
+        """All findings; found once, group by group, so that no plan grows with their number."""
+        if self._findings is None:
+            groups = (self.block_findings(), [self.prompted_output(), self.unused_lang()], self.prose_findings(), self.term_findings(), self.file_findings(), self.copy_findings())
+            out = None
+            for parts in filter(None, groups):
+                part = parts[0].select(*FINDING)
+                for p in parts[1:]:
+                    part = part.unionByName(p.select(*FINDING))
+                part = written(part)
+                out = part if out is None else out.unionByName(part)
+            self._findings = out
+        return self._findings
 
     def judged(self, issues: DataFrame) -> DataFrame:
         """Findings with category, severity and state."""

@@ -11,7 +11,7 @@ from marginalia.plans.audit import Audit
 
 WANT = {
     "placeholder-residue": 5, "comment-in-block": 1, "code-typography": 2, "mislabeled-dockerfile": 1, "code-trailing-space": 1, "unknown-lang": 1, "invalid-config": 2, "promptless-shell": 2, "block-anomaly": 1,
-    "tag-mismatch": 1, "prompted-output": 1, "markdown-in-prose": 1, "flattened-command": 1, "unwritten-content": 4, "script-entity": 1, "retired-term": 3, "retired-term-in-url": 1, "case-mismatch": 1, "missing-file": 1, "unreferenced-file": 1,
+    "tag-mismatch": 1, "prompted-output": 1, "markdown-in-prose": 1, "flattened-command": 1, "unwritten-content": 4, "script-entity": 1, "retired-term": 3, "retired-term-in-url": 1, "case-mismatch": 1, "missing-file": 1, "unreferenced-file": 1, "drifted-copy-prose": 1,
 }
 
 
@@ -50,6 +50,26 @@ def test_copies(dirty):
     assert json.loads(report.copies_json([r.asDict() for r in rows]))["pairs"] == 1
 
 
+def test_siblings(dirty, spark):
+    rows = dirty.sibling_findings(dirty.judged(settings.Ledger().frame(spark))).collect()
+    assert {(r.problem, r.rule) for r in rows} >= {("script-entity", "uneven-copy"), ("retired-term", "shared-finding")}
+
+
+def test_links(spark, tmp_path, capsys):
+    page = '<p><a href="https://learn.test/old?a=1&amp;b=2">a</a> <a href="https://learn.test/dead">b</a> <img src="/x.png"> <a href="#top">t</a></p>'
+    audit = Audit(spark, settings.load(write(tmp_path, {"10-Links": page}, clean=True)))
+    assert {r.url for r in audit.checkable().collect()} == {"https://learn.test/old?a=1&b=2", "https://learn.test/dead"}
+    results = spark.createDataFrame([("https://learn.test/old?a=1&b=2", "ok", "https://learn.test/new?a=1&b=2", True, None), ("https://learn.test/dead", "not-found", None, None, None)], "url string, status string, final_url string, permanent boolean, fragment_found boolean")
+    args = cli._arguments().parse_args(["links", "--fix", "--dry-run"])
+    assert cli.check_links(audit, results, args) == 1
+    file = tmp_path / "courses/Course/lessons/10-Links/content-item0.html"
+    assert "would rewrite" in capsys.readouterr().out and file.read_text() == page
+    args = cli._arguments().parse_args(["links", "--fix", "--markdown"])
+    cli.check_links(audit, results, args)
+    assert "https://learn.test/new?a=1&amp;b=2" in file.read_text() and "## Dead" in capsys.readouterr().out
+    audit.close()
+
+
 def test_clean_tree_is_silent(spark, tmp_path):
     audit = Audit(spark, settings.load(write(tmp_path, CLEAN, clean=True)))
     assert [(r.problem, r.key, r.match) for r in audit.findings().collect()] == []
