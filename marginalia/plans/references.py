@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.operators.references import apply_deltas, current_orphans, existence_deltas, orphan_references
 from marginalia.sources.tables import table
 
-REFERENCE = ("src_table", "row_key", "ref_value", "day", "space", "key")
+
+def utc_day(column: str) -> Column:
+    """The UTC date of a timestamp, whatever the time zone of the session."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(column) / 86_400_000_000).cast("int"))
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each reference and key it needs."""
     lessons = (
         table(spark, sf_dir, "lessons_meta", "lesson_id", "course_dir", "updated_at", "content_items")
-        .select("lesson_id", "course_dir", F.to_date("updated_at").alias("day"), F.explode("content_items.file").alias("ref_value"))
+        .select("lesson_id", "course_dir", utc_day("updated_at").alias("day"), F.explode("content_items.file").alias("ref_value"))
         .where(F.col("ref_value").rlike(r"\S"))
         .select(
             F.lit("lessons_meta").alias("src_table"),
@@ -30,7 +33,7 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("course_urls").alias("src_table"),
         F.col("index_id").alias("row_key"),
         F.explode(F.map_keys("urls")).alias("ref_value"),
-        F.to_date("taken_at").alias("day"),
+        utc_day("taken_at").alias("day"),
         F.lit("course").alias("space"),
         F.col("ref_value").alias("key"),
     )
@@ -57,12 +60,12 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "content_files", "path", "item_key", "added_at", "deleted_at")
     courses = table(spark, sf_dir, "courses", "course_dir", "added_at", "deleted_at")
     blocks = table(spark, sf_dir, "code_blocks", "block_id", "extracted_at", "removed_at")
-    added, deleted = F.col("added_at"), F.col("deleted_at")
+    added, deleted = utc_day("added_at"), utc_day("deleted_at")
     return (
         existence_deltas(files, "path", F.lower("path"), added, deleted)
         .unionByName(existence_deltas(files, "item", F.col("item_key"), added, deleted))
         .unionByName(existence_deltas(courses, "course", F.col("course_dir"), added, deleted))
-        .unionByName(existence_deltas(blocks, "block", F.col("block_id"), F.col("extracted_at"), F.col("removed_at")))
+        .unionByName(existence_deltas(blocks, "block", F.col("block_id"), utc_day("extracted_at"), utc_day("removed_at")))
     )
 
 
