@@ -156,6 +156,13 @@ def residue_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.residue(classified(spark, sf_dir)).groupBy("rule", "kind").agg(F.count("*").alias("blocks"))
 
 
+def residue_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules per block, with the rule on output lines over output blocks alone."""
+    df = one_row_a_block(spark, sf_dir, "lang", "code").join(table(spark, sf_dir, "lang_kinds", "lang", "kind"), "lang", "left")
+    df = df.withColumns({"kind": F.coalesce("kind", F.lit("unknown")), "code": F.coalesce("code", F.lit("")), "shell": F.lit(None).cast(ops.SHELL)})
+    return ops.residue(df).select("block_no", "rule", "match")
+
+
 def residue_on_synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D4-D9 on commands made from part names, with hits of every rule; the pattern alone, per row."""
     df = table(spark, sf_dir, "part", "p_partkey", "p_name").withColumn("code", F.expr(SYNTHETIC_RESIDUE.replace("chr(10)", "'\\n'")))
@@ -310,6 +317,18 @@ def _flag_sql() -> str:
     return f"WITH {_KIND}, {_REF_ROWS}, {_urls('code')} " + " UNION ALL ".join(f"SELECT block_no, '{flag}' AS flag FROM kinded WHERE {condition}" for flag, condition in parts.items())
 
 
+def _residue_blocks_sql() -> str:
+    parts = []
+    for rule, (scope, pattern) in ops.RESIDUE_RULES.items():
+        p = pattern.replace("'", "''")
+        match = _trim(f"regexp_extract(code, '{p}')")
+        if rule == "dangling-flag":
+            match = f"regexp_replace({match}, '[{_B}]+[^{_B}]\\z', '')"
+        kinds = "'output'" if scope == "output" else "'shell', 'output', 'config'"
+        parts.append(f"SELECT block_no, '{rule}' AS rule, {match} AS match FROM kinded WHERE kind IN ({kinds}) AND regexp_matches(code, '{p}')")
+    return f"WITH {_KIND} " + " UNION ALL ".join(parts)
+
+
 def _residue_sql() -> str:
     rules = {r: p.replace("'", "''") for r, (_, p) in ops.RESIDUE_RULES.items()}
     code = SYNTHETIC_RESIDUE
@@ -346,6 +365,8 @@ SELECT block_no, CASE WHEN json_valid(code) THEN 'valid' WHEN regexp_matches(cod
     "typography_by_char": "WITH b AS (SELECT DISTINCT block_no, code FROM code_blocks) SELECT char, count(*) AS blocks FROM b JOIN (SELECT unnest(['…', chr(160), '‘', '’', '“', '”', '–', '—']) AS char) ON contains(code, char) GROUP BY char",
     "mislabeled_dockerfile": rf"WITH {_BLOCKS}, r AS (SELECT block_no, lang, list_filter(list_transform(string_split(code, chr(10)), lambda x: {_trim('x')}), lambda x: x <> '' AND x[1] <> '#') AS rows FROM blocks WHERE lang <> 'dockerfile') SELECT block_no, lang FROM r WHERE regexp_matches(rows[1], '^(?:FROM|ARG)\s+\S') AND len(list_filter(rows, lambda x: regexp_matches(x, '^FROM\s+\S'))) > 0",
     "residue_on_synthetic": _residue_sql(),
+    "residue_blocks": _residue_blocks_sql(),
+    "runnable_blocks": f"WITH {_KIND} SELECT kind, sum((kind = 'shell' AND NOT regexp_matches(code, '{_PLACEHOLDER}') AND NOT regexp_matches(code, '{_ELISION}') AND NOT contains(code, '…'))::int) AS runnable, count(*) AS blocks FROM kinded GROUP BY kind",
     "code_trailing_space": rf"SELECT DISTINCT block_no FROM code_blocks WHERE regexp_matches(code, '[{_B}]\z')",
     "unknown_lang": f"WITH {_KIND} SELECT lang, count(*) AS blocks FROM kinded WHERE lang <> '' AND lang NOT IN (SELECT lang FROM lang_kinds) GROUP BY lang",
     "unused_lang": "SELECT lang FROM lang_kinds WHERE lang NOT IN (SELECT lang FROM code_blocks WHERE lang IS NOT NULL)",
@@ -364,7 +385,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         block_fingerprint, block_kind_tally, block_flags_tally, block_regex_flags, runnable_blocks, shell_commands, prompt_lines, image_refs_distinct, pinned_refs, block_urls, config_parse_status, json_parse_status,
-        comment_in_block, markup_on_synthetic, typography_by_char, mislabeled_dockerfile, residue_by_rule, residue_on_synthetic, code_trailing_space, unknown_lang, unused_lang, anomaly_tally, unescaped_markup, output_pairing, expected_outputs,
+        comment_in_block, markup_on_synthetic, typography_by_char, mislabeled_dockerfile, residue_by_rule, residue_blocks, residue_on_synthetic, code_trailing_space, unknown_lang, unused_lang, anomaly_tally, unescaped_markup, output_pairing, expected_outputs,
         warnings_by_rule, warnings_on_synthetic, shared_code_groups, prompted_output, output_prefix_census, inventory_summary, block_ordinals,
     )
 }
