@@ -86,27 +86,48 @@ def finding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(F.explode(problems).alias("problem"), F.col("block_id").alias("key"), text.fingerprint(code).alias("fingerprint"), F.col("src_file").alias("file"))
 
 
+def _residue_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D4-D10 as findings; one a block and rule, and the rule stands in the key."""
+    df = block_ops.residue(block_plans.classified(spark, sf_dir, "block_id", "src_file"))
+    return df.select(F.lit("placeholder-residue").alias("problem"), F.concat_ws("::", "block_id", "rule").alias("key"), F.col("block_id").alias("whole"), text.fingerprint("code").alias("fingerprint"), F.col("src_file").alias("file"))
+
+
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(problem, key, whole, fingerprint, file) of findings in blocks; whole is the key without the rule."""
+    plain = finding_rows(spark, sf_dir).where("problem <> 'placeholder-residue'").withColumn("whole", F.col("key"))
+    return plain.unionByName(_residue_rows(spark, sf_dir))
+
+
 def _drift_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = pair_identity(spark, sf_dir)
-    return pairs.select(F.lit("drifted-copy-prose").alias("problem"), "key", "fingerprint")
+    return pairs.select(F.lit("drifted-copy-prose").alias("problem"), "key", F.col("key").alias("whole"), "fingerprint")
+
+
+#: Problems whose keys name the rule as well.
+RULED = ("placeholder-residue",)
 
 
-def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger; a rule at the end of a key names the warning, not the block."""
+def _issues(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+    """The ledger with the keys of the findings. Where these name a rule, an entry for a whole block holds for each of its
+    rules without an entry of its own; elsewhere a rule at the end of a key is dropped."""
     df = table(spark, sf_dir, "known_issues", "problem", "key", "fingerprint", "note", "added").distinct()
-    return df.withColumn("key", F.regexp_replace("key", r"::[^\s:]+$", ""))
+    df = ledger.latest(df.withColumn("key", F.when(F.col("problem").isin(*RULED), F.col("key")).otherwise(F.regexp_replace("key", r"::[^\s:]+$", ""))))
+    ruled = found.where("key <> whole").select("problem", F.col("key").alias("own"), F.col("whole").alias("key")).distinct()
+    each = df.join(ruled, ["problem", "key"]).withColumn("key", F.col("own")).drop("own")
+    each = each.join(df.select("problem", "key"), ["problem", "key"], "left_anti")
+    return df.join(ruled, ["problem", "key"], "left_anti").unionByName(each)
 
 
 def ledger_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State of each finding."""
-    found = finding_rows(spark, sf_dir).drop("file").unionByName(_drift_findings(spark, sf_dir))
-    return ledger.applied(found, _issues(spark, sf_dir)).select("problem", "key", "state")
+    found = _found(spark, sf_dir).drop("file").unionByName(_drift_findings(spark, sf_dir))
+    return ledger.applied(found, _issues(spark, sf_dir, found)).select("problem", "key", "state")
 
 
 def ledger_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries without a finding: renamed to an open one of another slug, or resolved."""
-    found = finding_rows(spark, sf_dir).drop("file").unionByName(_drift_findings(spark, sf_dir))
-    df = ledger.renamed(_issues(spark, sf_dir), found)
+    found = _found(spark, sf_dir).drop("file").unionByName(_drift_findings(spark, sf_dir))
+    df = ledger.renamed(_issues(spark, sf_dir, found), found)
     return df.select("problem", "key", "new_key", F.when(F.col("new_key").isNull(), "resolved").otherwise("renamed").alias("state"))
 
 
@@ -126,7 +147,8 @@ def sibling_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings in one copy and not the other, in both, or accepted in one."""
     docs = _docs(spark, sf_dir).select("text_id", F.regexp_replace("editor_ref", r":\d+:\d+$", "").alias("file"))
     pairs = _pairs(spark, sf_dir).select("a", "b").join(docs.toDF("a", "x"), "a").join(docs.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    states = ledger.applied(finding_rows(spark, sf_dir), _issues(spark, sf_dir)).withColumn("accepted", F.col("state") == "accepted")
+    found = _found(spark, sf_dir)
+    states = ledger.applied(found, _issues(spark, sf_dir, found)).withColumn("accepted", F.col("state") == "accepted")
     # Every fifth character count is taken as accepted, as the ledger has few entries for copies.
     states = states.withColumn("accepted", F.col("accepted") | (F.length("key") % 5 == 0))
     return copies.sibling_findings(states, copies.sibling_files(pairs))
