@@ -142,14 +142,18 @@ class Audit:
             self._copies = written(self._compared())
         return self._copies
 
+    def _seen(self) -> DataFrame:
+        """(id, text, found, lesson_url) of the texts that are compared."""
+        return self.items.select(F.col("base").alias("id"), html.visible_column(F.col("html"), tuple(self.settings.ignore_elements)).alias("text"), "found", "lesson_url")
+
     def _compared(self) -> DataFrame:
-        seen = self.items.select(F.col("base").alias("id"), html.visible_column(F.col("html"), tuple(self.settings.ignore_elements)).alias("text"))
+        seen = self._seen().select("id", "text")
         docs = copies.documents(seen, "id", "text", self.settings.shingle_size, self.settings.min_words)
         return copies.drift(copies.similar_pairs(docs, self.settings.threshold), seen, "id", "text")
 
     def copy_findings(self) -> list[DataFrame]:
         """Copies that drifted apart in code or in prose, and code that stands in several courses."""
-        seen = self.items.select(F.col("base").alias("id"), text.words(html.visible_column(F.col("html"), tuple(self.settings.ignore_elements))).alias("words"), "found", "lesson_url")
+        seen = self._seen().withColumn("words", text.words("text"))
         pairs = self.copies().where("drifted").join(seen.select(F.col("id").alias("a"), F.col("words").alias("wa"), "found", "lesson_url"), "a").join(seen.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
         a, b = F.col("a"), F.col("b")
         drifted = pairs.select(

@@ -11,6 +11,8 @@ from marginalia.operators import blocks as block_ops
 from marginalia.operators import copies, ledger
 from marginalia.plans import blocks as block_plans
 from marginalia.plans.blocks import _B, _normal, _trim
+from marginalia.plans.tables_audit import JUDGED, TablesAudit, sibling_rows
+from marginalia.session import written
 from marginalia.sources.tables import table
 
 
@@ -86,25 +88,8 @@ def finding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(F.explode(problems).alias("problem"), F.col("block_id").alias("key"), text.fingerprint(code).alias("fingerprint"), F.col("src_file").alias("file"))
 
 
-def _residue_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D4-D10 as findings; one a block and rule, and the rule stands in the key."""
-    df = block_ops.residue(block_plans.classified(spark, sf_dir, "block_id", "src_file"))
-    return df.select(F.lit("placeholder-residue").alias("problem"), F.concat_ws("::", "block_id", "rule").alias("key"), F.col("block_id").alias("whole"), text.fingerprint("code").alias("fingerprint"), F.col("src_file").alias("file"))
-
-
-def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(problem, key, whole, fingerprint, file) of findings in blocks; whole is the key without the rule."""
-    plain = finding_rows(spark, sf_dir).where("problem <> 'placeholder-residue'").withColumn("whole", F.col("key"))
-    return plain.unionByName(_residue_rows(spark, sf_dir))
-
-
-def _drift_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = pair_identity(spark, sf_dir)
-    return pairs.select(F.lit("drifted-copy-prose").alias("problem"), "key", F.col("key").alias("whole"), "fingerprint")
-
-
 #: Problems whose keys name the rule as well.
-RULED = ("placeholder-residue",)
+RULED = ("placeholder-residue", "code-typography", "prompted-output", "block-anomaly", "cross-reference", "markdown-in-prose", "unwritten-content")
 
 
 def _issues(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
@@ -118,17 +103,32 @@ def _issues(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
     return df.join(ruled, ["problem", "key"], "left_anti").unionByName(each)
 
 
+def _judged(audit: TablesAudit) -> DataFrame:
+    """Findings of the blocks, files and pairs with their state."""
+    found = written(audit.rows())
+    return ledger.applied(found, _issues(audit.spark, audit.sf_dir, found))
+
+
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(problem, key, whole, fingerprint, file) of all findings that need no network, those about two copies included."""
+    audit = TablesAudit(spark, sf_dir)
+    judged = written(_judged(audit))
+    return written(judged.drop("state").unionByName(sibling_rows(audit.siblings(judged), judged)))
+
+
 def ledger_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State of each finding."""
-    found = _found(spark, sf_dir).drop("file").unionByName(_drift_findings(spark, sf_dir))
+    found = _found(spark, sf_dir)
     return ledger.applied(found, _issues(spark, sf_dir, found)).select("problem", "key", "state")
 
 
 def ledger_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries without a finding: renamed to an open one of another slug, or resolved."""
-    found = _found(spark, sf_dir).drop("file").unionByName(_drift_findings(spark, sf_dir))
+    """Entries without a finding: renamed to an open one of another slug, or resolved; not judged if their problem
+    needs the network or isn't known."""
+    found = _found(spark, sf_dir)
     df = ledger.renamed(_issues(spark, sf_dir, found), found)
-    return df.select("problem", "key", "new_key", F.when(F.col("new_key").isNull(), "resolved").otherwise("renamed").alias("state"))
+    state = F.when(~F.col("problem").isin(*JUDGED), "not judged").when(F.col("new_key").isNull(), "resolved").otherwise("renamed")
+    return df.select("problem", "key", "new_key", state.alias("state"))
 
 
 def renamed_on_synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,13 +145,11 @@ def unknown_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sibling_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings in one copy and not the other, in both, or accepted in one."""
-    docs = _docs(spark, sf_dir).select("text_id", F.regexp_replace("editor_ref", r":\d+:\d+$", "").alias("file"))
-    pairs = _pairs(spark, sf_dir).select("a", "b").join(docs.toDF("a", "x"), "a").join(docs.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    found = _found(spark, sf_dir)
-    states = ledger.applied(found, _issues(spark, sf_dir, found)).withColumn("accepted", F.col("state") == "accepted")
+    audit = TablesAudit(spark, sf_dir)
+    states = _judged(audit)
     # Every fifth character count is taken as accepted, as the ledger has few entries for copies.
-    states = states.withColumn("accepted", F.col("accepted") | (F.length("key") % 5 == 0))
-    return copies.sibling_findings(states, copies.sibling_files(pairs))
+    states = states.withColumn("state", F.when(F.length("key") % 5 == 0, "accepted").otherwise(F.col("state")))
+    return audit.siblings(states)
 
 
 def problem_totals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ def tables(spark, tmp_path):
         write("text_docs", list(texts), "text_id string, text string, editor_ref string, lesson_url string")
         write("lang_kinds", [("bash", "shell", None), ("text", "output", None), ("json", "config", "json"), ("go", "code", None)], "lang string, kind string, parser string")
         write("content_files", [(p, p, h, None, None) for p, h in files], "path string, item_key string, html string, added_at timestamp, ingested_at timestamp")
-        write("courses", [("C", "Title", "short", "long", {})], "course_dir string, title string, short_description string, long_description_html string, domains map<string, struct<slug: string>>")
+        write("courses", [("C", "Title", "short", "long", {}, None)], "course_dir string, title string, short_description string, long_description_html string, domains map<string, struct<slug: string>>, ingested_at timestamp")
         write("lessons_meta", list(lessons), "lesson_id string, course_dir string, slug string, title string, sort_order int, description_html string, content_items array<struct<id: string, file: string, sort_order: int>>, updated_at timestamp, ingested_at timestamp")
         write("course_urls", [], "index_id string, taken_at timestamp, urls map<string, string>")
         return str(tmp_path)
@@ -43,3 +43,26 @@ def test_residue_is_what_the_audit_calls_so(spark, tables):
     assert states(spark, sf_dir, "placeholder-residue") == [("C/l/i#0::dangling-flag", "accepted"), ("C/l/i#1::empty-flag-value", "stale"), ("C/l/i#1::empty-quoted-value", "open")]
     assert [r.key for r in copies.ledger_unmatched(spark, sf_dir).where("problem = 'placeholder-residue'").collect()] == ["C/l/i#2"]
     assert {r.problem: r.open for r in copies.problem_totals(spark, sf_dir).collect()}["placeholder-residue"] == 1
+
+
+def test_all_detectors_are_run(spark, tables):
+    digest = lambda c: "sha256:" + c * 64
+    pairs = [("C/l/a", "C/m/a"), ("C/l/b", "C/m/b"), ("C/l/c", "C/m/c")]
+    same, prose, code = TEXT, TEXT + "\nThis sentence was added later.", TEXT + "\n$ kiln push something else here"
+    words = {"b": lambda t: t.replace("word", "other"), "c": lambda t: t.replace("word", "third"), "a": lambda t: t}
+    texts = [(k, words[k[-1]](t), f"courses/{k}.html:1:1", None) for (x, y), other in zip(pairs, (same, prose, code), strict=True) for k, t in ((x, same), (y, other))]
+    name = "courses/C/lessons/l/content-i.html"
+    sf_dir = tables(
+        blocks=[block(0, "bash", "$ tool pull " + digest("a")), block(1, "text", digest("b")), block(2, "bash", "$ Pulling x"), block(3, "text", "Pulling a\nPulling b")],
+        issues=[("cross-reference", "C/l/i#0::digest-mismatch", None), ("cross-reference", "C/l/i#2::tag-mismatch", None), ("prompted-output", "C/l/i#2", None), ("dead-link", "C/l/i#0", None)],
+        texts=texts,
+        files=[(name, "<p>See the audit log.</p>")],
+        lessons=[("1", "C", "l", "Lesson", 1, None, [("i", "lessons/l/content-i.html", 1)], None, None)],
+    )
+    got = {(r.problem, r.key): r.state for r in copies.ledger_states(spark, sf_dir).collect()}
+    assert got["cross-reference", "C/l/i#0::digest-mismatch"] == "accepted"
+    assert [s for (p, k), s in got.items() if p == "prompted-output" and k.startswith("C/l/i#2::")] == ["accepted"]
+    assert [k for p, k in got if p == "retired-term"][0].startswith("C/l/i#term audit log: ")
+    assert [k for p, k in got if p.startswith("drifted-copy")] and {(p, k) for p, k in got if p.startswith("drifted-copy")} == {("drifted-copy-prose", "C/l/b :: C/m/b"), ("drifted-copy-code", "C/l/c :: C/m/c")}
+    left = {(r.problem, r.key): r.state for r in copies.ledger_unmatched(spark, sf_dir).collect()}
+    assert left == {("cross-reference", "C/l/i#2::tag-mismatch"): "resolved", ("dead-link", "C/l/i#0"): "not judged"}
