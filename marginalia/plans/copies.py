@@ -144,12 +144,9 @@ def unknown_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sibling_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings in one copy and not the other, in both, or accepted in one."""
+    """Findings in one copy and not the other, in both, or accepted in one by the ledger."""
     audit = TablesAudit(spark, sf_dir)
-    states = _judged(audit)
-    # Every fifth character count is taken as accepted, as the ledger has few entries for copies.
-    states = states.withColumn("state", F.when(F.length("key") % 5 == 0, "accepted").otherwise(F.col("state")))
-    return audit.siblings(states)
+    return audit.siblings(_judged(audit))
 
 
 def problem_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
