@@ -7,7 +7,7 @@ their values, and the members of an object or mapping at any level. Elements of
 order. Structure serves sorting alone and leaves no mark, so that a mapping equals the object of the same words.
 
 A text is read as a JSON value if it begins like one, else as YAML if each of its lines is a key, a list item or a
-comment and no mapping repeats a key, else as lines of commands. Reading is tolerant: any quotes, full-width marks, blanks of any
+comment or of a block scalar and no mapping of a document repeats a key, else as lines of commands. Reading is tolerant: any quotes, full-width marks, blanks of any
 kind as indentation, stray indentation of the first line, unclosed brackets; YAML nested deeper than DEPTH is read as lines.
 
 Null texts and texts without a letter or digit belong to no group. Repeated rows are one block. Extra columns are ignored.
@@ -39,7 +39,12 @@ _FLOW = re.compile(r'''"(?:[^"\\]|\\.)*"|'[^']*'|[{}\[\],]|[^{}\[\],"']+|["']'''
 _START = re.compile(r"""[^\w{\["'$>#-]*(?:---\s*)?[^\w{\["'$>#-]*""")
 _ITEM = re.compile(r"-(?:\s+|$)")
 _KEY = re.compile(r"""(?:"[^"]*"|'[^']*'|[^\s:"'{}\[\],#][^:"'{}\[\],]*?)\s*:(?=\s|$|["'\[{])\s*""")
-_MARK = re.compile(r"-{3}\s*")
+_MARK = re.compile(r"-{3}(?=\s|$)\s*")
+_SCALAR = re.compile(r"[|>][+-]?\d?[+-]?\s*(?:#.*)?$")
+
+
+# A text that begins with "#" is commands, not comments, with a shebang, a line that goes on, or a line of options.
+_SCRIPT = re.compile(r"\A\s*#!|\\[ \t\r]*$|^\s*--[a-z]", re.M)
 
 
 def flow_words(text: str) -> list[str]:
@@ -95,34 +100,82 @@ def _rest(text: str) -> list[str]:
     return flow_words(text) if text[:1] in ("{", "[") else _WORD.findall(text)
 
 
+def _scalar_start(indent: int, body: str) -> tuple[int, int] | None:
+    """(indentation of its owner, place of the mark) if a line begins a block scalar."""
+    at, owner = 0, indent
+    while m := _ITEM.match(body[at:]):
+        owner, at = indent + at, at + m.end()
+    if key := _KEY.match(body[at:]):
+        owner, at = indent + at, at + key.end()
+    return (owner, at) if at and _SCALAR.match(body[at:]) else None
+
+
 def yaml_words(text: str) -> list[str] | None:
-    """Words of a mapping or list by indentation, members sorted; None if the text isn't one."""
-    lines, remarks, pending = [], [], None
+    """Words of mappings or lists by indentation, members sorted within each document; None if the text isn't one.
+
+    Comments before the first line stay in front, and may be commands; others follow their document.
+    """
+    documents: list[tuple[list, list[str]]] = [([], [])]
+    lead: list[str] = []
+    pending = scalar = None
     for line in text.splitlines():
+        lines, remarks = documents[-1]
         body = line.lstrip()
+        indent = len(line) - len(body)
         if pending is not None:
             lines[-1][1] += " " + body
             pending += sum(c in "{[" for c in body) - sum(c in "}]" for c in body)
             if pending <= 0:
                 pending = None
             continue
+        if scalar is not None:
+            if not body:
+                continue
+            if indent > scalar:
+                lines[-1][1] += "".join(f" {w}" for w in _WORD.findall(body))
+                continue
+            scalar = None
         if _MARK.match(body):
             body = body[3:].lstrip()
+            if lines:
+                lines, remarks = [], []
+                documents.append((lines, remarks))
         if not _WORD.search(body):
-            if _ITEM.match(body) or body[:1] in ("{", "["):
-                lines.append([len(line) - len(line.lstrip()), body])
+            if start := _scalar_start(indent, body):
+                scalar = start[0]
+                lines.append([indent, body[: start[1]]])
+            elif _ITEM.match(body) or body[:1] in ("{", "["):
+                lines.append([indent, body])
             continue
         if body[0] == "#":
-            remarks += _WORD.findall(body)
+            if lines or len(documents) > 1:
+                remarks += _WORD.findall(body)
+            else:
+                lead += command_words(body)
+            continue
+        if start := _scalar_start(indent, body):
+            scalar = start[0]
+            lines.append([indent, body[: start[1]]])
             continue
-        lines.append([len(line) - len(line.lstrip()), body])
+        lines.append([indent, body])
         key = _KEY.match(body)
         rest = body[key.end() :] if key else body
         if rest[:1] in ("{", "["):
             depth = sum(c in "{[" for c in rest) - sum(c in "}]" for c in rest)
             pending = depth if depth > 0 else None
-    if not lines:
+    if not documents[0][0]:
         return None
+    out = lead
+    for lines, remarks in documents:
+        words = _document_words(lines)
+        if words is None:
+            return None
+        out = out + words + remarks
+    return out
+
+
+def _document_words(lines: list) -> list[str] | None:
+    """Words of one document of (indentation, text); None if it isn't a mapping or list."""
     if len(lines) > 1:
         own, least = lines[0][0], min(i for i, _ in lines[1:])
         key = _KEY.match(lines[0][1])
@@ -158,7 +211,7 @@ def yaml_words(text: str) -> list[str] | None:
             place(_Entry(indent, False, " ".join(name), name + _rest(body[key.end() :]), key.end() == len(body)))
     if deepest > DEPTH or root.repeats():
         return None
-    return root.flat() + remarks
+    return root.flat()
 
 
 def command_words(text: str) -> list[str]:
@@ -207,7 +260,7 @@ def canonical(code: str | None) -> str | None:
     if start[:1] == "{" or (start[:1] == "[" and " --" not in start):
         return " ".join(flow_words(start))
     words = None
-    if start[:1] not in ("$", ">", "#") and ":" in text:
+    if start[:1] not in ("$", ">") and ":" in text and not (start[:1] == "#" and _SCRIPT.search(text)):
         words = yaml_words(text)
     return " ".join(command_words(text) if words is None else words)
 

@@ -50,3 +50,32 @@ def test_groups(spark):
     assert sorted(map(tuple, found(blocks, "block_no", "code").collect())) == [(3, 7), (3, 9), (10, 11)]
     assert sorted(map(tuple, counts(blocks, "block_no", "code").collect())) == [(3, 3), (8, 1), (10, 2)]
     assert found(blocks.limit(0), "block_no", "code").count() == 0
+
+
+@pytest.mark.parametrize(
+    "texts",
+    [
+        ["# settings\na: 1\nb: 2", "# Settings\nb: 2\na: 1"],
+        ["---\n# settings\na: 1\nb:\n  c: 2\n  d: 3", "# settings\n---\nb: {d: 3, c: 2}\na: 1"],
+        ["kind: x\nname: a\n---\nkind: y\nname: b", "name: a\nkind: x\n---\nname: b\nkind: y"],
+        ["run: |\n  one two\n  # three\n\n  four: 4\nname: a", "name: a\nrun: |\n    one two\n    # three\n    four: 4"],
+        ["- run: >-\n    one two\n  name: a\n- |\n  x: y\n- z", "- name: a\n  run: >-\n    one two\n- |\n    x: y\n- z"],
+        ["# k push --tag a --org b\nok: 1", "# k push --org b --tag a\nok: 1"],
+    ],
+)
+def test_comments_documents_and_scalars(texts):
+    assert len({canonical(t) for t in texts}) == 1, [canonical(t) for t in texts]
+
+
+@pytest.mark.parametrize(
+    "pair",
+    [
+        ("kind: x\n---\nname: b", "name: b\n---\nkind: x"),
+        ("run: |\n  a: 1\n  b: 2\nc: 3", "run: |\n  b: 2\n  a: 1\nc: 3"),
+        ("# k a: b\n# k c: d", "# k c: d\n# k a: b"),
+        ("# one\n# two\na: 1", "# two\n# one\na: 1"),
+        ("# a\nb: 1", "b: 1\n# a"),
+    ],
+)
+def test_order_that_counts(pair):
+    assert canonical(pair[0]) != canonical(pair[1])
