@@ -139,8 +139,8 @@ def renamed_on_synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unknown_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Problems of the ledger that the catalogue doesn't have, with the mismatches it names by rule left in."""
-    return ledger.unknown(table(spark, sf_dir, "known_issues", "problem").distinct(), catalogue.frame(spark).where("category <> 'stale'")).select("problem")
+    """Problems of the ledger that the catalogue doesn't have."""
+    return ledger.unknown(table(spark, sf_dir, "known_issues", "problem").distinct(), catalogue.frame(spark)).select("problem")
 
 
 def sibling_findings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,3 +78,8 @@ def test_siblings_take_acceptance_from_the_ledger_alone(spark, tables):
     got = {(r.rule, r.file, r.twin) for r in copies.sibling_findings(spark, sf_dir).where("problem = 'code-trailing-space'").collect()}
     page = "courses/{}.html".format
     assert got == {("shared-finding", page("AAAAA"), page("BBBBB")), ("uneven-copy", page("DDDDD"), page("CCCCC")), ("half-accepted-copy", page("CCCCC"), page("DDDDD"))}
+
+
+def test_unknown_issues_are_those_the_catalogue_lacks(spark, tables):
+    sf_dir = tables(issues=[("moved-link", "k", None), ("drifted-copy-prose", "k", None), ("no-such-problem", "k", None), ("no-such-problem", "l", None)])
+    assert [r.problem for r in copies.unknown_issues(spark, sf_dir).collect()] == ["no-such-problem"]
