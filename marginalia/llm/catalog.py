@@ -46,6 +46,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_cases(spark, sf_dir).select("src_table", "row_key")
 
 
+def p4_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose residue is so large a share of the document that they are left out, not only cleaned."""
+    return p4_cases(spark, sf_dir).where("exclude").select("src_table", "row_key", "share")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout_copies.found(table(spark, sf_dir, "code_blocks", "block_no", "code"), "block_no", "code").toDF("first_no", "copy_no")
 
@@ -100,7 +105,7 @@ def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.segments(*_labelled(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_coverage": p2_coverage, "p4_found": p4_found, "p4_cases": p4_cases, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_forms": p6_forms, "p7_ids": p7_ids, "p8_assign": p8_assign, "p8_fill": p8_fill, "p9_found": p9_found, "p9_documents": p9_documents, "p9_segments": p9_segments}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_coverage": p2_coverage, "p4_found": p4_found, "p4_cases": p4_cases, "p4_excluded": p4_excluded, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_forms": p6_forms, "p7_ids": p7_ids, "p8_assign": p8_assign, "p8_fill": p8_fill, "p9_found": p9_found, "p9_documents": p9_documents, "p9_segments": p9_segments}
 #: Whole-table SQL of the queries that SQL can express; the others are tested against brute force, round trips or held-out truth.
 SQL: dict[str, str] = {
     "p1_found": """
