@@ -2,18 +2,18 @@
 
 For each language there is a suffix automaton of labelled text. A sentence is parsed against it greedily: each
 phrase is the longest stretch that stands somewhere in the labelled text, and the next begins where it ends. The language
-that needs the fewest phrases wins; phrases per character must stay under MOST, else the sentence has no language (code, names,
-other scripts). Confidence is the margin to the second language, (second - first) / second. All sentences of a batch
-are parsed in step, one gather in the transition table a character.
+that needs the fewest phrases wins; if two need equally few, or more than MOST phrases a character are needed, the sentence has no language
+(code, names, other scripts). Confidence is the margin to the second language, (second - first) / second. All sentences of a batch
+are parsed in step against all languages: one gather in one table of all automata a character.
 
 The labelled text is a bounded sample: of each language up to SAMPLE_DOCS documents with that label (those with
-the least hash of their id) of at most SAMPLE_LENGTH characters, SAMPLE_CHARS characters in all, beside a few sentences of our
-own. As labels can be wrong, the sample is cleaned first: sentences whose words occur at higher rates under another label
+the least hash of their id) of at most SAMPLE_LENGTH characters, SAMPLE_CHARS characters in all. As labels can be wrong and texts mixed,
+the sample is cleaned first: sentences whose words occur at higher rates under another label
 are left out. The sample trains the automata only; every document is parsed whole.
 
-Fenced and quoted code and addresses are masked. A whole sentence ends with a sentence mark and has MIN_WORDS words or more. Null,
+Fenced and quoted code and addresses are masked. A whole sentence ends with a sentence mark and has a word. Null,
 empty and blank texts have no language and no segments. A document's language is the one with most sentences (ties: the
-higher confidence, then the name).
+higher confidence, then the name). A language without labelled text is never found.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ SAMPLE_DOCS = 300
 SAMPLE_LENGTH = 4000
 SAMPLE_CHARS = 20_000
 MOST = 0.3
-MIN_WORDS = 3
+ROUNDS = 3
 MIN_SENTENCES = 2
 
 # Codes and names of the languages.
@@ -51,21 +51,11 @@ LABELS = {
     "ru": ("ru", "rus", "russian", "русский"),
 }
 _LANGUAGE = {name: lang for lang, names in LABELS.items() for name in names}
-_SEED = {
-    "en": "This is the first part of the text, and it was written for everyone who wants to read it. There are many things that they would have said about which of these were better than the others.",
-    "de": "Das ist der erste Teil des Textes, und er wurde für alle geschrieben, die ihn lesen möchten. Es gibt viele Dinge, die sie darüber gesagt hätten, welche von diesen besser als die anderen waren.",
-    "fr": "Ceci est la première partie du texte, et elle a été écrite pour tous ceux qui veulent la lire. Il y a beaucoup de choses que nous aurions dites dans ces pages avec les autres.",
-    "es": "Esta es la primera parte del texto, y fue escrita para todos los que quieren leerla. Hay muchas cosas que habrían dicho sobre cuáles de estas eran mejores que las otras.",
-    "pt": "Esta é a primeira parte do texto, e foi escrita para todos os que querem lê-la. Há muitas coisas que teriam dito sobre quais destas eram melhores do que as outras, não só aqui.",
-    "it": "Questa è la prima parte del testo, ed è stata scritta per tutti quelli che vogliono leggerla. Ci sono molte cose che avrebbero detto su quali di queste erano migliori delle altre.",
-    "nl": "Dit is het eerste deel van de tekst, en het is geschreven voor iedereen die het wil lezen. Er zijn veel dingen die zij zouden hebben gezegd over welke van deze beter waren dan de andere.",
-    "pl": "To jest pierwsza część tekstu i została napisana dla wszystkich, którzy chcą ją przeczytać. Jest wiele rzeczy, które powiedzieliby o tym, które z nich były lepsze niż pozostałe.",
-    "ru": "Это первая часть текста, и она была написана для всех, кто хочет её прочитать. Есть много вещей, которые они сказали бы о том, какие из них были лучше, чем остальные.",
-}
 
 _MASKED = (re.compile(r"```.*?(?:```|\Z)", re.S), re.compile(r"`[^`\n]*`"), re.compile(r"https?://\S+"))
 _SENTENCE = re.compile(r"""\S.*?[.!?…。]+(?=["'»”)\]]*(?:\s|$))|\S.*""")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_ENDS = frozenset(".!?…。")
 
 
 def label(value: str | None) -> str | None:
@@ -79,17 +69,21 @@ def label_column(value: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in _LANGUAGE.items() for x in pair])[head]
 
 
-def sentences(text: str) -> Iterable[tuple[int, int, str, bool]]:
-    """(start, end, letters, whole) of each sentence: its lower-cased words with one blank between them."""
-    for pattern in _MASKED:
-        # A fence is a wall, other code leaves blanks; offsets stay.
-        text = pattern.sub(lambda m: ("\n" if m[0].startswith("```") else " ") * len(m[0]), text)
+def sentences(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, letters) of each whole sentence: its lower-cased words with one blank between them."""
+    if "`" in text or "://" in text:
+        for pattern in _MASKED:
+            # A fence is a wall, other code leaves blanks; offsets stay.
+            text = pattern.sub(lambda m: ("\n" if m[0].startswith("```") else " ") * len(m[0]), text)
+    plain = unicodedata.is_normalized("NFC", text)
     at = 0
     for line in text.split("\n"):
         for m in _SENTENCE.finditer(line):
-            words = _LETTERS.findall(unicodedata.normalize("NFC", m[0]).lower())
-            whole = len(words) >= MIN_WORDS and m[0].rstrip("\"'»”)] ")[-1:] in (".", "!", "?", "…", "。")
-            yield at + m.start(), at + m.end(), " ".join(words), whole
+            sentence = m[0]
+            if sentence.rstrip("\"'»”)] ")[-1:] in _ENDS:
+                words = _LETTERS.findall((sentence if plain else unicodedata.normalize("NFC", sentence)).lower())
+                if words:
+                    yield at + m.start(), at + m.end(), " ".join(words)
         at += len(line) + 1
 
 
@@ -124,94 +118,107 @@ def suffix_automaton(codes: Iterable[int]) -> list[dict[int, int]]:
 
 
 class Parser:
-    """Automata of several languages over one alphabet; code 0 stands for every character outside it."""
+    """Automata of several languages in one table.
+
+    An entry is twice the row of the next state, plus one if a new phrase begins with the character. Each language has columns for
+    its own characters; column 0 is every other one, which is a phrase of its own.
+    """
 
     def __init__(self, texts: dict[str, str]):
-        self.languages = sorted(texts)
-        self.codes = {c: i + 1 for i, c in enumerate(sorted(set("".join(texts.values()))))}
-        self.width = len(self.codes) + 1
-        self.tables = []
-        for lang in self.languages:
-            steps = suffix_automaton(self.codes[c] for c in texts[lang])
-            # State 0 is dead, 1 the start.
-            table = np.zeros((len(steps) + 1, self.width), np.uint16 if len(steps) < 65_000 else np.int32)
-            for i, s in enumerate(steps):
-                table[i + 1, list(s)] = [x + 1 for x in s.values()]
-            self.tables.append(table.reshape(-1))
+        self.languages = sorted(lang for lang, text in texts.items() if text)
+        every = sorted(set("".join(texts.values())))
+        self.code = np.zeros(0x110000, np.uint16)
+        self.code[[ord(c) for c in every]] = np.arange(1, len(every) + 1)
+        self.columns = np.zeros((len(self.languages), len(every) + 1), np.uint16)
+        self.start = np.zeros(len(self.languages), np.int32)
+        tables, base = [], 0
+        for k, lang in enumerate(self.languages):
+            own = {c: i + 1 for i, c in enumerate(sorted(set(texts[lang])))}
+            width = len(own) + 1
+            self.columns[k, self.code[[ord(c) for c in own]]] = list(own.values())
+            steps = suffix_automaton(own[c] for c in texts[lang])
+            fresh = np.zeros(width, np.int64)
+            fresh[list(steps[0])] = list(steps[0].values())
+            table = np.empty((len(steps), width), np.int32)
+            table[:] = ((fresh * width + base) << 1) | 1
+            for i, step in enumerate(steps):
+                table[i, list(step)] = [(to * width + base) << 1 for to in step.values()]
+            self.start[k] = base
+            base += table.size
+            tables.append(table.reshape(-1))
+        self.table = np.concatenate([np.zeros(0, np.int32), *tables])
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Number of phrases of each text for each language; an empty text is one phrase."""
         out = np.ones((len(texts), len(self.languages)), np.int64)
         lengths = np.array([len(t) for t in texts], np.int64)
         order = np.argsort(-lengths, kind="stable")
-        for a in range(0, len(texts), 4096):
-            rows = order[a : a + 4096]
+        for a in range(0, len(texts), 2048):
+            rows = order[a : a + 2048]
             size = lengths[rows]
-            if not len(rows) or not size[0]:
-                continue
-            points = np.zeros((len(rows), size[0]), np.int64)
-            flat = np.array([self.codes.get(c, 0) for i in rows for c in texts[i]], np.int64)
-            points[np.arange(size[0]) < size[:, None]] = flat
+            n, steps = len(rows), int(size[0])
+            points = np.zeros((n, steps), np.uint16)
+            points[np.arange(steps) < size[:, None]] = self.code[np.frombuffer("".join([texts[i] for i in rows]).encode("utf-32-le", "surrogatepass"), np.uint32)]
             points = np.ascontiguousarray(points.T)
-            active = len(rows) - np.searchsorted(size[::-1], np.arange(size[0]), "right")
-            for k, table in enumerate(self.tables):
-                state = np.full(len(rows), self.width, np.int64)
-                count = np.ones(len(rows), np.int64)
-                first = table[self.width : 2 * self.width].astype(np.int64)
-                for t in range(size[0]):
-                    n = active[t]
-                    c = points[t, :n]
-                    to = table[state[:n] + c].astype(np.int64)
-                    dead = to == 0
-                    count[:n] += dead
-                    fresh = first[c]
-                    to = np.where(dead, np.where(fresh == 0, 1, fresh), to)
-                    state[:n] = to * self.width
-                out[rows, k] = count
+            active = n - np.searchsorted(size[::-1], np.arange(steps), "right")
+            state = np.repeat(self.start, n).reshape(-1, n)
+            count = np.ones((len(self.start), n), np.int32)
+            for t in range(steps):
+                m = active[t]
+                if m < 0.9 * n:
+                    out[rows[:n]] = count.T
+                    n, state, count = m, state[:, :m].copy(), count[:, :m].copy()
+                state += self.columns[:, points[t, :n]]
+                to = self.table.take(state)
+                count[:, :m] += to[:, :m] & 1
+                state = to >> 1
+            out[rows[:n]] = count.T
         return out
 
     def judge(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(number of the language or -1, confidence) of each text."""
+        if not self.languages:
+            return np.full(len(texts), -1), np.zeros(len(texts))
         counts = self.phrases(texts)
-        ranked = np.sort(counts, 1)
         best = np.argmin(counts, 1)
-        first, second = ranked[:, 0], ranked[:, min(1, ranked.shape[1] - 1)]
-        size = np.maximum(1, np.array([len(t) for t in texts]))
-        best[first > MOST * size] = -1
+        size = np.array([len(t) for t in texts], np.int64)
+        # Without a second language the text itself, a phrase a character, is what it is held against.
+        ranked = np.sort(np.column_stack((counts, size + 1)), 1)
+        first, second = ranked[:, 0], ranked[:, 1]
+        best[(first > MOST * np.maximum(1, size)) | (first == second)] = -1
         return best, (second - first) / np.maximum(second, 1)
 
 
+def _joined(parts: Iterable[str], most: int) -> str:
+    out, size = [], 0
+    for s in dict.fromkeys(parts):
+        if size + len(s) > most:
+            break
+        out.append(s)
+        size += len(s) + 1
+    return " ".join(out)
+
+
 def clean(labelled: dict[str, list[str]]) -> dict[str, str]:
     """Text of each language from labelled documents, without the sentences whose words are more at home under another label.
 
     A word's rate under a label is the share of its sentences that have the word. A wrong label is rarer than a
     right one, so that a sentence in a strange language has words of higher rates elsewhere.
     """
-    seeds = {lang: [s for _, _, s, _ in sentences(text)] for lang, text in _SEED.items()}
-    pool = [(lang, s) for lang in LABELS for text in labelled.get(lang, []) for _, _, s, whole in sentences(text) if whole]
-    pool += [(lang, s) for lang, some in seeds.items() for s in some]
+    number = {lang: i for i, lang in enumerate(labelled)}
+    pool = [(lang, s) for lang, texts in labelled.items() for text in texts for _, _, s in sentences(text)]
     right = pool
-    for _ in range(3):
+    for _ in range(ROUNDS):
         rates: dict[str, np.ndarray] = {}
-        total = np.full(len(LABELS), 2.0)
-        number = {lang: i for i, lang in enumerate(LABELS)}
+        total = np.full(len(number), 2.0)
         for lang, s in right:
             k = number[lang]
             total[k] += 1
             for w in set(s.split()):
-                rates.setdefault(w, np.zeros(len(LABELS)))[k] += 1
+                rates.setdefault(w, np.zeros(len(number)))[k] += 1
         logs = {w: np.log((r + 0.05) / total) for w, r in rates.items() if r.sum() > 1}
         right = [(lang, s) for lang, s in pool if (known := [logs[w] for w in set(s.split()) if w in logs]) and int(np.argmax(np.sum(known, 0))) == number[lang]]
-    out = {}
-    for lang in LABELS:
-        text, size = list(seeds[lang]), 0
-        for s in dict.fromkeys(s for name, s in right if name == lang):
-            if size + len(s) > SAMPLE_CHARS:
-                break
-            text.append(s)
-            size += len(s) + 1
-        out[lang] = " ".join(text)
-    return out
+    return {lang: _joined((s for name, s in right if name == lang), SAMPLE_CHARS) for lang in labelled}
 
 
 def sample(docs: DataFrame, key: str, text: str, lang: str) -> dict[str, list[str]]:
@@ -246,12 +253,12 @@ def segments_column(text: Column, texts: dict[str, str]) -> Column:
         out: list[list[dict]] = []
         values = [t or "" for t in a.to_pylist()]
         for x, y in slices(values):
-            found = [[s for s in sentences(t) if s[3]] for t in values[x:y]]
+            found = [list(sentences(t)) for t in values[x:y]]
             best, sure = parser.judge([s[2] for f in found for s in f])
             at = 0
             for f in found:
                 runs: list[dict] = []
-                for start, end, _, _ in f:
+                for start, end, _ in f:
                     b, c = int(best[at]), float(sure[at])
                     at += 1
                     if b < 0:

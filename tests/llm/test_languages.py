@@ -70,3 +70,17 @@ def test_labels():
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert lang.found(docs, "doc_id", "text", "lang").count() == 0
+
+
+def test_every_whole_sentence_counts():
+    assert [s for _, _, s in lang.sentences("Ja. Ja, gerne. 12. (?) No end")] == ["ja", "ja gerne"]
+
+
+def test_ties_and_strangers_have_no_language():
+    parser = lang.Parser({"de": "das ist ein alter baum und ein haus", "nl": "dat is een oude boom en een huis", "fr": ""})
+    best, sure = parser.judge(["ein haus", "een huis", "日本語", "x", "is"])
+    assert [parser.languages[b] if b >= 0 else None for b in best] == ["de", "nl", None, None, None]
+    assert sure[2] == 0 and sure[0] > 0
+    assert lang.Parser({}).judge(["a"])[0].tolist() == [-1]
+    alone, _ = lang.Parser({"en": "one old house"}).judge(["old house", "x y z"])
+    assert alone.tolist() == [0, -1]
