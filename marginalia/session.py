@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -11,6 +12,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+_WRITTEN: list[str] = []
+
+
 def local_session(name: str = "marginalia", cores: int | str = 8, memory: str = "8g", **conf: str) -> SparkSession:
     """A session for tests and benches on one machine."""
     builder = (
@@ -23,6 +27,7 @@ def local_session(name: str = "marginalia", cores: int | str = 8, memory: str =
         .config("spark.ui.enabled", "false")
         .config("spark.sql.maxPlanStringLength", "100000")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("_", "."), value)
@@ -45,18 +50,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and go on from there: a lost executor loses nothing."""
+    """Write the rows to the shared folder and go on from there: a lost executor loses nothing.
+
+    Spark removes what was written when nothing refers to it, if spark.cleaner.referenceTracking.cleanCheckpoints is on.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder, read back: a plan that knows nothing of how they were made."""
+    """The rows as a table in the shared folder, read back: a plan that knows nothing of how they were made.
+
+    It stays until `forget_written`, at the latest the end of the driver's process.
+    """
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(forget_written, df.sparkSession)
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget_written(spark: SparkSession) -> None:
+    """Remove the tables of `written`; no relation made from them may be used any more."""
+    while _WRITTEN:
+        name = _WRITTEN.pop()
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # the JVM may be gone at the end of the process
+            return
+
+
 _SHIPPED: set[str] = set()
 
 
