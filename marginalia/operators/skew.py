@@ -14,13 +14,12 @@ PARTS = 64
 
 
 def hot_keys(sizes: DataFrame, keys: Sequence[str], size: str, hot: int = HOT) -> DataFrame | None:
-    """The hot keys of (keys, size), a list of fewer than MOST rows; None if there is none. `sizes` is read twice."""
-    total = sizes.agg(F.sum(size)).first()[0] or 0
-    if total <= hot:
-        return None
-    rows = sizes.where(F.col(size) > max(hot, total / MOST)).select(*keys).collect()
-    if not rows:
+    """The hot keys of (keys, size), a list of fewer than MOST rows; None if there is none. `sizes` is read once, and again if there are."""
+    total, most = sizes.agg(F.sum(size), F.max(size)).first()
+    least = max(hot, (total or 0) / MOST)
+    if (most or 0) <= least:
         return None
+    rows = sizes.where(F.col(size) > least).select(*keys).collect()
     return sizes.sparkSession.createDataFrame(rows, sizes.select(*keys).schema)
 
 
