@@ -8,7 +8,9 @@ order. Structure serves sorting alone and leaves no mark, so that a mapping equa
 
 A text is read as a JSON value if it begins like one, else as YAML if each of its lines is a key, a list item or a
 comment or of a block scalar and no mapping of a document repeats a key, else as lines of commands. Reading is tolerant: any quotes, full-width marks, blanks of any
-kind as indentation, stray indentation of the first line, unclosed brackets; YAML nested deeper than DEPTH is read as lines.
+kind as indentation, stray indentation of the first line, unclosed brackets, any depth.
+
+A text or a group that holds a large part of all blocks is split where its rows meet their group (`operators.skew`).
 
 Null texts and texts without a letter or digit belong to no group. Repeated rows are one block. Extra columns are ignored.
 """
@@ -22,14 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marginalia.operators.skew import hot_keys, split_join
 from marginalia.session import cut
 
 # Fixed value: the options that never have a value.
 BARE_OPTIONS = frozenset({"quiet", "no-color", "dry-run"})
 
-#: Deeper YAML is read as lines.
-DEPTH = 200
-
 _WORD = re.compile(r"[^\W_]+")
 _CONTINUED = re.compile(r"\\\s*\n\s*")
 _TOKEN = re.compile(r"""(?:[^\s"']|"[^"]*"|'[^']*'|["'])+""")
@@ -84,16 +84,24 @@ class _Entry:
     def __init__(self, indent: int, item: bool, name: str, words: list[str], is_open: bool):
         self.indent, self.item, self.name, self.words, self.open, self.parts = indent, item, name, words, is_open, []
 
-    def flat(self) -> list[str]:
-        if not self.parts:
-            return self.words
-        items = [e.flat() for e in self.parts if e.item]
-        keys = sorted(e.flat() for e in self.parts if not e.item)
-        return self.words + [w for p in (*items, *keys) for w in p]
 
-    def repeats(self) -> bool:
-        names = [e.name for e in self.parts if not e.item]
-        return len(names) != len(set(names)) or any(e.repeats() for e in self.parts)
+def _flat(root: _Entry) -> list[str] | None:
+    """Words of a tree with the members of each mapping sorted; None if a mapping repeats a key."""
+    order = [root]
+    for e in order:
+        order.extend(e.parts)
+    flat: dict[int, list[str]] = {}
+    for e in reversed(order):
+        names = [p.name for p in e.parts if not p.item]
+        if len(names) != len(set(names)):
+            return None
+        if e.parts:
+            items = [flat.pop(id(p)) for p in e.parts if p.item]
+            keys = sorted(flat.pop(id(p)) for p in e.parts if not p.item)
+            flat[id(e)] = e.words + [w for p in (*items, *keys) for w in p]
+        else:
+            flat[id(e)] = e.words
+    return flat[id(root)]
 
 
 def _rest(text: str) -> list[str]:
@@ -103,11 +111,11 @@ def _rest(text: str) -> list[str]:
 def _scalar_start(indent: int, body: str) -> tuple[int, int] | None:
     """(indentation of its owner, place of the mark) if a line begins a block scalar."""
     at, owner = 0, indent
-    while m := _ITEM.match(body[at:]):
-        owner, at = indent + at, at + m.end()
-    if key := _KEY.match(body[at:]):
-        owner, at = indent + at, at + key.end()
-    return (owner, at) if at and _SCALAR.match(body[at:]) else None
+    while m := _ITEM.match(body, at):
+        owner, at = indent + at, m.end()
+    if key := _KEY.match(body, at):
+        owner, at = indent + at, key.end()
+    return (owner, at) if at and _SCALAR.match(body, at) else None
 
 
 def yaml_words(text: str) -> list[str] | None:
@@ -184,34 +192,30 @@ def _document_words(lines: list) -> list[str] | None:
             lines[0][0] = least
     root = _Entry(-1, True, "", [], True)
     stack = [root]
-    deepest = 0
 
     def place(entry: _Entry) -> None:
-        nonlocal deepest
         while stack[-1].indent > entry.indent or (stack[-1].indent == entry.indent and not (entry.item and not stack[-1].item and stack[-1].open)):
             stack.pop()
         stack[-1].parts.append(entry)
         stack.append(entry)
-        deepest = max(deepest, len(stack))
 
     for indent, body in lines:
-        while m := _ITEM.match(body):
-            rest = body[m.end() :]
-            if rest and (_KEY.match(rest) or _ITEM.match(rest)):
-                place(_Entry(indent, True, "", [], True))
-                indent, body = indent + m.end(), rest
+        at = 0
+        while m := _ITEM.match(body, at):
+            end = m.end()
+            if end < len(body) and (_ITEM.match(body, end) or _KEY.match(body, end)):
+                place(_Entry(indent + at, True, "", [], True))
+                at = end
                 continue
-            place(_Entry(indent, True, "", _rest(rest), False))
+            place(_Entry(indent + at, True, "", _rest(body[end:]), False))
             break
         else:
-            key = _KEY.match(body)
+            key = _KEY.match(body, at)
             if key is None:
                 return None
             name = _WORD.findall(key.group())
-            place(_Entry(indent, False, " ".join(name), name + _rest(body[key.end() :]), key.end() == len(body)))
-    if deepest > DEPTH or root.repeats():
-        return None
-    return root.flat()
+            place(_Entry(indent + at, False, " ".join(name), name + _rest(body[key.end() :]), key.end() == len(body)))
+    return _flat(root)
 
 
 def command_words(text: str) -> list[str]:
@@ -273,23 +277,24 @@ def canonical_column(text: str):
 
 
 def groups(blocks: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(members, survivors): (no, raw) of each block and (raw, copies, first, group_first, group_copies) of each distinct text."""
+    """(members, survivors): (no, raw) of each block and (raw, canon, copies, first, group_first, group_copies) of each distinct text."""
     rows = blocks.select(F.col(key).cast("bigint").alias("no"), F.col(text).alias("text")).where("no is not null and text is not null")
     members = rows.withColumn("raw", F.unhex(F.sha2("text", 256)))
     # One row a block and text before counting: a redelivered row isn't a copy. Texts travel once, to be collapsed.
     single = members.select("no", "raw").distinct()
     copies = single.groupBy("raw").agg(F.min("no").alias("first"), F.count("*").alias("copies"))
     survivors = members.groupBy("raw").agg(F.first("text").alias("text")).select("raw", canonical_column("text").alias("canon")).where("canon is not null")
-    texts = cut(survivors.select("raw", F.unhex(F.sha2("canon", 256)).alias("canon"))).join(copies, "raw")
-    by = texts.groupBy("canon").agg(F.min("first").alias("group_first"), F.sum("copies").alias("group_copies"))
-    return single, texts.join(by, "canon").drop("canon")
+    texts = cut(survivors.select("raw", F.unhex(F.sha2("canon", 256)).alias("canon")).join(copies, "raw"))
+    by = texts.groupBy("canon").agg(F.min("first").alias("group_first"), F.sum("copies").alias("group_copies"), F.count("*").alias("texts"))
+    hot = hot_keys(by, ["canon"], "texts")
+    return single, split_join(texts, by.drop("texts"), ["canon"], "raw", hot)
 
 
 def found(blocks: DataFrame, key: str, text: str) -> DataFrame:
     """(first, copy): every block of a group but the one with the smallest number."""
     members, survivors = groups(blocks, key, text)
-    many = survivors.where("group_copies > 1").select("raw", "group_first")
-    out = members.join(many, "raw").where("no <> group_first")
+    many = survivors.where("group_copies > 1")
+    out = split_join(members, many.select("raw", "group_first"), ["raw"], "no", hot_keys(many, ["raw"], "copies")).where("no <> group_first")
     return out.select(F.col("group_first").alias("first"), F.col("no").alias("copy"))
 
 

@@ -79,3 +79,22 @@ def test_comments_documents_and_scalars(texts):
 )
 def test_order_that_counts(pair):
     assert canonical(pair[0]) != canonical(pair[1])
+
+
+def test_any_depth():
+    for depth in (150, 210, 2000):
+        one = "".join(f"{' ' * i}b: {i}\n{' ' * i}a:\n" for i in range(depth)) + " " * depth + "x: 1"
+        two = [f"{' ' * i}a:\n" for i in range(depth)] + [" " * depth + "x: 1\n"] + [f"{' ' * i}b: {i}\n" for i in reversed(range(depth))]
+        assert canonical(one) == canonical("".join(two)) != canonical(one.replace("b: 3\n", "b: 4\n"))
+    assert canonical("- " * 50_000 + "k: v") == "k v"
+
+
+def test_hot_texts_and_groups(spark, monkeypatch):
+    from marginalia.operators import skew
+
+    rows = [(i, "a:\n  x: 1\n  y: 2") for i in range(40)] + [(100 + i, "a:\n" + " " * (i + 1) + "y: 2\n" + " " * (i + 1) + "x: 1") for i in range(40)] + [(200, "other"), (201, "OTHER"), (202, "alone")]
+    blocks = spark.createDataFrame(rows, "block_no long, code string")
+    plain = sorted(map(tuple, found(blocks, "block_no", "code").collect()))
+    monkeypatch.setattr(skew.hot_keys, "__defaults__", (10,))
+    assert sorted(map(tuple, found(blocks, "block_no", "code").collect())) == plain == sorted([(0, i) for i in range(1, 40)] + [(0, 100 + i) for i in range(40)] + [(200, 201)])
+    assert sorted(map(tuple, counts(blocks, "block_no", "code").collect())) == [(0, 80), (200, 2), (202, 1)]
