@@ -1,18 +1,22 @@
 """Problem 1: records that are mostly the same, by segment-popcount embedding.
 
-A record's fingerprint is the set of hashes of its runs of five words. Each hash falls into one of g groups and there into
-one of SEGMENTS segments; a group's cell is the vector of its segments' popcounts, so that the cells of all groups
-embed the fingerprint. Every run that only one of two records has changes one popcount by one: the
-Manhattan distance of two embeddings is at most the number d of such runs. A similarity of t or more means
-d <= (|A| + |B|) (1 - t) / (1 + t); with sizes in one size class (ratio 1/t, a record enters its own class and the one
-below) that is at most r, a constant of the class. With g > r groups at least g - r cells are then equal, so a range
-join under Manhattan distance r becomes an equality join of cells of the grid. Cells are ordered by how
-many records have them; of each record the r + 1 rarest take part, as two records with g - r cells in common
+A record's fingerprint is the set of hashes of its runs of five words. Each hash falls into one of the segments of a bit
+vector, and the embedding is the number of bits of each segment. Every run that only one of two records has changes one of
+the numbers by one, so that the Manhattan distance of two embeddings is a lower bound of the number d of such runs. A similarity of
+t or more means d <= (|A| + |B|) (1 - t) / (1 + t); with sizes in one size class (ratio 1/t, a record enters its own class and
+the one below) that is at most r, a constant of the class.
+
+Records within Manhattan distance r are found by a range join over a grid. The numbers of segments are near their mean in all
+records, so that a grid of cells of width r over few of them holds everything in one cell. The segments are therefore dealt
+into g groups with a grid of their own: r is spread over the groups, in one of them the distance is at most r / g, and the
+neighbours to be probed there are the cells within that radius. With g > r the radius is 0, the only neighbour is the cell
+itself, and even g - r groups must have equal cells. A group has SEGMENTS segments here, and its cell is their vector of numbers.
+Cells are ordered by how many records have them; of each record the r + 1 rarest take part, as two records with g - r cells in common
 share one of those. Cells that occur once drop out. Of g = SPARE (r + 1) groups all but r + 1 may be left out, so that
 frequent cells (of empty groups, or of a passage that stands in a third of all records and makes up to about 0.6 of
 them) are not among the rarest. Records that share more than that are compared pair by pair.
 
-Pairs that share a cell must then pass the lower bound over the popcounts of all BOUND segments, and
+Pairs that share a cell must then pass the lower bound over all runs in BOUND segments, and
 the rest is verified on the sets of hashes. Records with equal sets are one class of copies before all that; their pairs
 are put back at the end. Nothing is sampled or capped.
 
@@ -67,14 +71,14 @@ def fingerprints(docs: DataFrame, key: str, text: str, run: int = RUN, min_words
                 ends = np.cumsum(sizes)
                 row = np.repeat(np.arange(len(rows)), sizes)
                 counts = np.bincount(row * BOUND + (hashes & np.uint64(BOUND - 1)).astype(np.int64), minlength=len(rows) * BOUND)
-                bound = np.minimum(counts, 255).astype(np.uint8).tobytes()
+                bound = counts.astype(np.uint32).tobytes()
                 raw = hashes.tobytes()
                 yield pa.record_batch(
                     {
                         "no": keys.slice(a, b - a).take(pa.array(rows)),
                         "n": pa.array(sizes, pa.int32()),
                         "same": pa.array([hashlib.blake2b(raw[8 * (e - s) : 8 * e], digest_size=16).digest() for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)], pa.binary()),
-                        "bound": pa.array([bound[i * BOUND : (i + 1) * BOUND] for i in range(len(rows))], pa.binary()),
+                        "bound": pa.array([bound[4 * i * BOUND : 4 * (i + 1) * BOUND] for i in range(len(rows))], pa.binary()),
                         "runs": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(hashes.view(np.int64))),
                     }
                 )
@@ -100,7 +104,7 @@ def group_count(radius: np.ndarray) -> np.ndarray:
 
 
 def cells(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(cell, no, cls): for each record and class it enters one row a group."""
+    """(cell, no, n, cls): for each record and class it enters one row a group."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -121,14 +125,14 @@ def cells(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                     of = np.repeat(np.arange(len(n)), groups)
                     group = np.arange(first[-1]) - first[of]
                     cell = hashing.mix(sums + hashing.mix(cls[of].astype(np.uint64) * np.uint64(1 << 32) + group.astype(np.uint64) + np.uint64(1)))
-                    yield pa.record_batch({"cell": pa.array(cell.view(np.int64)), "no": pa.array(no[of]), "cls": pa.array(cls[of].astype(np.int16))})
+                    yield pa.record_batch({"cell": pa.array(cell.view(np.int64)), "no": pa.array(no[of]), "n": pa.array(n[of].astype(np.int32)), "cls": pa.array(cls[of].astype(np.int16))})
 
-    return records.select("no", "n", "runs").mapInArrow(batches, "cell bigint, no bigint, cls smallint")
+    return records.select("no", "n", "runs").mapInArrow(batches, "cell bigint, no bigint, n int, cls smallint")
 
 
 def distance(a: pa.Array, b: pa.Array) -> pa.Array:
     """Manhattan distance of two vectors of popcounts."""
-    x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(-1, BOUND).astype(np.int32) for v in (a, b))
+    x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint32).reshape(-1, BOUND).astype(np.int64) for v in (a, b))
     return pa.array(np.abs(x - y).sum(1), pa.int32())
 
 
@@ -142,17 +146,16 @@ def similar(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # The size classes are few: up to the logarithm of the longest text.
     radii = class_radius(np.arange(-1, 120), threshold)
     spare = F.create_map(*[F.lit(int(x)) for k, r, g in zip(range(-1, 120), radii, group_count(radii), strict=True) for x in (k, g - r - 1)])
-    rare = ranked.where(F.col("rank") <= F.col("shared") - spare[F.col("cls").cast("int")]).select("cell", "no")
-    rare = rare.join(records.select("no", "n", "bound"), "no")
-    one = rare.select("cell", *(F.col(c).alias(f"{c}_a") for c in ("no", "n", "bound")))
-    two = rare.select("cell", *(F.col(c).alias(f"{c}_b") for c in ("no", "n", "bound")))
+    rare = ranked.where(F.col("rank") <= F.col("shared") - spare[F.col("cls").cast("int")]).select("cell", "no", "n")
     near = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9
-    met = one.join(two, "cell").where(F.col("no_a") < F.col("no_b")).where(near)
-    met = met.groupBy("no_a", "no_b").agg(*(F.first(c).alias(c) for c in ("n_a", "n_b", "bound_a", "bound_b")))
+    met = rare.toDF("cell", "no_a", "n_a").join(rare.toDF("cell", "no_b", "n_b"), "cell").where(F.col("no_a") < F.col("no_b")).where(near)
+    met = met.select("no_a", "no_b", "n_a", "n_b").distinct()
+    for side in "ab":
+        met = met.join(records.select(F.col("no").alias(f"no_{side}"), F.col("bound").alias(f"bound_{side}")), f"no_{side}")
     most = (F.col("n_a") + F.col("n_b")) * ((1 - threshold) / (1 + threshold)) + 1e-6
-    left = met.where(F.arrow_udf(distance, T.IntegerType())("bound_a", "bound_b") <= most).select("no_a", "no_b", "n_a", "n_b")
-    sets = records.select("no", "runs")
-    both = left.join(sets.withColumnsRenamed({"no": "no_a", "runs": "runs_a"}), "no_a").join(sets.withColumnsRenamed({"no": "no_b", "runs": "runs_b"}), "no_b")
+    both = met.where(F.arrow_udf(distance, T.IntegerType())("bound_a", "bound_b") <= most).select("no_a", "no_b", "n_a", "n_b")
+    for side in "ab":
+        both = both.join(records.select(F.col("no").alias(f"no_{side}"), F.col("runs").alias(f"runs_{side}")), f"no_{side}")
     both = both.withColumn("shared", F.size(F.array_intersect("runs_a", "runs_b"))).withColumn("either", F.col("n_a") + F.col("n_b") - F.col("shared"))
     return both.where(F.col("shared") >= threshold * F.col("either") - 1e-9).select(F.col("no_a").alias("a"), F.col("no_b").alias("b"), "shared", "either")
 
@@ -176,15 +179,15 @@ def all_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.where("a <> b or x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def components(pairs: DataFrame, rounds: int = 40) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """(no, root): the smallest record that is reachable over the pairs (a, b), by alternating large and small stars.
 
     Each round works on edges alone and cuts lineage; the number of rounds grows with the logarithm of the
-    longest chain. Stops when a round changes nothing.
+    longest chain. Ends when a round changes nothing.
     """
     edges = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     seen = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -196,8 +199,6 @@ def components(pairs: DataFrame, rounds: int = 40) -> DataFrame:
         if state == seen:
             break
         seen = state
-    else:
-        raise RuntimeError("the components did not settle")
     return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "no")
 
 

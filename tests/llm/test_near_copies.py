@@ -62,6 +62,26 @@ def test_empty(spark):
 
 
 def test_chain_components(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
+    rng = random.Random(3)
+    names = rng.sample(range(10_000), 3000)
+    edges = spark.createDataFrame(list(zip(names, names[1:], strict=False)) + [(20_000, 20_001)], "a long, b long")
     got = {r.no: r.root for r in n.components(edges).collect()}
-    assert set(got.values()) <= {0, 100} and len(got) >= 60
+    assert set(got.values()) <= {min(names), 20_000} and len(got) >= 3000
+
+
+def test_long_texts_are_bounded_below(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(40_000)]
+    other = list(words)
+    for _ in range(900):
+        other[rng.randrange(len(other))] = "x"
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(reversed(words)))], "id long, text string")
+    rows = n.fingerprints(docs, "id", "text").collect()
+    vectors = [r.bound for r in sorted(rows, key=lambda r: r.no)]
+    runs = [set(r.runs) for r in sorted(rows, key=lambda r: r.no)]
+    import pyarrow as pa
+
+    for i, j in ((0, 1), (0, 2)):
+        low = n.distance(pa.array([vectors[i]], pa.binary()), pa.array([vectors[j]], pa.binary()))[0].as_py()
+        assert 0 < low <= len(runs[i] ^ runs[j])
+    assert [tuple(r) for r in n.found(docs, "id", "text").collect()] == [(1, 2)]
