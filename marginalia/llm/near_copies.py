@@ -71,14 +71,15 @@ def fingerprints(docs: DataFrame, key: str, text: str, run: int = RUN, min_words
                 ends = np.cumsum(sizes)
                 row = np.repeat(np.arange(len(rows)), sizes)
                 counts = np.bincount(row * BOUND + (hashes & np.uint64(BOUND - 1)).astype(np.int64), minlength=len(rows) * BOUND)
-                bound = counts.astype(np.uint32).tobytes()
+                # Numbers beyond 65535 stay there: that can only shorten a distance.
+                bound = np.minimum(counts, 65535).astype(np.uint16).tobytes()
                 raw = hashes.tobytes()
                 yield pa.record_batch(
                     {
                         "no": keys.slice(a, b - a).take(pa.array(rows)),
                         "n": pa.array(sizes, pa.int32()),
                         "same": pa.array([hashlib.blake2b(raw[8 * (e - s) : 8 * e], digest_size=16).digest() for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)], pa.binary()),
-                        "bound": pa.array([bound[4 * i * BOUND : 4 * (i + 1) * BOUND] for i in range(len(rows))], pa.binary()),
+                        "bound": pa.array([bound[2 * i * BOUND : 2 * (i + 1) * BOUND] for i in range(len(rows))], pa.binary()),
                         "runs": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(hashes.view(np.int64))),
                     }
                 )
@@ -104,7 +105,7 @@ def group_count(radius: np.ndarray) -> np.ndarray:
 
 
 def cells(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(cell, no, n, cls): for each record and class it enters one row a group."""
+    """(cell, no, cls): for each record and class it enters one row a group."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -125,14 +126,14 @@ def cells(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                     of = np.repeat(np.arange(len(n)), groups)
                     group = np.arange(first[-1]) - first[of]
                     cell = hashing.mix(sums + hashing.mix(cls[of].astype(np.uint64) * np.uint64(1 << 32) + group.astype(np.uint64) + np.uint64(1)))
-                    yield pa.record_batch({"cell": pa.array(cell.view(np.int64)), "no": pa.array(no[of]), "n": pa.array(n[of].astype(np.int32)), "cls": pa.array(cls[of].astype(np.int16))})
+                    yield pa.record_batch({"cell": pa.array(cell.view(np.int64)), "no": pa.array(no[of]), "cls": pa.array(cls[of].astype(np.int16))})
 
-    return records.select("no", "n", "runs").mapInArrow(batches, "cell bigint, no bigint, n int, cls smallint")
+    return records.select("no", "n", "runs").mapInArrow(batches, "cell bigint, no bigint, cls smallint")
 
 
 def distance(a: pa.Array, b: pa.Array) -> pa.Array:
     """Manhattan distance of two vectors of popcounts."""
-    x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint32).reshape(-1, BOUND).astype(np.int64) for v in (a, b))
+    x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint16).reshape(-1, BOUND).astype(np.int64) for v in (a, b))
     return pa.array(np.abs(x - y).sum(1), pa.int32())
 
 
@@ -146,12 +147,11 @@ def similar(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # The size classes are few: up to the logarithm of the longest text.
     radii = class_radius(np.arange(-1, 120), threshold)
     spare = F.create_map(*[F.lit(int(x)) for k, r, g in zip(range(-1, 120), radii, group_count(radii), strict=True) for x in (k, g - r - 1)])
-    rare = ranked.where(F.col("rank") <= F.col("shared") - spare[F.col("cls").cast("int")]).select("cell", "no", "n")
-    near = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9
-    met = rare.toDF("cell", "no_a", "n_a").join(rare.toDF("cell", "no_b", "n_b"), "cell").where(F.col("no_a") < F.col("no_b")).where(near)
-    met = met.select("no_a", "no_b", "n_a", "n_b").distinct()
+    rare = ranked.where(F.col("rank") <= F.col("shared") - spare[F.col("cls").cast("int")]).select("cell", "no")
+    met = rare.toDF("cell", "no_a").join(rare.toDF("cell", "no_b"), "cell").where("no_a < no_b").select("no_a", "no_b").distinct()
     for side in "ab":
-        met = met.join(records.select(F.col("no").alias(f"no_{side}"), F.col("bound").alias(f"bound_{side}")), f"no_{side}")
+        met = met.join(records.select(*(F.col(c).alias(f"{c}_{side}") for c in ("no", "n", "bound"))), f"no_{side}")
+    met = met.where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)
     most = (F.col("n_a") + F.col("n_b")) * ((1 - threshold) / (1 + threshold)) + 1e-6
     both = met.where(F.arrow_udf(distance, T.IntegerType())("bound_a", "bound_b") <= most).select("no_a", "no_b", "n_a", "n_b")
     for side in "ab":
