@@ -163,7 +163,7 @@ def similar(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(members, records): (no, rep) of every record with a fingerprint, and one record for each set of runs; both written to the shared folder."""
     prints = fingerprints(docs, key, text)
-    digests = prints.select("no", "same").distinct()
+    digests = cut(prints.select("no", "same").distinct())
     reps = digests.groupBy("same").agg(F.min("no").alias("rep"))
     members = cut(digests.join(reps, "same").select("no", "rep"))
     # The sets are made again rather than kept from the first pass: that is cheaper than to write them twice.
