@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.hashing import slices
+from marginalia.functions.hashing import slices
 
 SAMPLE_DOCS = 300
 SAMPLE_LENGTH = 4000

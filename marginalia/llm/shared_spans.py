@@ -6,10 +6,10 @@ minimisers, so a bucket has all there is to know about its windows. There the wi
 rolling way and sorted; a window with two different records is shared, and runs of shared windows become
 spans. MER is longer than the phrases that a corpus repeats everywhere, which keeps buckets small.
 
-Bucket sizes are counted first. A bucket of more than `hot` strings doesn't go to one task: its equal strings are
+Bucket sizes are counted first. A bucket of more than HOT strings, and more than a 10,000th of all (`operators.skew`: the list of
+such buckets is shorter than that), doesn't go to one task: its equal strings are
 collapsed to their least and greatest record by hash of the string, the windows of the distinct strings are counted
-as rows with partial aggregation, and the shared ones go back to the occurrences by a join. `hot` is
-HOT or a millionth of all strings, so that the list of hot buckets has at most a million numbers.
+as rows with partial aggregation, and the shared ones go back to the occurrences by a join that deals out hot strings.
 
 Characters are code points. Null texts and texts shorter than SPAN have no windows; repeated rows of a record are one record;
 a span twice in one record alone isn't shared. Hashes have 64 bits beside the minimiser's 64.
@@ -24,7 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm import hashing
+from marginalia.functions import hashing
+from marginalia.operators.skew import hot_keys, split_join
+from marginalia.session import cut
 
 SPAN = 300
 MER = 64
@@ -149,26 +151,33 @@ def bucket_spans(span: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         return pa.record_batch({"src": table.column("src").take(pa.array(rows[of])).combine_chunks().cast(pa.string()), "no": pa.array(no[of]), "start": pa.array((start + shift).astype(np.int32)), "end": pa.array((end + shift).astype(np.int32))})
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Whole buckets are held until there are enough; `held` never ends within the bucket of `last`, `tail` is that one's rows so far.
         held: list[pa.RecordBatch] = []
-        size = 0
+        tail: list[pa.RecordBatch] = []
+        size, last = 0, None
         for batch in it:
             if not batch.num_rows:
                 continue
-            held.append(batch)
-            size += batch.nbytes
-            if size < 4 * hashing.SLICE:
-                continue
-            table = pa.Table.from_batches(held)
-            mini, src = np.asarray(table.column("mini")), table.column("src")
-            cut = len(mini) - 1
-            while cut and mini[cut - 1] == mini[-1] and src[cut - 1] == src[len(mini) - 1]:
-                cut -= 1
-            if cut:
-                if (out := spans(table.slice(0, cut))) is not None:
+            mini, src = np.asarray(batch.column("mini")), batch.column("src").dictionary_encode()
+            code = np.asarray(src.indices)
+            edges = np.flatnonzero((mini[1:] != mini[:-1]) | (code[1:] != code[:-1])) + 1
+            begins = last != (batch.column("src")[0].as_py(), mini[0])
+            last = (batch.column("src")[-1].as_py(), mini[-1])
+            if begins or len(edges):
+                cut = int(edges[-1]) if len(edges) else 0
+                held += tail
+                size += sum(t.nbytes for t in tail)
+                if cut:
+                    held.append(batch.slice(0, cut))
+                    size += held[-1].nbytes
+                tail = [batch.slice(cut)]
+            else:
+                tail.append(batch)
+            if size >= 4 * hashing.SLICE:
+                if (out := spans(pa.Table.from_batches(held))) is not None:
                     yield out
-                held = table.slice(cut).combine_chunks().to_batches()
-                size = 0
-        if held and (out := spans(pa.Table.from_batches(held))) is not None:
+                held, size = [], 0
+        if held + tail and (out := spans(pa.Table.from_batches(held + tail))) is not None:
             yield out
 
     return batches
@@ -192,23 +201,21 @@ def hot_spans(hot: DataFrame, span: int) -> DataFrame:
     flagged = rows.join(shared, ["src", "window"], "left_semi").select("src", "key", "place")
     by = Window.partitionBy("src", "key").orderBy("place")
     runs = flagged.withColumn("run", F.col("place") - F.row_number().over(by)).groupBy("src", "key", "run").agg(F.min("place").alias("a"), (F.max("place") + span).alias("b"))
-    back = keyed.select("src", "key", "no", "start").join(runs, ["src", "key"])
+    strings_ = keyed.groupBy("src", "key").agg(F.count("*").alias("times"))
+    back = split_join(keyed.select("src", "key", "no", "start"), runs, ["src", "key"], "no", hot_keys(strings_, ["src", "key"], "times"))
     return back.select("src", "no", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b")).alias("end"))
 
 
 def spans(records: DataFrame, span: int = SPAN, mer: int = MER, hot: int = HOT) -> DataFrame:
     """(src, no, start, end) of stretches that stand in other records of the same src too; stretches may overlap and repeat."""
-    sizes = strings(records, span, mer, light=True).groupBy("src", "mini").agg(F.count("*").alias("size"))
-    total = F.sum("size").over(Window.partitionBy())
-    sizes = sizes.where(F.col("size") > hot)
-    large = sizes.select("src", "mini", "size", total.alias("total")).where(F.col("size") > F.col("total") / 1_000_000).select("src", "mini")
-    listed = [tuple(r) for r in large.collect()]
+    sizes = cut(strings(records, span, mer, light=True).groupBy("src", "mini").agg(F.count("*").alias("size")))
+    large = hot_keys(sizes, ["src", "mini"], "size", hot)
     rows = strings(records, span, mer)
-    if listed:
-        marks = F.broadcast(records.sparkSession.createDataFrame(listed, "src string, mini bigint"))
-        cold, warm = rows.join(marks, ["src", "mini"], "left_anti"), rows.join(marks, ["src", "mini"], "left_semi")
-    else:
+    if large is None:
         cold, warm = rows, None
+    else:
+        marks = F.broadcast(large)
+        cold, warm = rows.join(marks, ["src", "mini"], "left_anti"), cut(rows.join(marks, ["src", "mini"], "left_semi"))
     sent = cold.repartition("src", "mini").sortWithinPartitions("src", "mini")
     out = sent.select("src", "mini", "no", "start", "packed").mapInArrow(bucket_spans(span), "src string, no bigint, start int, end int")
     return out if warm is None else out.unionByName(hot_spans(warm, span))
