@@ -63,6 +63,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_alikes.found(_texts_and_code(spark, sf_dir)).toDF("src_table", "no_a", "no_b")
 
 
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record, the first that looks like it, and how many records look the same in other characters."""
+    return look_alikes.groups(_texts_and_code(spark, sf_dir)).toDF("src_table", "no", "first_no", "links")
+
+
 def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text in its consistent form."""
     raw = table(spark, sf_dir, "code_blocks", "block_no", "raw_code").select(F.lit("code_blocks").alias("src"), F.col("block_no").alias("no"), F.col("raw_code").alias("text"))
@@ -105,7 +110,7 @@ def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.segments(*_labelled(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_coverage": p2_coverage, "p4_found": p4_found, "p4_cases": p4_cases, "p4_excluded": p4_excluded, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_forms": p6_forms, "p7_ids": p7_ids, "p8_assign": p8_assign, "p8_fill": p8_fill, "p9_found": p9_found, "p9_documents": p9_documents, "p9_segments": p9_segments}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_coverage": p2_coverage, "p4_found": p4_found, "p4_cases": p4_cases, "p4_excluded": p4_excluded, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_groups": p6_groups, "p6_forms": p6_forms, "p7_ids": p7_ids, "p8_assign": p8_assign, "p8_fill": p8_fill, "p9_found": p9_found, "p9_documents": p9_documents, "p9_segments": p9_segments}
 #: Whole-table SQL of the queries that SQL can express; the others are tested against brute force, round trips or held-out truth.
 SQL: dict[str, str] = {
     "p1_found": """

@@ -22,12 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marginalia.operators.skew import hot_keys, split_join
 from marginalia.session import cut
 
-# Letters of other scripts that have the shape of a Latin letter.
+# Letters of other scripts (Greek, Cyrillic, Armenian, Cherokee, Lisu, Coptic, phonetic) that have the shape of a Latin letter.
 LOOK_ALIKES = {
-    "a": "аɑα", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һհ", "i": "і", "j": "јϳ", "l": "ӏ", "o": "оοօ", "p": "рρ", "q": "ԛ", "s": "ѕ", "u": "ս", "v": "ѵν", "w": "ԝ", "x": "х", "y": "уү",
-    "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "F": "Ϝ", "G": "Ԍ", "H": "НΗ", "I": "ІΙӀ", "J": "ЈͿ", "K": "КΚ", "M": "МΜϺ", "N": "Ν", "O": "ОΟՕ", "P": "РΡ", "Q": "Ԛ", "S": "ЅՏ", "T": "ТΤ", "U": "Ս", "V": "Ѵ", "W": "Ԝ", "X": "ХΧ", "Y": "УΥҮ", "Z": "Ζ",
+    "a": "аɑα", "c": "сϲⲥ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һհ", "i": "і", "j": "јϳ", "l": "ӏ", "o": "оοօⲟ", "p": "рρⲣ", "q": "ԛ", "s": "ѕ", "u": "ս", "v": "ѵν", "w": "ԝ", "x": "хⲭ", "y": "уү",
+    "A": "АΑᎪꓮⲀ", "B": "ВΒᏴꓐⲂ", "C": "СϹᏟꓚⲤ", "D": "Ꭰꓓ", "E": "ЕΕᎬꓰ", "F": "Ϝꓝ", "G": "ԌᏀꓖ", "H": "НΗᎻꓧⲎ", "I": "ІΙӀꓲⲒ", "J": "ЈͿᎫꓙ", "K": "КΚᏦꓗⲔ", "L": "Ꮮꓡ", "M": "МΜϺᎷꓟⲘ", "N": "ΝꓠⲚ", "O": "ОΟՕꓳⲞ", "P": "РΡᏢꓑⲢ", "Q": "Ԛ", "R": "Ꭱꓣ", "S": "ЅՏᏚꓢ", "T": "ТΤᎢꓔⲦ", "U": "Սꓴ", "V": "ѴᏙꓦ", "W": "ԜᎳꓪ", "X": "ХΧꓫⲬ", "Y": "УΥҮꓬⲨ", "Z": "ΖᏃꓜ",
     "-": "‐‑", ":": "꞉∶", "/": "⁄∕", ".": "․", "!": "ǃ", "*": "∗", "’": "ʼ", "μ": "µ",
 }
 # Characters that show nothing.
@@ -82,8 +83,10 @@ def _class(chars) -> str:
     return "".join(out)
 
 
-_EXTEND = _class(INVISIBLE | {chr(c) for c in range(0x300, sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Mn", "Me")})
-_CLUSTER = re.compile(f"\r\n?|[^{_EXTEND}]?[{_EXTEND}]+|[^\x00-\x7f]")
+# Half-width voicing marks and conjoining syllables belong to what they stand behind.
+_EXTEND = _class(INVISIBLE | {*"ﾞﾟ"} | {chr(c) for c in range(0x300, sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Mn", "Me", "Mc")})
+_JAMO = "\u1100-\u11ff\uffa0-\uffdc"
+_CLUSTER = re.compile(f"\r\n?|[\uac00-\ud7a3{_JAMO}](?:[{_class(INVISIBLE)}]*[{_JAMO}])*[{_EXTEND}]*|[^{_EXTEND}]?[{_EXTEND}]+|[^\x00-\x7f]")
 
 
 def _is_picture(c: str) -> bool:
@@ -91,7 +94,7 @@ def _is_picture(c: str) -> bool:
 
 
 class _Transducer(dict):
-    """Targets of clusters; those that are met are kept, up to a bound."""
+    """Targets of clusters, compiled from the table when a cluster is met first and kept, up to a bound."""
 
     def __missing__(self, cluster: str) -> str:
         if cluster[0] == "\r":
@@ -119,9 +122,7 @@ def uniform(text: str | None) -> str | None:
         return None
     if text.isascii():
         return text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
-    out = _CLUSTER.sub(lambda m: _TARGETS[m[0]], text)
-    # Half-width syllables compose across clusters.
-    return out if unicodedata.is_normalized("NFC", out) else unicodedata.normalize("NFC", out)
+    return _CLUSTER.sub(lambda m: _TARGETS[m[0]], text)
 
 
 def unify(text: Column) -> Column:
@@ -133,22 +134,47 @@ def unify(text: Column) -> Column:
     return F.arrow_udf(forms, T.StringType())(text)
 
 
-def found(records: DataFrame) -> DataFrame:
-    """(src, a, b) with a < b: records (src, no, text) of one form whose texts differ in more than ordinary blanks.
+def forms(records: DataFrame) -> DataFrame:
+    """(src, no, form, plain), distinct: digests of the form, and of the text with each run of ordinary blanks one space; both written to the shared folder.
 
-    Blanks at ends of lines and of the text don't show and are left out of the comparison. Records of one
-    form are paired by their distinct texts, so that exact copies of one text are never compared.
+    Blanks at ends of lines and of the text don't show and are left out of both.
     """
     rows = records.where("no is not null and text is not null").select("src", "no", "text")
     form = F.rtrim(F.regexp_replace(unify(F.col("text")), r"[ \t]+(?=\n|$)", ""), F.lit("\n "))
     plain = F.regexp_replace("text", r"[ \t\r\n]+", " ")
     rows = rows.select("src", "no", *(F.unhex(F.sha2(c, 256)).alias(n) for n, c in (("form", form), ("plain", F.trim(plain)))))
-    rows = cut(rows.distinct())
-    texts = rows.select("src", "form", "plain").distinct()
-    several = texts.groupBy("src", "form").agg(F.min("plain").alias("low"), F.max("plain").alias("high")).where("low <> high").select("src", "form")
-    texts = texts.join(several, ["src", "form"], "left_semi")
-    met = texts.withColumnRenamed("plain", "plain_a").join(texts.withColumnRenamed("plain", "plain_b"), ["src", "form"]).where("plain_a < plain_b")
-    one = rows.select("src", "form", F.col("plain").alias("plain_a"), F.col("no").alias("x"))
-    two = rows.select("src", "form", F.col("plain").alias("plain_b"), F.col("no").alias("y"))
-    pairs = met.join(one, ["src", "form", "plain_a"]).join(two, ["src", "form", "plain_b"]).where("x <> y")
-    return pairs.select("src", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return cut(rows.distinct())
+
+
+def found(records: DataFrame) -> DataFrame:
+    """(src, a, b) with a < b: records (src, no, text) of one form whose texts differ in more than ordinary blanks.
+
+    Records of one form are paired by their distinct texts, so that exact copies of one text are never compared. Forms with very
+    many texts and texts with very many records are dealt into parts where they are joined; what grows with them is the result, which
+    has a row for each pair: `groups` has one for each record.
+    """
+    rows = forms(records)
+    texts = rows.groupBy("src", "form", "plain").agg(F.count("*").alias("times"))
+    several = texts.groupBy("src", "form").agg(F.count("*").alias("texts")).where("texts > 1")
+    texts = cut(texts.join(several, ["src", "form"]))
+    hot = hot_keys(several, ["src", "form"], "texts")
+    met = split_join(texts.select("src", "form", F.col("plain").alias("plain_a")), texts.select("src", "form", F.col("plain").alias("plain_b")), ["src", "form"], "plain_a", hot).where("plain_a < plain_b")
+    hot = hot_keys(texts, ["src", "form", "plain"], "times")
+    for plain, no in (("plain_a", "x"), ("plain_b", "y")):
+        renamed = None if hot is None else hot.withColumnRenamed("plain", plain)
+        met = split_join(rows.toDF("src", no, "form", plain), met, ["src", "form", plain], no, renamed)
+    return met.where("x <> y").select("src", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def groups(records: DataFrame) -> DataFrame:
+    """(src, no, first, links): of every record with a text the least record of its form, and the number of records that look the same and have another text.
+
+    A record with several texts has the row of the form with the least record (ties: most links).
+    """
+    rows = forms(records)
+    texts = rows.groupBy("src", "form", "plain").agg(F.count("*").alias("times"), F.min("no").alias("first"))
+    by = texts.groupBy("src", "form").agg(F.sum("times").alias("all"), F.min("first").alias("first"), F.count("*").alias("texts"))
+    table = split_join(texts.drop("first"), by.drop("texts"), ["src", "form"], "plain", hot_keys(by, ["src", "form"], "texts")).withColumn("links", F.col("all") - F.col("times"))
+    back = split_join(rows, table.select("src", "form", "plain", "first", "links"), ["src", "form", "plain"], "no", hot_keys(texts, ["src", "form", "plain"], "times"))
+    best = back.groupBy("src", "no").agg(F.min(F.struct("first", (-F.col("links")).alias("links"))).alias("b"))
+    return best.select("src", "no", "b.first", (-F.col("b.links")).alias("links"))
