@@ -80,10 +80,19 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
+def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of tokens of each document, and whether its ids decode to its text (a null text to the empty one)."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    ids = encoding.encode(docs, "doc_id", "text").withColumn("decoded", encoding.text_column(F.col("ids")))
+    both = ids.join(docs, "doc_id")
+    return both.select("doc_id", F.size("ids").alias("tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same"))
+
+
 def p8_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every document (or piece of one larger than the capacity) for each window of token_windows."""
     windows = {r.window_name: r.capacity for r in table(spark, sf_dir, "token_windows", "window_name", "capacity").collect()}
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    encoding.send(spark)
     sizes = cut(docs.select("doc_id", encoding.count_column(F.col("text")).alias("tokens")))
     return packing.pack(sizes, "doc_id", "tokens", windows)
 
@@ -110,7 +119,7 @@ def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.segments(*_labelled(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_coverage": p2_coverage, "p4_found": p4_found, "p4_cases": p4_cases, "p4_excluded": p4_excluded, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_groups": p6_groups, "p6_forms": p6_forms, "p7_ids": p7_ids, "p8_assign": p8_assign, "p8_fill": p8_fill, "p9_found": p9_found, "p9_documents": p9_documents, "p9_segments": p9_segments}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_coverage": p2_coverage, "p4_found": p4_found, "p4_cases": p4_cases, "p4_excluded": p4_excluded, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_groups": p6_groups, "p6_forms": p6_forms, "p7_ids": p7_ids, "p7_round_trip": p7_round_trip, "p8_assign": p8_assign, "p8_fill": p8_fill, "p9_found": p9_found, "p9_documents": p9_documents, "p9_segments": p9_segments}
 #: Whole-table SQL of the queries that SQL can express; the others are tested against brute force, round trips or held-out truth.
 SQL: dict[str, str] = {
     "p1_found": """

@@ -13,6 +13,11 @@ so that the result equals the encoding in one piece, and the join is associative
 Texts of more than SEGMENT characters are cut into segments that are encoded as rows of their own, and their
 elements are folded per document; what is folded is no larger than the row that comes out.
 
+Decoding is the same tree the other way: the ids are halved, the halves decoded to bytes and the bytes concatenated; only the root's
+are read as UTF-8, as a token may hold a part of a character.
+
+The vocabulary is read from a path if there is one on the executor, else from the copy that the driver sends along.
+
 Null and empty texts have an empty list of ids. Strings that look like special tokens are ordinary text. Rows are
 neither dropped nor merged; extra columns stay if asked for.
 """
@@ -22,10 +27,13 @@ from __future__ import annotations
 import base64
 import functools
 import os
+import re
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +46,7 @@ SEGMENT = 1 << 20
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 _BLANKS = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
+_SPLIT = re.compile(f"[^{''.join(_BLANKS)}][{''.join(_BLANKS)}]")
 
 
 @functools.cache
@@ -45,7 +54,7 @@ def tokenizer(path: str = VOCABULARY):
     """The encoder of a rank file; once per Python worker."""
     import tiktoken
 
-    with open(path, "rb") as lines:
+    with open(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -56,6 +65,12 @@ def _byte_lengths(path: str) -> list[int]:
     return [len(encoder.decode_single_token_bytes(i)) for i in range(encoder.n_vocab)]
 
 
+def send(spark: SparkSession, path: str = VOCABULARY) -> None:
+    """Give the vocabulary to the executors."""
+    if os.path.exists(path):
+        spark.sparkContext.addFile(path)
+
+
 def last_split(text: str) -> int:
     """The last place before a blank and after another character, sought in growing windows; 0 if there is none."""
     width = WINDOW
@@ -101,13 +116,27 @@ def encode_tree(text: str | None, path: str = VOCABULARY, leaf: int = LEAF) -> l
     """Ids of a text by recursive halving."""
     if not text:
         return []
-    if len(text) <= leaf:
+    # A text without a sure split is one window for every join: it is encoded once.
+    if len(text) <= leaf or not _SPLIT.search(text):
         return tokenizer(path).encode_ordinary(text)
     half = len(text) // 2
     a, b = text[:half], text[half:]
     return join((a, encode_tree(a, path, leaf)), (b, encode_tree(b, path, leaf)), path)[1]
 
 
+def decode_bytes(ids: Sequence[int], path: str = VOCABULARY, leaf: int = LEAF) -> bytes:
+    """Bytes of a list of ids: those of both halves, concatenated."""
+    if len(ids) <= leaf:
+        return tokenizer(path).decode_bytes(ids)
+    half = len(ids) // 2
+    return decode_bytes(ids[:half], path, leaf) + decode_bytes(ids[half:], path, leaf)
+
+
+def decode_tree(ids: Sequence[int] | None, path: str = VOCABULARY, leaf: int = LEAF) -> str | None:
+    """The text of a list of ids; null for null, empty for an empty list."""
+    return None if ids is None else decode_bytes(ids, path, leaf).decode("utf-8", "replace")
+
+
 def _lists(ids: list[list[int]]) -> pa.Array:
     offsets = np.zeros(len(ids) + 1, np.int32)
     np.cumsum([len(x) for x in ids], out=offsets[1:])
@@ -125,6 +154,16 @@ def ids_column(text: Column, path: str = VOCABULARY) -> Column:
     return ids(text)
 
 
+def text_column(ids: Column, path: str = VOCABULARY) -> Column:
+    """string column of the texts of a column of ids."""
+
+    @F.arrow_udf(T.StringType())
+    def texts(lists: pa.Array) -> pa.Array:
+        return pa.array([decode_tree(x, path) for x in lists.to_pylist()], pa.string())
+
+    return texts(ids)
+
+
 def count_column(text: Column, path: str = VOCABULARY) -> Column:
     """int number of tokens of a text column; 0 for null and empty texts."""
 
@@ -137,6 +176,7 @@ def count_column(text: Column, path: str = VOCABULARY) -> Column:
 
 def encode(docs: DataFrame, key: str, text: str, path: str = VOCABULARY, segment: int = SEGMENT) -> DataFrame:
     """(key, ids) for each row; rows with texts beyond `segment` characters are encoded in parallel pieces."""
+    send(docs.sparkSession, path)
     rows = docs.select(F.col(key), F.col(text).alias("text_"))
     whole = rows.where(F.coalesce(F.length("text_"), F.lit(0)) <= segment).select(key, ids_column(F.col("text_"), path).alias("ids"))
     long = rows.where(F.length("text_") > segment).withColumn("row_", F.concat_ws("/", F.col(key).cast("string"), F.monotonically_increasing_id()))

@@ -23,9 +23,18 @@ def test_random_texts():
         assert e.encode_tree(text, leaf=rng.choice([1, 2, 5, 17])) == e.tokenizer().encode_ordinary(text)
 
 
-def test_round_trip():
+@pytest.mark.parametrize("leaf", [1, 3, 2048])
+def test_round_trip(leaf):
     for text in SAMPLES:
-        assert e.tokenizer().decode(e.encode_tree(text)) == text
+        assert e.decode_tree(e.encode_tree(text), leaf=leaf) == text
+    assert e.decode_tree(None) is None
+
+
+def test_a_long_text_without_splits_is_encoded_once(monkeypatch):
+    calls = []
+    plain = e.tokenizer().encode_ordinary
+    monkeypatch.setattr(e, "tokenizer", lambda path=None: type("T", (), {"encode_ordinary": staticmethod(lambda t: calls.append(len(t)) or plain(t))}))
+    assert e.encode_tree("x" * 100_000) == plain("x" * 100_000) and calls == [100_000]
 
 
 def test_rows(spark):
@@ -34,4 +43,6 @@ def test_rows(spark):
     for segment in (1 << 20, 100):
         got = sorted(((r.doc_id or 0, list(r.ids)) for r in e.encode(docs, "doc_id", "text", segment=segment).collect()))
         assert got == sorted((k or 0, e.tokenizer().encode_ordinary(t or "")) for k, t in rows)
+    back = e.encode(docs, "doc_id", "text").select("doc_id", e.text_column(F.col("ids")).alias("t")).collect()
+    assert sorted(((r.doc_id or 0, r.t) for r in back)) == sorted((k or 0, t or "") for k, t in rows)
     assert e.encode(docs.limit(0), "doc_id", "text").count() == 0
