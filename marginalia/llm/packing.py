@@ -2,7 +2,8 @@
 
 Only the histogram of sizes is planned on: at most `capacity` numbers, whatever the number of items. The plan first fills
 containers exactly: for each size, from the largest, the gap it leaves is looked up among single sizes, sums of
-two and sums of three, and combinations are used as often as the counts allow. What is left goes by best fit, largest first,
+two and sums of three, and combinations are used as often as the counts allow. Each use takes the last of a size and each sum
+fails once, so that the time grows with the square of the capacity at most. What is left goes by best fit, largest first,
 as many equal containers at a time as there are. The plan is a list of recipes with multiplicities; items get their place
 from their rank among items of the same size, which is found in parallel (ranks in buckets of a size, and
 offsets of the buckets), so that no size, however frequent, is in one task.
@@ -51,7 +52,7 @@ class _Planner:
     def _pairs(self, total: int, least: int = 1) -> np.ndarray:
         """Sizes b <= total - b, both there, from the largest b on."""
         b = np.arange(total // 2, least - 1, -1)
-        return b[(self.left[b] > 0) & (self.left[total - b] > 0)]
+        return b[(self.left[b] > (2 * b == total)) & (self.left[total - b] > 0)]
 
     def exact(self) -> None:
         cap = self.capacity
@@ -75,7 +76,13 @@ class _Planner:
             for x in b.tolist():
                 if not self.left[a]:
                     break
-                for y in self._pairs(gap - x):
+                if not self.left[x] or not sums[gap - x]:
+                    continue
+                pairs = self._pairs(gap - x)
+                if not len(pairs):
+                    # Counts only fall: a sum that can't be made is never looked for again.
+                    sums[gap - x] = 0
+                for y in pairs:
                     if not self.left[a] or not self.left[x]:
                         break
                     self.use((a, x, int(gap - x - y), int(y)))

@@ -65,3 +65,14 @@ def test_rows(spark):
                 assert at == n and len(spans[i]) == max(1, -(-n // capacity))
     assert pack(docs.limit(0), "doc_id", "n", {"a": 100}).count() == 0
     assert {r.container_no for r in pack(docs.where("n = 0"), "doc_id", "n", {"a": 9}).collect()} == {0}
+
+
+def test_large_capacity_is_planned_in_time():
+    import time
+
+    rng = random.Random(6)
+    sizes = [min(32_768, int(rng.lognormvariate(6.5, 1.3)) + 1) for _ in range(300_000)]
+    began = time.perf_counter()
+    containers = sum(n for _, n in plan(Counter(sizes), 32_768))
+    assert time.perf_counter() - began < 60
+    assert containers <= 1.001 * -(-sum(sizes) // 32_768) + 1
