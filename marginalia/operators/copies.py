@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text
+from marginalia.operators.skew import hot_keys, split_join
+from marginalia.session import cut
 
 RUN = 5
 MIN_WORDS = 50
@@ -23,13 +25,18 @@ def documents(docs: DataFrame, key: str, body: str, run: int = RUN, min_words: i
 
 
 def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, shared, either, score) with a < b of the rows of `documents`; score is shared / either."""
-    sets = docs.select("id", "runs").where(F.size("runs") > 0)
+    """(a, b, shared, either, score) with a < b of the rows of `documents`; score is shared / either.
+
+    Runs of one text alone are the rarest and meet nothing: they drop out before the ranks are made, and only their number counts.
+    """
+    sets = cut(docs.select("id", "runs").where(F.size("runs") > 0))
     rows = sets.select("id", F.size("runs").alias("n"), F.explode("runs").alias("run"))
-    often = rows.groupBy("run").agg(F.count("*").alias("often"))
-    ranked = rows.join(often, "run").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("often", "run")))
-    rare = ranked.where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1) & (F.col("often") > 1)).select("id", "n", "run")
-    met = rare.toDF("a", "n_a", "run").join(rare.toDF("b", "n_b", "run"), "run").where("a < b")
+    often = rows.groupBy("run").agg(F.count("*").alias("often")).where("often > 1")
+    by = Window.partitionBy("id")
+    ranked = rows.join(often, "run").withColumn("rank", F.row_number().over(by.orderBy("often", "run")) + F.col("n") - F.count("*").over(by))
+    rare = cut(ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("id", "n", "run"))
+    hot = hot_keys(rare.groupBy("run").agg(F.count("*").alias("often")), ["run"], "often")
+    met = split_join(rare.toDF("a", "n_a", "run"), rare.toDF("b", "n_b", "run"), ["run"], "a", hot).where("a < b")
     met = met.where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9).select("a", "b").distinct()
     both = met.join(sets.toDF("a", "runs_a"), "a").join(sets.toDF("b", "runs_b"), "b")
     both = both.withColumn("shared", F.size(F.array_intersect("runs_a", "runs_b")))

@@ -29,6 +29,16 @@ def test_pairs_equal_brute_force(spark):
     assert copies.similar_pairs(copies.documents(docs.limit(0), "id", "body")).count() == 0
 
 
+def test_hot_runs_are_split(spark, monkeypatch):
+    from marginalia.operators import skew
+
+    rows = [(f"{i:02}", "the very same passage " * 20 + (f"w{i} " * 5)) for i in range(30)]
+    docs = copies.documents(spark.createDataFrame(rows, "id string, body string"), "id", "body")
+    plain = {tuple(r) for r in copies.similar_pairs(docs, 0.1).collect()}
+    monkeypatch.setattr(skew.hot_keys, "__defaults__", (5,))
+    assert {tuple(r) for r in copies.similar_pairs(docs, 0.1).collect()} == plain and len(plain) == 435
+
+
 def test_only_in_keeps_order_and_repeats(spark):
     df = spark.createDataFrame([(["B!", "a", "B!", "c"], ["A."])], "x array<string>, y array<string>")
     assert df.select(copies.only_in(F.col("x"), F.col("y")).alias("o")).first().o == ["B!", "B!", "c"]
