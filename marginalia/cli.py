@@ -7,7 +7,7 @@ import html
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia import catalogue, report, settings
@@ -39,6 +39,7 @@ def _arguments() -> argparse.ArgumentParser:
     copies = commands.add_parser("copies", help="similar pages")
     copies.add_argument("--json", action="store_true")
     copies.add_argument("--limit", type=int, default=10)
+    commands.add_parser("images", help="private images and pins behind their tag, over the network")
     terms = commands.add_parser("terms", help="replace retired names in pages")
     terms.add_argument("--write", action="store_true")
     return p
@@ -59,7 +60,7 @@ def main(argv: list[str] | None = None) -> int:
     ship(spark)
     audit = Audit(spark, loaded)
     try:
-        return {"inventory": _inventory, "links": _links, "copies": _copies, "terms": _terms}[args.command](audit, book, args)
+        return {"inventory": _inventory, "links": _links, "copies": _copies, "terms": _terms, "images": _images}[args.command](audit, book, args)
     finally:
         audit.close()
 
@@ -69,7 +70,10 @@ def _inventory(audit: Audit, book: settings.Ledger, args: argparse.Namespace) ->
         df = audit.blocks.select("block_id", "fingerprint", "lang", "kind", "parse", "code", "shell", "flags", "image_refs", "urls", "runnable", "responds_to", "editor_ref")
         df = df.where(F.col("lang") == args.lang) if args.lang is not None else df
         df = df.where(F.array_contains("flags", args.flag)) if args.flag else df
-        print("[" + ",\n".join(df.orderBy("block_id").select(F.to_json(F.struct("*"))).toPandas().iloc[:, 0]) + "]")
+        print("[", end="")
+        for n, r in enumerate(df.orderBy("block_id").select(F.to_json(F.struct("*")).alias("row")).toLocalIterator()):
+            print(",\n" * bool(n) + r.row, end="")
+        print("]")
         return 0
     issues = book.frame(audit.spark)
     found = audit.judged(issues).persist()
@@ -137,13 +141,51 @@ def _copies(audit: Audit, book: settings.Ledger, args: argparse.Namespace) -> in
 
 
 def _terms(audit: Audit, book: settings.Ledger, args: argparse.Namespace) -> int:
-    done = prose.rewritten(audit.items.select("found", "html").distinct(), "html", audit.settings.terms).where("applied + refused > 0").collect()
-    for r in done:
-        if args.write and r.applied:
-            (audit.settings.root / r.found).write_text(r.source_new, encoding="utf-8")
-    print(json.dumps({"files": len(done), "applied": sum(r.applied for r in done), "refused": sum(r.refused for r in done), "written": args.write}))
+    """Only open names in the prose of pages are replaced; the others are counted with the reason why they are left."""
+    counts, files = dict.fromkeys(prose.BUCKETS, 0), 0
+    for r in audit.term_edits(book.frame(audit.spark)).toLocalIterator():
+        files += 1
+        for bucket in counts:
+            counts[bucket] += r[bucket]
+        if args.write and r.changed and r.place == "page":
+            path = audit.settings.root / r.found
+            if path.read_text(encoding="utf-8") == r.html:
+                path.write_text(r.source_new, encoding="utf-8")
+            else:
+                counts["refused"] += r.changed
+                counts["changed"] -= r.changed
+    print(json.dumps({"files": files, **counts, "written": args.write}))
     return 0
 
 
+def check_images(audit: Audit, results: DataFrame, drift: DataFrame, now: Column) -> int:
+    """Report private images and pins behind their tag; 1 if there are offenders, idle permissions or more stale pins than the budget."""
+    offenders, idle = audit.private_images(results)
+    bad = 0
+    for r in offenders.orderBy("course_dir", "ref").toLocalIterator():
+        print(f"private  {r.course_dir}  {r.ref}")
+        bad = 1
+    for r in idle.orderBy("course_dir").toLocalIterator():
+        print(f"idle permission  {r.course_dir}")
+        bad = 1
+    states = audit.drift(drift, now).persist()
+    for r in states.where("status = 'stale'").orderBy(F.desc("age_days"), "ref").toLocalIterator():
+        print(f"stale  {r.ref}  {r.age_days} days")
+    counts = {r.status: r["count"] for r in states.groupBy("status").count().collect()}
+    states.unpersist()
+    print(", ".join(f"{counts.get(s, 0)} {s}" for s in ("current", "behind", "stale", "unknown")))
+    return int(bad or counts.get("stale", 0) > audit.settings.stale_budget)
+
+
+def _images(audit: Audit, book: settings.Ledger, args: argparse.Namespace) -> int:
+    refs = audit.image_sites().select("ref")
+    results, drift = network.image_results(refs).persist(), network.drift_results(refs).persist()
+    try:
+        return check_images(audit, results, drift, F.current_timestamp())
+    finally:
+        results.unpersist()
+        drift.unpersist()
+
+
 if __name__ == "__main__":
     raise SystemExit(main())

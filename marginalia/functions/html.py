@@ -205,16 +205,18 @@ def visible_text(source: str, ignore: frozenset[str] = frozenset()) -> str:
     return "\n".join(s for s in (line.strip() for line in lines) if s)
 
 
-def prose_and_comments(source: str) -> tuple[str, list[str]]:
-    """Text outside code, scripts and styles, and the comments there."""
-    prose, comments, todo = [], [], [parse(source)]
+def prose_and_comments(source: str) -> tuple[str, list[str], list[int]]:
+    """Text outside code, scripts and styles, the comments there, and where they begin."""
+    prose, comments, starts, todo = [], [], [], [parse(source)]
     while todo:
         part = todo.pop()
         if isinstance(part, tuple):
             (prose if part[0] == "text" else comments).append(part[1])
+            if part[0] != "text":
+                starts.append(part[2])
         elif part.name not in ("pre", "code", "script", "style"):
             todo.extend(reversed(part.parts))
-    return entities.unescape("\n".join(prose)), comments
+    return entities.unescape("\n".join(prose)), comments, starts
 
 
 def column_of(f: Callable[[str], object], kind: str | T.DataType, arrow: pa.DataType) -> Callable[[Column], Column]:
@@ -234,7 +236,7 @@ def _rows(f: Callable[[str], list[dict]], fields: dict[str, pa.DataType]) -> Cal
 
 _S, _I, _L = pa.string(), pa.int32(), pa.list_(pa.string())
 block_rows = _rows(blocks, {"ordinal": _I, "lang": _S, "code": _S, "raw_code": _S, "anomalies": _L, "line": _I, "column": _I})
-inline_rows = _rows(inline_code, {"ordinal": _I, "text": _S, "line": _I, "column": _I})
+inline_rows = _rows(inline_code, {"ordinal": _I, "start": _I, "text": _S, "line": _I, "column": _I})
 link_rows = _rows(links, {"kind": _S, "ordinal": _I, "raw": _S, "url": _S, "text": _S, "start": _I})
 script_rows = _rows(script_entities, {"script": _I, "entity": _S, "context": _S, "start": _I, "body": _S})
 
@@ -245,9 +247,9 @@ def visible_column(source: Column, ignore: tuple[str, ...] = ()) -> Column:
 
 
 def prose_column(source: Column) -> Column:
-    """struct<prose, comments>."""
-    schema = T.StructType([T.StructField("prose", T.StringType()), T.StructField("comments", T.ArrayType(T.StringType()))])
-    return column_of(lambda s: dict(zip(("prose", "comments"), prose_and_comments(s), strict=True)), schema, pa.struct([("prose", _S), ("comments", _L)]))(source)
+    """struct<prose, comments, starts>."""
+    schema = T.StructType([T.StructField("prose", T.StringType()), T.StructField("comments", T.ArrayType(T.StringType())), T.StructField("starts", T.ArrayType(T.IntegerType()))])
+    return column_of(lambda s: dict(zip(("prose", "comments", "starts"), prose_and_comments(s), strict=True)), schema, pa.struct([("prose", _S), ("comments", _L), ("starts", pa.list_(_I))]))(source)
 
 
 # Masks on the JVM: what they cover becomes as many walls (NUL) or blanks, so that offsets stay.

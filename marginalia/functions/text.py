@@ -92,6 +92,16 @@ def line_and_column(text: Column | str, offset: Column) -> Column:
     return F.struct(F.size(F.split(before, "\n")).alias("line"), (F.length(F.element_at(F.split(before, "\n"), -1)) + 1).alias("column"))
 
 
+def match_offsets(value: Column | str, pattern: str) -> Column:
+    """array<int>: 0-based offsets of the matches of a pattern that doesn't match the empty string."""
+    value = _column(value)
+    parts = F.transform(F.split(value, pattern, -1), lambda p: F.length(p))
+    hits = F.transform(F.regexp_extract_all(value, F.lit(pattern), 0), lambda h: F.length(h))
+    # Before match i stand the parts 0 .. i and the matches 0 .. i - 1.
+    before = lambda xs, n: F.aggregate(F.slice(xs, F.lit(1), n), F.lit(0), lambda a, x: a + x)
+    return F.transform(hits, lambda _, i: before(parts, i + 1) + before(hits, i))
+
+
 def run_sets(c: Column | str, n: int = 5) -> Column:
     """struct<words int, runs array<bigint>>: number of words, and sorted hashes of the distinct runs of n words; null is empty."""
 

@@ -181,7 +181,7 @@ def urls(code: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda u: ~u.rlike(r"(?i)[{}]|\$\(|<[a-z]|\.{3}|\x{2026}") & ~u.rlike(LOCAL)))
 
 
-def classified(blocks: DataFrame, kinds: DataFrame, registry: str) -> DataFrame:
+def classified(blocks: DataFrame, kinds: DataFrame, registry: str, other_namespaces: Sequence[str] = ()) -> DataFrame:
     """Blocks (with lang and code) with kind, parser, parse, shell, flags, image_refs, urls, fetch_urls and runnable.
 
     kinds: (lang, kind, parser), small and of one row a language. A null language is the empty one; a null code counts as empty.
@@ -194,7 +194,7 @@ def classified(blocks: DataFrame, kinds: DataFrame, registry: str) -> DataFrame:
     # Only shell blocks and those with a parser go through Python.
     df = df.withColumn("shell", F.when(F.col("kind") == "shell", shell_column(F.when(F.col("kind") == "shell", code))))
     df = df.withColumn("parse", parse_column(F.col("parser"), F.when(F.col("parser").isNotNull(), code)))
-    df = df.withColumn("image_refs", images.image_refs(code, registry)).withColumn("urls", urls(code))
+    df = df.withColumn("image_refs", images.image_refs(code, registry, other_namespaces)).withColumn("urls", urls(code))
     fetched = F.flatten(F.transform(F.filter("shell.commands", lambda c: c.rlike(FETCHERS)), urls))
     df = df.withColumn("fetch_urls", F.array_distinct(F.coalesce(fetched, F.array().cast("array<string>"))))
     is_shell = shell.isNotNull()

@@ -27,15 +27,17 @@ MARKER = r"\b(?:TODO|FIXME|FIX|TBD|XXX|PLACEHOLDER|TO BE (?:ADDED|WRITTEN|DONE|C
 
 
 def markdown(source: Column) -> Column:
-    """array<struct<rule, match>>: the first match of each rule outside code."""
+    """array<struct<rule, match, offset>>: the first match of each rule outside code, and its 0-based place in the source."""
     free = html.code_free(source)
-    hits = [F.when(free.rlike(p), F.struct(F.lit(rule).alias("rule"), text.shorten(F.regexp_extract(free, f"({p})", 1)).alias("match"))) for rule, p in MARKDOWN.items()]
+    hits = [F.when(free.rlike(p), F.struct(F.lit(rule).alias("rule"), text.shorten(F.regexp_extract(free, f"({p})", 1)).alias("match"), (F.regexp_instr(free, F.lit(p)) - 1).alias("offset"))) for rule, p in MARKDOWN.items()]
     return F.array_compact(F.array(*hits))
 
 
 def flattened_commands(source: Column) -> Column:
-    """Paragraphs and list items, whole, with a long option and its value outside code."""
-    return F.filter(F.regexp_extract_all(html.code_free(source), F.lit(f"({PROSE_ELEMENT})"), 1), lambda e: F.regexp_replace(e, r"^<[^>]*>|</[^>]*>\z", "").rlike(FLAG))
+    """array<struct<match, offset>>: paragraphs and list items, whole, with a long option and its value outside code."""
+    free = html.code_free(source)
+    elements = F.zip_with(F.regexp_extract_all(free, F.lit(f"({PROSE_ELEMENT})"), 1), text.match_offsets(free, PROSE_ELEMENT), lambda e, o: F.struct(e.alias("match"), o.alias("offset")))
+    return F.filter(elements, lambda e: F.regexp_replace(e["match"], r"^<[^>]*>|</[^>]*>\z", "").rlike(FLAG))
 
 
 def is_stub(visible: Column) -> Column:
@@ -54,17 +56,25 @@ def markers(value: Column) -> Column:
 
 
 def unwritten(source: Column) -> Column:
-    """array<struct<rule, match>> of a document's drafts."""
+    """array<struct<rule, match, offset>> of a document's drafts, with their 0-based places in the source."""
     parts = html.prose_column(source)
     alone = comment_only(source)
-    bodies = F.filter(parts["comments"], lambda c: ~F.array_contains(alone, F.concat(F.lit("<!--"), c, F.lit("-->"))))
+    comments = F.zip_with(parts["comments"], parts["starts"], lambda c, o: F.struct(c.alias("body"), (o + 4).alias("at")))
+    comments = F.filter(comments, lambda c: ~F.array_contains(alone, F.concat(F.lit("<!--"), c["body"], F.lit("-->"))))
 
-    def rows(rule: str, matches: Column) -> Column:
-        return F.transform(matches, lambda m: F.struct(F.lit(rule).alias("rule"), m.alias("match")))
+    def rows(rule: str, matches: Column, offsets: Column) -> Column:
+        both = F.zip_with(matches, offsets, lambda m, o: F.struct(F.lit(rule).alias("rule"), m.alias("match"), F.coalesce(o, F.lit(0)).alias("offset")))
+        return F.filter(both, lambda r: r["match"].isNotNull())
 
     visible = html.visible_column(source)
     stub = F.when(is_stub(visible), F.array(text.shorten(visible))).otherwise(F.array().cast("array<string>"))
-    return F.concat(rows("stub-body", stub), rows("comment-only", F.transform(alone, lambda m: text.shorten(m))), rows("marker-in-prose", markers(parts["prose"])), rows("marker-in-comment", F.flatten(F.transform(bodies, markers))))
+    inside = F.flatten(F.transform(comments, lambda c: F.transform(text.match_offsets(c["body"], MARKER), lambda o: o + c["at"])))
+    return F.concat(
+        rows("stub-body", stub, F.array(F.lit(0))),
+        rows("comment-only", F.transform(alone, lambda m: text.shorten(m)), text.match_offsets(source, COMMENT_ONLY)),
+        rows("marker-in-prose", markers(parts["prose"]), text.match_offsets(html.prose_mask(source), MARKER)),
+        rows("marker-in-comment", F.flatten(F.transform(comments, lambda c: markers(c["body"]))), inside),
+    )
 
 
 def template_values(value: Column) -> Column:
@@ -122,18 +132,18 @@ def slug_pattern(term: Term) -> str:
 
 
 def retired(source: Column, terms: Sequence[Term]) -> Column:
-    """array<struct<term, offset, match>> in the prose of a source (and in its code for terms that ask for it), by place (0-based)."""
+    """array<struct<term, offset, match, in_code>> in the prose of a source (and in its code for terms that ask for it), by place (0-based)."""
     patterns = [(t, term_pattern(t)) for t in terms]
 
     def hits(value: str) -> list[dict]:
         regions = {False: html.prose_of(value)}
         if any(t.in_code for t, _ in patterns):
             regions[True] = html.code_of(value)
-        found = [{"term": t.old, "offset": m.start(), "match": value[m.start() : m.end()]} for t, pattern in patterns for code in ((False, True) if t.in_code else (False,)) for m in pattern.finditer(regions[code])]
+        found = [{"term": t.old, "offset": m.start(), "match": value[m.start() : m.end()], "in_code": code} for t, pattern in patterns for code in ((False, True) if t.in_code else (False,)) for m in pattern.finditer(regions[code])]
         return sorted(found, key=lambda f: (f["offset"], f["term"]))
 
-    schema = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("offset", T.IntegerType()), T.StructField("match", T.StringType())]))
-    return html.column_of(hits, schema, pa.list_(pa.struct([("term", pa.string()), ("offset", pa.int32()), ("match", pa.string())])))(source)
+    schema = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("offset", T.IntegerType()), T.StructField("match", T.StringType()), T.StructField("in_code", T.BooleanType())]))
+    return html.column_of(hits, schema, pa.list_(pa.struct([("term", pa.string()), ("offset", pa.int32()), ("match", pa.string()), ("in_code", pa.bool_())])))(source)
 
 
 def retired_in_slug(slug: Column, terms: Sequence[Term]) -> Column:
@@ -167,27 +177,35 @@ def rewrite(source: str, edits: Iterable[tuple[int, str, str]]) -> tuple[str, in
     return out, applied, refused
 
 
-def rewritten(rows: DataFrame, source: str, terms: Sequence[Term]) -> DataFrame:
-    """Rows with source_new, applied and refused: each retired name in prose replaced."""
+#: What becomes of a retired name: left for the first reason that holds, else changed; refused if the source no longer has it there.
+BUCKETS = ("accepted", "code", "metadata", "markup", "changed", "refused")
+
+
+def rewritten(rows: DataFrame, source: str, hits: str, terms: Sequence[Term]) -> DataFrame:
+    """Rows with source_new and the number of hits in each of BUCKETS.
+
+    hits: array<struct<term, offset, match, in_code, accepted, metadata>> of a source. Names that the ledger accepts, names in
+    code and names in metadata are left as they are, and so are those with markup between words that the new name can't keep.
+    """
     by_name = {t.old: t for t in terms}
 
-    def all_edits(sources: pa.Array, hits: pa.Array) -> pa.Array:
+    def all_edits(sources: pa.Array, found: pa.Array) -> pa.Array:
         out = []
-        for value, found in zip(sources.to_pylist(), hits.to_pylist(), strict=True):
+        for value, some in zip(sources.to_pylist(), found.to_pylist(), strict=True):
             if value is None:
                 out.append(None)
                 continue
-            edits, left = [], 0
-            for h in found or []:
-                old = value[h["offset"] : h["offset"] + len(h["match"])]
-                new = replacement(old, by_name[h["term"]])
-                if new is None:
-                    left += 1
+            edits, counts = [], dict.fromkeys(BUCKETS, 0)
+            for h in some or []:
+                new = replacement(h["match"], by_name[h["term"]])
+                left = "accepted" if h["accepted"] else "code" if h["in_code"] else "metadata" if h["metadata"] else "markup" if new is None else None
+                if left:
+                    counts[left] += 1
                 else:
-                    edits.append((h["offset"], old, new))
-            new_text, applied, refused = rewrite(value, edits)
-            out.append({"source_new": new_text, "applied": applied, "refused": refused + left})
-        return pa.array(out, pa.struct([("source_new", pa.string()), ("applied", pa.int32()), ("refused", pa.int32())]))
+                    edits.append((h["offset"], h["match"], new))
+            new_text, counts["changed"], counts["refused"] = rewrite(value, edits)
+            out.append({"source_new": new_text} | counts)
+        return pa.array(out, pa.struct([("source_new", pa.string()), *((b, pa.int32()) for b in BUCKETS)]))
 
-    schema = T.StructType([T.StructField("source_new", T.StringType()), T.StructField("applied", T.IntegerType()), T.StructField("refused", T.IntegerType())])
-    return rows.withColumn("edit_", F.arrow_udf(all_edits, schema)(F.col(source), retired(F.col(source), terms))).select("*", "edit_.*").drop("edit_")
+    schema = T.StructType([T.StructField("source_new", T.StringType()), *(T.StructField(b, T.IntegerType()) for b in BUCKETS)])
+    return rows.withColumn("edit_", F.arrow_udf(all_edits, schema)(F.col(source), F.col(hits))).select("*", "edit_.*").drop("edit_")

@@ -9,11 +9,13 @@ from pyspark.sql.window import Window
 from marginalia import catalogue
 from marginalia.functions import html, text, urls
 from marginalia.operators import blocks as block_ops
-from marginalia.operators import copies, ledger, links, pairing, paths, prose
+from marginalia.operators import copies, images, ledger, links, pairing, paths, prose
 from marginalia.session import written
 from marginalia.settings import Settings
 from marginalia.sources import tree
 
+#: Findings about copies, which aren't sought in the twin of a copy.
+ABOUT_COPIES = ("drifted-copy-code", "drifted-copy-prose", "shared-code-block")
 FINDING = ("problem", "key", "fingerprint", "match", "editor_ref", "url")
 
 
@@ -32,7 +34,7 @@ class Audit:
         self.items = self.resolved.where("found is not null").join(self.files.select(F.col("path").alias("found"), "html"), "found").withColumn("base", F.concat_ws("/", "course_dir", "lesson_slug", "item_id")).persist()
         rows = self.items.select("course_dir", "lesson_slug", "item_id", "base", "found", "lesson_url", F.explode(html.block_rows(F.col("html"))).alias("b"))
         rows = rows.select("*", "b.*").drop("b").withColumn("block_id", F.concat_ws("#", "base", "ordinal")).withColumn("editor_ref", F.concat_ws(":", "found", "line", "column"))
-        classified = block_ops.classified(rows, settings.kinds(spark), settings.registry_pattern).withColumn("fingerprint", text.fingerprint("code"))
+        classified = block_ops.classified(rows, settings.kinds(spark), settings.registry_pattern, settings.non_image_namespaces).withColumn("fingerprint", text.fingerprint("code"))
         self.blocks = pairing.linked(classified, ("course_dir", "lesson_slug", "item_id")).persist()
 
     def close(self) -> None:
@@ -54,7 +56,6 @@ class Audit:
             self._of_blocks("code-typography", chars, F.col("char"), F.col("char")),
             self._of_blocks("mislabeled-dockerfile", b.where((F.col("lang") != "dockerfile") & block_ops.opens_as_dockerfile(code)), F.col("lang")),
             self._of_blocks("placeholder-residue", residue, F.col("match"), F.col("rule")),
-            self._of_blocks("code-trailing-space", b.where(block_ops.ends_in_blank(code)), F.lit(None)),
             self._of_blocks("unknown-lang", b.where(has("unknown-lang")), F.col("lang")),
             self._of_blocks("invalid-config", b.where("parse.status = 'invalid'"), F.col("parse.error")),
             self._of_blocks("unpaired-output", b.where("unpaired"), F.lit(None)),
@@ -81,53 +82,75 @@ class Audit:
         return df.select(F.lit("unused-lang").alias("problem"), F.col("lang").alias("key"), none.alias("fingerprint"), F.col("lang").alias("match"), none.alias("editor_ref"), none.alias("url"))
 
     def _of_items(self, problem: str, rows: DataFrame, name: str, rule: Column | None = None) -> DataFrame:
-        """Rows of items with `match`, numbered an item in their order `seq`."""
+        """Rows of items with `match` and its `offset` in the source, numbered an item in their order `seq`; `print` is what the fingerprint is taken of."""
         n = F.row_number().over(Window.partitionBy("base", *(["rule"] if rule is not None else [])).orderBy("seq")) - 1
-        offset = F.instr("html", F.col("match")) - 1
-        at = text.line_and_column("html", F.greatest(offset, F.lit(0)))
+        at = text.line_and_column("html", F.greatest("offset", F.lit(0)))
         key = F.concat("base", F.lit(f"#{name}"), n.cast("string"), *([F.lit("::"), rule] if rule is not None else []))
-        return rows.select(F.lit(problem).alias("problem"), key.alias("key"), text.fingerprint("match").alias("fingerprint"), "match", F.concat_ws(":", "found", at["line"], at["column"]).alias("editor_ref"), F.col("lesson_url").alias("url"))
+        return rows.select(F.lit(problem).alias("problem"), key.alias("key"), text.fingerprint("print" if "print" in rows.columns else "match").alias("fingerprint"), "match", F.concat_ws(":", "found", at["line"], at["column"]).alias("editor_ref"), F.col("lesson_url").alias("url"))
 
     def prose_findings(self) -> list[DataFrame]:
         i, source = self.items, F.col("html")
-        marked = i.select("*", F.posexplode(prose.markdown(source)).alias("seq", "m")).withColumns({"rule": F.col("m.rule"), "match": F.col("m.match")})
-        flat = i.select("*", F.posexplode(prose.flattened_commands(source)).alias("seq", "match"))
-        drafts = i.select("*", F.posexplode(prose.unwritten(source)).alias("seq", "u")).withColumns({"rule": F.col("u.rule"), "match": F.col("u.match")})
-        scripts = i.select("*", F.posexplode(html.script_rows(source)).alias("seq", "s")).withColumn("match", F.col("s.entity"))
+        marked = i.select("*", F.posexplode(prose.markdown(source)).alias("seq", "m")).select("*", "m.*")
+        flat = i.select("*", F.posexplode(prose.flattened_commands(source)).alias("seq", "e")).select("*", "e.*")
+        drafts = i.select("*", F.posexplode(prose.unwritten(source)).alias("seq", "u")).select("*", "u.*")
+        scripts = i.select("*", F.posexplode(html.script_rows(source)).alias("seq", "s")).withColumns({"match": F.col("s.entity"), "offset": F.col("s.start"), "print": F.col("s.body")})
         return [
             self._of_items("markdown-in-prose", marked, "prose", F.col("rule")),
             self._of_items("flattened-command", flat, "command"),
             self._of_items("unwritten-content", drafts, "unwritten", F.col("rule")),
-            self._of_items("script-entity", scripts, "script").withColumn("fingerprint", F.col("fingerprint")),
+            self._of_items("script-entity", scripts, "script"),
+            self._of_items("code-trailing-space", self.inline_code().where(block_ops.ends_in_blank(F.col("match"))), "code"),
             self.template_values(),
         ]
 
+    def inline_code(self) -> DataFrame:
+        """Code elements outside blocks, with their place in the item (seq, offset) and text (match)."""
+        return self.items.select("*", F.explode(html.inline_rows(F.col("html"))).alias("c")).withColumns({"seq": F.col("c.ordinal"), "offset": F.col("c.start"), "match": F.col("c.text")})
+
     def template_values(self) -> DataFrame:
         df = self.courses.select("course_dir", "url", "details_doc", F.explode(prose.json_templates(F.col("details_doc"))).alias("t"))
         at = text.line_and_column("details_doc", F.greatest(F.instr("details_doc", F.col("t.value")) - 1, F.lit(0)))
         ref = F.concat(F.lit("courses/"), "course_dir", F.lit("/details.json:"), at["line"].cast("string"), F.lit(":"), at["column"].cast("string"))
         return df.select(F.lit("unwritten-content").alias("problem"), F.concat_ws("#", "course_dir", "t.path").alias("key"), text.fingerprint("t.value").alias("fingerprint"), F.col("t.value").alias("match"), ref.alias("editor_ref"), "url")
 
+    def term_hits(self) -> DataFrame:
+        """Retired names in pages and metadata: a finding each, with where it stands (place: page or a metadata file; found, html, offset, term, in_code)."""
+        terms = self.settings.terms
+        fields = self.courses.select(F.col("course_dir").alias("base"), F.lit("details.json").alias("place"), F.explode(F.array("details.title", "details.short_description", "details.long_description_html")).alias("html"), F.col("url").alias("lesson_url"), F.concat(F.lit("courses/"), "course_dir", F.lit("/details.json")).alias("found"))
+        lessons = self.courses.select("course_dir", "url", F.explode("lessons").alias("l"))
+        meta = lessons.select(F.concat_ws("/", "course_dir", "l.slug").alias("base"), F.lit("lessons-meta.json").alias("place"), F.explode(F.array("l.title", "l.description_html")).alias("html"), F.col("url").alias("lesson_url"), F.concat(F.lit("courses/"), "course_dir", F.lit("/lessons-meta.json")).alias("found"))
+        pages = self.items.select("base", F.lit("page").alias("place"), "html", "lesson_url", "found")
+        rows = pages.unionByName(fields).unionByName(meta).where("html is not null").select("*", F.explode(prose.retired(F.col("html"), terms)).alias("r")).select("*", "r.*").drop("r")
+        # The words around it, between the walls of its paragraph.
+        around = F.when(F.col("in_code"), F.regexp_replace("html", r"<[^>]*>", " ")).otherwise(html.prose_mask(F.col("html")))
+        start = F.greatest(F.col("offset") - 39, F.lit(1))
+        before = F.regexp_replace(F.substring(around, start, F.col("offset") - start + 1), r"(?s)^.*\x00", "")
+        after = F.regexp_replace(F.substring(around, F.col("offset") + 1, F.length("match") + 40), r"(?s)\x00.*$", "")
+        in_code = F.regexp_replace(F.substring("html", start, F.length("match") + 80), r"<[^>]*>|<[^>]*$|^[^<]*>", " ")
+        rows = rows.withColumn("context", text.flatten_blanks(F.when(F.col("in_code"), in_code).otherwise(F.concat(before, after))))
+        n = F.row_number().over(Window.partitionBy("base", "term", "context").orderBy("place", "offset"))
+        name = F.concat("base", F.lit("#term "), "term", F.lit(": "), "context")
+        at = text.line_and_column("html", F.col("offset"))
+        ref = F.when(F.col("place") == "page", F.concat_ws(":", "found", at["line"], at["column"])).otherwise(F.concat("found", F.lit(":1:1")))
+        key = F.when(n > 1, F.concat(name, F.lit(" ("), n.cast("string"), F.lit(")"))).otherwise(name)
+        return rows.select(F.lit("retired-term").alias("problem"), key.alias("key"), text.fingerprint("context").alias("fingerprint"), "match", ref.alias("editor_ref"), F.col("lesson_url").alias("url"), "place", "found", "html", "offset", "term", "in_code")
+
     def term_findings(self) -> list[DataFrame]:
         terms = self.settings.terms
         if not terms:
             return []
-        fields = self.courses.select(F.col("course_dir").alias("base"), F.lit("details.json").alias("where"), F.explode(F.array("details.title", "details.short_description", "details.long_description_html")).alias("html"), F.col("url").alias("lesson_url"), F.concat(F.lit("courses/"), "course_dir", F.lit("/details.json")).alias("found"))
         lessons = self.courses.select("course_dir", "url", F.explode("lessons").alias("l"))
-        meta = lessons.select(F.concat_ws("/", "course_dir", "l.slug").alias("base"), F.lit("lessons-meta.json").alias("where"), F.explode(F.array("l.title", "l.description_html")).alias("html"), F.col("url").alias("lesson_url"), F.concat(F.lit("courses/"), "course_dir", F.lit("/lessons-meta.json")).alias("found"))
-        pages = self.items.select("base", F.lit("page").alias("where"), "html", "lesson_url", "found")
-        rows = pages.unionByName(fields).unionByName(meta).where("html is not null").select("*", F.explode(prose.retired(F.col("html"), terms)).alias("r")).select("*", "r.*")
-        reach = F.substring("html", F.greatest(F.col("offset") - 39, F.lit(1)), F.length("match") + 80)
-        rows = rows.withColumn("context", text.flatten_blanks(F.regexp_replace(reach, r"<[^>]*>|<[^>]*$|^[^<]*>", " ")))
-        n = F.row_number().over(Window.partitionBy("base", "term", "context").orderBy("where", "offset"))
-        name = F.concat("base", F.lit("#term "), "term", F.lit(": "), "context")
-        at = text.line_and_column("html", F.col("offset"))
-        ref = F.when(F.col("where") == "page", F.concat_ws(":", "found", at["line"], at["column"])).otherwise(F.concat("found", F.lit(":1:1")))
-        in_text = rows.select(F.lit("retired-term").alias("problem"), F.when(n > 1, F.concat(name, F.lit(" ("), n.cast("string"), F.lit(")"))).otherwise(name).alias("key"), text.fingerprint("context").alias("fingerprint"), "match", ref.alias("editor_ref"), F.col("lesson_url").alias("url"))
         slugs = lessons.select("course_dir", F.col("l.slug").alias("slug"), "url").unionByName(self.courses.select("course_dir", F.explode(F.map_values("slugs")).alias("slug"), "url"))
         slugs = slugs.distinct().select("*", F.explode(prose.retired_in_slug(F.col("slug"), terms)).alias("term"))
         in_slug = slugs.select(F.lit("retired-term-in-url").alias("problem"), F.concat("course_dir", F.lit("/"), "slug", F.lit("#"), "term").alias("key"), text.fingerprint("slug").alias("fingerprint"), F.col("slug").alias("match"), F.concat(F.lit("courses/"), "course_dir", F.lit("/lessons-meta.json:1:1")).alias("editor_ref"), "url")
-        return [in_text, in_slug]
+        return [self.term_hits().select(*FINDING), in_slug]
+
+    def term_edits(self, issues: DataFrame) -> DataFrame:
+        """(found, place, html, source_new and a number for each of prose.BUCKETS) of pages and metadata with retired names."""
+        hits = ledger.applied(self.term_hits(), issues)
+        hit = F.struct("term", "offset", "match", "in_code", (F.col("state") == "accepted").alias("accepted"), (F.col("place") != "page").alias("metadata"))
+        by = hits.groupBy("found", "place", "html").agg(F.array_sort(F.collect_set(hit)).alias("hits"))
+        return prose.rewritten(by, "html", "hits", self.settings.terms).drop("hits")
 
     def file_findings(self) -> list[DataFrame]:
         none = F.lit(None).cast("string")
@@ -171,12 +194,21 @@ class Audit:
         return [drifted, shared]
 
     def sibling_findings(self, judged: DataFrame) -> DataFrame:
-        """Findings that one of two similar pages has and the other not, both have, or one has accepted."""
+        """(problem, rule, file, twin): findings that one of two similar pages has and the other not, both have, or one has accepted; not of findings about copies."""
         of = self.items.select("base", "found").distinct()
         pairs = self.copies().select("a", "b").join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        files = judged.where("editor_ref is not null").select("problem", F.regexp_replace("editor_ref", r":\d+:\d+$", "").alias("file"), (F.col("state") == "accepted").alias("accepted"))
+        files = judged.where(F.col("editor_ref").isNotNull() & ~F.col("problem").isin(*ABOUT_COPIES)).select("problem", F.regexp_replace("editor_ref", r":\d+:\d+$", "").alias("file"), (F.col("state") == "accepted").alias("accepted"))
         return copies.sibling_findings(files, copies.sibling_files(pairs))
 
+    def sibling_rows(self, judged: DataFrame) -> DataFrame:
+        """`sibling_findings` as findings: the key names what was found and both files."""
+        named = judged.withColumn("file", F.regexp_replace("editor_ref", r":\d+:\d+$", ""))
+        prints = named.groupBy(F.col("problem").alias("of"), "file", (F.col("state") == "accepted").alias("done")).agg(F.min("fingerprint").alias("fingerprint"), F.min(F.struct("editor_ref", "url")).alias("first"))
+        df = self.sibling_findings(judged).select(F.col("problem").alias("of"), F.col("rule").alias("problem"), "file", "twin").withColumn("done", F.col("problem") == "half-accepted-copy")
+        df = df.join(prints, ["of", "file", "done"])
+        key = F.concat("of", F.when(F.col("done"), " accepted ").otherwise(" "), copies.pair_key(F.col("file"), F.col("twin")))
+        return df.select("problem", key.alias("key"), "fingerprint", F.col("of").alias("match"), F.col("first.editor_ref").alias("editor_ref"), F.col("first.url").alias("url")).dropDuplicates(["problem", "key"])
+
     def link_sites(self) -> DataFrame:
         """(url, kind, file, raw, text, key, fingerprint, editor_ref, lesson_url) of every link and image."""
         rows = self.items.select("base", "found", "html", "lesson_url", F.explode(html.link_rows(F.col("html"))).alias("l")).select("*", "l.*")
@@ -191,6 +223,27 @@ class Audit:
     def judged_links(self, results: DataFrame, owned: tuple[str, ...] = ()) -> DataFrame:
         return links.judged(results, (*self.settings.owned_domains, *owned), self.link_sites().where(urls.scheme("url") == "http").select("url"))
 
+    def link_findings(self, results: DataFrame, owned: tuple[str, ...] = ()) -> DataFrame:
+        """Addresses with a problem as findings, each with its first place; results as of `network.link_results`."""
+        sites = self.link_sites()
+        found = links.problems(self.judged_links(results, owned), sites)
+        first = sites.groupBy("url").agg(F.min(F.struct("editor_ref", "lesson_url")).alias("first"))
+        none = F.lit(None).cast("string")
+        return found.join(first, "url").select("problem", F.col("url").alias("key"), none.alias("fingerprint"), F.concat_ws(" ", "url", F.concat(F.lit("in "), "files", F.lit(" files"))).alias("match"), F.col("first.editor_ref").alias("editor_ref"), F.col("first.lesson_url").alias("url"))
+
+    def image_sites(self) -> DataFrame:
+        """(ref, course_dir, block_id, editor_ref) of every image reference in a block."""
+        return self.blocks.select(F.explode("image_refs").alias("ref"), "course_dir", "block_id", "editor_ref")
+
+    def drift(self, results: DataFrame, now: Column) -> DataFrame:
+        """Pinned references with status and age; results as of `network.drift_results`."""
+        return images.drift_status(results, now, self.settings.stale_image_days)
+
+    def private_images(self, results: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(offenders, idle) of `images.private_images` for results as of `network.image_results`."""
+        allowed = self.spark.createDataFrame([(c,) for c in self.settings.allowed_private], "course_dir string")
+        return images.private_images(results.join(self.image_sites().select("ref", "course_dir").distinct(), "ref"), allowed)
+
     def findings(self) -> DataFrame:
         """All findings; found once, group by group, so that no plan grows with their number."""
         if self._findings is None:
@@ -205,7 +258,10 @@ class Audit:
             self._findings = out
         return self._findings
 
-    def judged(self, issues: DataFrame) -> DataFrame:
-        """Findings with category, severity and state."""
+    def judged(self, issues: DataFrame, results: DataFrame | None = None) -> DataFrame:
+        """Findings with category, severity and state, those about copies of other findings included; with results of links, also theirs."""
+        own = self.findings() if results is None else self.findings().unionByName(self.link_findings(results).select(*FINDING))
+        first = written(ledger.applied(own, issues))
         known = catalogue.frame(self.spark).withColumnRenamed("id", "problem")
-        return ledger.applied(self.findings(), issues).join(F.broadcast(known), "problem", "left")
+        both = first.unionByName(ledger.applied(self.sibling_rows(first), issues).select(*first.columns))
+        return both.join(F.broadcast(known), "problem", "left")

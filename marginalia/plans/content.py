@@ -96,7 +96,7 @@ def masks_keep_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def markdown_in_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first match of each rule on a page."""
-    return pages(spark, sf_dir).select("path", F.explode(prose.markdown(F.col("html"))).alias("m")).select("path", "m.*")
+    return pages(spark, sf_dir).select("path", F.explode(prose.markdown(F.col("html"))).alias("m")).select("path", "m.rule", "m.match")
 
 
 def flattened_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,7 @@ def flattened_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unwritten_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drafts on each page."""
-    return pages(spark, sf_dir).select("path", F.explode(prose.unwritten(F.col("html"))).alias("u")).select("path", "u.*")
+    return pages(spark, sf_dir).select("path", F.explode(prose.unwritten(F.col("html"))).alias("u")).select("path", "u.rule", "u.match")
 
 
 def stub_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,9 +160,11 @@ def retired_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources with the names replaced, and how many edits were made and refused."""
-    df = prose.rewritten(files(spark, sf_dir), "html", TERMS)
-    return df.where("applied + refused > 0").select("path", "applied", "refused", F.sha2("source_new", 256).alias("new_hash"))
+    """Sources with the names replaced, and what became of each: left in code or between markup, changed or refused."""
+    hit = lambda h: F.struct(h["term"].alias("term"), h["offset"].alias("offset"), h["match"].alias("match"), h["in_code"].alias("in_code"), F.lit(False).alias("accepted"), F.lit(False).alias("metadata"))
+    rows = files(spark, sf_dir).withColumn("hits", prose.retired(F.col("html"), TERMS)).withColumn("hits", F.transform("hits", hit)).where("size(hits) > 0")
+    df = prose.rewritten(rows, "html", "hits", TERMS)
+    return df.select("path", "code", "markup", "changed", "refused", F.sha2("source_new", 256).alias("new_hash"))
 
 
 def lesson_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from marginalia.operators import blocks as block_ops
 from marginalia.operators import copies, pairing, paths
 from marginalia.plans import blocks as block_plans
 from marginalia.plans import content
-from marginalia.plans.audit import Audit
+from marginalia.plans.audit import ABOUT_COPIES, Audit
 from marginalia.session import written
 from marginalia.settings import Settings
 from marginalia.sources import tree
@@ -28,8 +28,6 @@ WARNINGS = ("digest-mismatch", "image-mismatch", "tag-mismatch")
 #: Problems that are judged; the warnings are under cross-reference.
 JUDGED = tuple(p for p in catalogue.FINDINGS if p not in (*LINK_PROBLEMS, *WARNINGS))
 ANOMALIES = ("missing-code-element", "missing-lang", "unescaped-markup")
-#: Findings about copies, which aren't sought in the twin of a copy.
-ABOUT_COPIES = ("drifted-copy-code", "drifted-copy-prose", "shared-code-block")
 
 
 def _last(df: DataFrame, key: str, *by: str) -> DataFrame:

@@ -145,6 +145,19 @@ class Registry:
         return config.get("created")
 
 
+    def drift(self, ref: str, registry: str | None, repository: str | None, tag: str, pinned: str) -> dict:
+        """(ref, pinned, current, created): the digest that the tag has now, and when the pinned image was made; null if it can't be told."""
+        out = {"ref": ref, "pinned": pinned, "current": None, "created": None}
+        if not registry or not repository:
+            return out
+        out["current"] = self.look_up(ref, registry, repository, tag)["current"]
+        try:
+            out["created"] = self.created(registry, repository, pinned)
+        except (OSError, ValueError, KeyError, IndexError, TypeError):
+            pass
+        return out
+
+
 def link_results(addresses: DataFrame, fetcher: Callable[[], Fetch] = lambda: retried(open_url), at_once: int = 10) -> DataFrame:
     """Results of the distinct addresses (url), `at_once` at a time."""
 
@@ -172,3 +185,18 @@ def image_results(refs: DataFrame, fetcher: Callable[[], Fetch] = lambda: retrie
     parts = images.parsed("ref")
     todo = refs.select("ref").where("ref is not null").distinct().select("ref", parts["registry"].alias("registry"), parts["repository"].alias("repository"), parts["reference"].alias("reference"))
     return todo.repartition(at_once, F.coalesce("repository", F.lit(""))).mapInArrow(run, "ref string, status string, detail string, current string")
+
+
+def drift_results(refs: DataFrame, fetcher: Callable[[], Fetch] = lambda: retried(open_url), at_once: int = 6) -> DataFrame:
+    """(ref, pinned, current, created) of the distinct references that are pinned to a digest: what their tag is now."""
+    from marginalia.functions import images
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        registry = Registry(fetcher())
+        for batch in it:
+            yield pa.RecordBatch.from_pylist([registry.drift(*r.values()) for r in batch.to_pylist()], schema)
+
+    schema = pa.schema([(n, pa.string()) for n in ("ref", "pinned", "current", "created")])
+    parts = images.parsed("ref")
+    todo = refs.select("ref").distinct().select("ref", parts["registry"].alias("registry"), parts["repository"].alias("repository"), images.comparison_tag("ref").alias("tag"), images.pinned("ref").alias("pinned")).where("pinned is not null")
+    return todo.repartition(at_once, F.coalesce("repository", F.lit(""))).mapInArrow(run, "ref string, pinned string, current string, created string")

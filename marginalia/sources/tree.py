@@ -6,6 +6,8 @@ leaves nulls.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +20,10 @@ INDEX = "description string, urls map<string, string>"
 
 
 def _path(root: str) -> Column:
-    """Path below the root."""
-    return F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), r"^.*?/(?=courses/)", "")
+    """Path below the root, wherever that lies."""
+    full = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    base = re.sub(r"^[a-z]+:/*(?=/)", "", root.rstrip("/"))
+    return F.substring(full, F.instr(full, F.lit(f"{base}/courses/")) + len(base) + 1, F.length(full))
 
 
 def whole_files(spark: SparkSession, root: str, pattern: str, name: str) -> DataFrame:

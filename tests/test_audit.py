@@ -95,3 +95,78 @@ def test_rewrites():
 
 def test_category_is_checked(capsys):
     assert cli.main(["inventory", "--category", "nonsense"]) == 2
+
+
+def test_places(dirty):
+    got = {(r.problem, r.match): r.editor_ref.rsplit("/", 1)[1] for r in dirty.findings().collect() if r.editor_ref and "content-item0" in r.editor_ref}
+    page = DIRTY["10-First"]
+
+    def at(needle, skip=0):
+        offset = page.index(needle) + skip
+        return f"content-item0.html:{page.count(chr(10), 0, offset) + 1}:{offset - page.rfind(chr(10), 0, offset)}"
+
+    assert got["markdown-in-prose", "`"] == at("`ticks`")
+    assert got["flattened-command", "<p>Use `ticks` and run tool --tag one now.</p>"] == at("<p>Use")
+    assert got["unwritten-content", "TODO: more text"] == at("TODO: more")
+    assert got["unwritten-content", "FIXME: later"] == at("FIXME")
+    assert got["unwritten-content", "<!-- write this -->"] == at("<p><!-- write")
+    assert got["script-entity", "&amp;"] == at("&amp;c=2")
+    assert got["code-trailing-space", "--depth "] == at("<code>--depth")
+
+
+def test_script_findings_follow_the_body(spark, tmp_path):
+    prints = []
+    for n, body in enumerate(("a = '&amp;';", "b = '&amp;';")):
+        audit = Audit(spark, settings.load(write(tmp_path / str(n), {"10-S": f"<script>{body}</script>"}, clean=True)))
+        prints += [r.fingerprint for r in audit.findings().where("problem = 'script-entity'").collect()]
+        audit.close()
+    assert len(set(prints)) == 2
+
+
+def test_terms_leave_accepted_names_and_code(spark, tmp_path, capsys):
+    page = "<p>First Old Name here.</p><p>Then the Old Name again.</p><p>Run <code>gizmo --x</code> or a gizmo.</p><p>Old <b>Name</b> in bold.</p>"
+    root = tmp_path / "courses" / "site"
+    loaded = settings.load(write(root, {"10-Terms": page, "20-Old-Name": "<p>Nothing.</p>"}, clean=True))
+    audit = Audit(spark, loaded)
+    hits = {r.key: r for r in audit.term_hits().collect()}
+    kept = next(k for k in hits if "First" in k and "again" not in k)
+    assert [r.in_code for r in sorted(hits.values(), key=lambda r: r.offset) if r.term == "gizmo"] == [True, False]
+    book = settings.Ledger((("retired-term", kept, None, "as dated", datetime.date(2025, 1, 1)),))
+    args = cli._arguments().parse_args(["terms", "--write"])
+    assert cli._terms(audit, book, args) == 0
+    said = json.loads(capsys.readouterr().out)
+    assert {k: said[k] for k in prose.BUCKETS} == {"accepted": 1, "code": 1, "metadata": 0, "markup": 0, "changed": 3, "refused": 0}
+    text = (root / "courses/Course/lessons/10-Terms/content-item0.html").read_text()
+    assert text == "<p>First Old Name here.</p><p>Then the New Name again.</p><p>Run <code>gizmo --x</code> or a widget.</p><p>New <b>Name</b> in bold.</p>"
+    audit.close()
+
+
+def test_link_findings(spark, tmp_path):
+    page = '<p><a href="https://learn.test/dead">b</a> <a href="https://learn.test/dead">b</a></p>'
+    audit = Audit(spark, settings.load(write(tmp_path, {"10-Links": page}, clean=True)))
+    results = spark.createDataFrame([("https://learn.test/dead", "not-found", None, None, None)], "url string, status string, final_url string, permanent boolean, fragment_found boolean")
+    book = settings.Ledger((("dead-link", "https://learn.test/dead", None, "n", datetime.date(2025, 1, 1)),))
+    rows = audit.judged(book.frame(spark), results).where("problem like 'dead%'").collect()
+    assert [(r.problem, r.key, r.state, r.severity, r.editor_ref.endswith(":1:4")) for r in rows] == [("dead-link", "https://learn.test/dead", "accepted", "error", True)]
+    audit.close()
+
+
+def test_siblings_are_findings(dirty, spark):
+    rows = dirty.judged(settings.Ledger().frame(spark)).where("problem in ('uneven-copy', 'shared-finding')").collect()
+    assert any(r.key.startswith("script-entity ") and r.state == "open" and r.category == "stale" for r in rows)
+
+
+def test_images(spark, tmp_path, capsys):
+    from pyspark.sql import functions as F
+
+    old, new = "sha256:" + "a" * 64, "sha256:" + "b" * 64
+    page = f'<pre data-lang="bash"><code>$ docker pull hub.test/o/a:1@{old}\n$ docker pull hub.test/o/b@{new}\n$ docker pull hub.test/o/c:2\n$ docker pull hub.test/charts/d:2</code></pre>'
+    loaded = settings.load(write(tmp_path, {"10-Images": page}, clean=True))
+    loaded = settings.parse((tmp_path / "settings.yaml").read_text() + "nonImageNamespaces: [charts]\n", tmp_path)
+    audit = Audit(spark, loaded)
+    assert {r.ref for r in audit.image_sites().collect()} == {f"hub.test/o/a:1@{old}", f"hub.test/o/b@{new}", "hub.test/o/c:2"}
+    drift = spark.createDataFrame([("a", old, new, "2024-01-01T00:00:00Z"), ("b", new, new, None), ("c", old, new, "2025-05-31T00:00:00Z"), ("d", old, None, None)], "ref string, pinned string, current string, created string")
+    results = spark.createDataFrame([("hub.test/o/c:2", "unauthorized")], "ref string, status string")
+    assert cli.check_images(audit, results, drift, F.lit("2025-06-01").cast("timestamp")) == 1
+    assert capsys.readouterr().out.splitlines() == ["private  Course  hub.test/o/c:2", "stale  a  517 days", "1 current, 1 behind, 1 stale, 1 unknown"]
+    audit.close()

@@ -29,7 +29,8 @@ def test_inline_links_scripts():
 
 def test_visible_text():
     assert h.visible_text("<p>a<b>b</b></p><p>c&nbsp;d</p><pre>x</pre>", frozenset({"pre"})) == "a b\nc d"
-    prose, comments = h.prose_and_comments(PAGE)
+    prose, comments, starts = h.prose_and_comments(PAGE)
+    assert all(PAGE[s:].startswith("<!--" + c) for c, s in zip(comments, starts, strict=True))
     assert "One & two" in prose and "ls" not in prose and comments == [" TODO: check "]
 
 

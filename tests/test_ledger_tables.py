@@ -37,7 +37,7 @@ def states(spark, sf_dir, problem):
 
 def test_residue_is_what_the_audit_calls_so(spark, tables):
     sf_dir = tables(
-        blocks=[block(0, "bash", "$ tool run --parent  --ttl 5m"), block(1, "bash", '$ tool login --user "" x'), block(2, "bash", "$ echo {name}"), block(3, "go", 'a ""')],
+        blocks=[block(0, "bash", "$ kiln bake --base  --heat 5m"), block(1, "bash", '$ kiln sign --key "" x'), block(2, "bash", "$ echo {name}"), block(3, "go", 'a ""')],
         issues=[("placeholder-residue", "C/l/i#0", None), ("placeholder-residue", "C/l/i#1::empty-flag-value", "other"), ("placeholder-residue", "C/l/i#2", None)],
     )
     assert states(spark, sf_dir, "placeholder-residue") == [("C/l/i#0::dangling-flag", "accepted"), ("C/l/i#1::empty-flag-value", "stale"), ("C/l/i#1::empty-quoted-value", "open")]

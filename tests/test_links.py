@@ -84,3 +84,27 @@ def test_results_as_relations(spark):
 
     df = spark.createDataFrame([("https://x.test/dead",), ("https://x.test/b",), ("https://x.test/b",), (None,)], "url string")
     assert {r.url: r.status for r in n.link_results(df, fetcher).collect()} == {"https://x.test/dead": "not-found", "https://x.test/b": "ok"}
+
+
+def test_drift_asks_for_the_tag(spark):
+    old, new = "sha256:" + "a" * 64, "sha256:" + "b" * 64
+
+    def fetcher():
+        def fetch(method, url, headers):
+            if "/token" in url:
+                return n.Response(200, url, body='{"token": "t"}')
+            if method == "HEAD":
+                tag = url.rsplit("/", 1)[1]
+                assert not tag.startswith("sha256:")
+                return n.Response(404 if tag == "gone" else 200, url, {"docker-content-digest": new})
+            if "/blobs/" in url:
+                return n.Response(200, url, body='{"created": "2024-01-01T00:00:00Z"}')
+            return n.Response(200, url, body=json.dumps({"config": {"digest": "sha256:c", "mediaType": "m"}}))
+
+        return fetch
+
+    refs = [f"hub.test/o/a:1@{old}", f"hub.test/o/b@{new}", f"hub.test/o/c:gone@{old}", "hub.test/o/d:1"]
+    df = spark.createDataFrame([(r,) for r in refs + refs[:1]], "ref string")
+    got = {r.ref: (r.pinned, r.current, r.created) for r in n.drift_results(df, fetcher).collect()}
+    made = "2024-01-01T00:00:00Z"
+    assert got == {refs[0]: (old, new, made), refs[1]: (new, new, made), refs[2]: (old, None, made)}

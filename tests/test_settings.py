@@ -56,3 +56,22 @@ def test_ledger(tmp_path):
     for bad in ("issues:\n  - {problem: p, key: k, note: n}\n", "issues:\n  - {problem: p, key: k, note: '', added: 2025-01-02}\n", good.replace("2025-01-02", "02.01.2025"), "other: 1\n", "issues:\n" + "  - {problem: p, key: k, note: n, added: 2025-01-02}\n" * 2, good.replace("note: n, added: 2025-01-02", "note: n, added: 2025-01-02, x: 1")):
         with pytest.raises(settings.SettingsError):
             settings.parse_ledger(bad)
+
+
+def test_keys_of_the_contract_and_with_underscores(tmp_path):
+    both = SETTINGS
+    for name in ("contentRoot", "knownIssuesFile", "staleImageDays", "registryPrefixes", "allowedCourses", "ownedDomains", "staleImageRefs", "minWords", "shingleSize", "ignoreElements", "alsoInCode", "driftBudget", "privateImages", "primaryDomain"):
+        under = "".join("_" + c.lower() if c.isupper() else c for c in name)
+        assert under in both
+        both = both.replace(under, name)
+    assert settings.parse(both, tmp_path) == settings.parse(SETTINGS, tmp_path)
+
+
+@pytest.mark.parametrize("since,good", [(2026, True), ("2026-03", True), ("2026-13", False), ("March", False)])
+def test_since(since, good, tmp_path):
+    document = changed(("terminology",), [{"from": "a", "to": "b", "since": since}])
+    if good:
+        assert settings.parse(document, tmp_path).terms[0].since == str(since)
+    else:
+        with pytest.raises(settings.SettingsError, match="since"):
+            settings.parse(document, tmp_path)
