@@ -104,9 +104,21 @@ def image_refs_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pinned_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct references pinned to a digest. Whole digests are rare here, so shortened ones count as well."""
-    df = one_row_a_block(spark, sf_dir, "code").select(F.explode(F.regexp_extract_all(F.coalesce("code", F.lit("")), F.lit(r"(sha256:[0-9a-f]{16,64})"), 1)).alias("digest"))
-    return df.groupBy("digest").agg(F.count("*").alias("sightings"))
+    """Image references that are pinned to a digest, and the blocks that name them."""
+    return _pinned(one_row_a_block(spark, sf_dir, "code"))
+
+
+def _pinned(df: DataFrame) -> DataFrame:
+    refs = df.select(F.explode(images.image_refs(F.coalesce("code", F.lit("")), REGISTRY)).alias("ref"))
+    return refs.withColumn("digest", images.pinned("ref")).where("digest is not null").groupBy("ref", "digest").agg(F.count("*").alias("blocks"))
+
+
+SYNTHETIC_PIN = "concat('$ kiln pull hub.a.example/team/app', p_partkey % 7, ':1', case when p_partkey % 3 = 0 then concat('@sha256:', repeat(cast(p_partkey % 5 as varchar(1)), 64)) when p_partkey % 3 = 1 then concat(' sha256:', repeat('a', 64)) else '' end)"
+
+
+def pinned_on_synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C18 on commands made from part keys, of which a third have a pinned reference."""
+    return _pinned(table(spark, sf_dir, "part", "p_partkey").withColumn("code", F.expr(SYNTHETIC_PIN.replace("varchar(1)", "string"))))
 
 
 def block_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,14 +182,9 @@ def residue_on_synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("p_partkey", F.explode(rules).alias("rule"))
 
 
-SYNTHETIC_RESIDUE = """concat(case p_partkey % 8 when 0 then concat('$ tool run --parent  --ttl ', p_partkey, 'm') when 1 then concat('$ tool login --user "" ', p_name)
- when 2 then concat(p_name, ' identity ""') when 3 then concat('name: ', p_name, chr(10), 'identity: ') when 4 then concat('$ tool --repo=''/', p_name)
- when 5 then concat('Creating ', p_name, ' under .') when 6 then concat('$ tool build -t ', p_name, ' --pull') else concat('name: ', p_name) end, chr(10), 'done')"""
-
-
-def code_trailing_space(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D11."""
-    return one_row_a_block(spark, sf_dir, "code").where(ops.ends_in_blank(F.col("code"))).select("block_no")
+SYNTHETIC_RESIDUE = """concat(case p_partkey % 8 when 0 then concat('$ kiln bake --base  --heat ', p_partkey, 'm') when 1 then concat('$ kiln sign --key "" ', p_name)
+ when 2 then concat(p_name, ' issuer ""') when 3 then concat('name: ', p_name, chr(10), 'owner: ') when 4 then concat('$ kiln --path=''/', p_name)
+ when 5 then concat('Packed ', p_name, ' into .') when 6 then concat('$ kiln build -t ', p_name, ' --pull') else concat('name: ', p_name) end, chr(10), 'done')"""
 
 
 def unknown_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,8 +258,12 @@ def shared_code_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompted_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First tokens that are seen in output twice or more and in commands twice or less, with their commands."""
-    df = classified(spark, sf_dir)
+    """G3, D24."""
+    return prompted(classified(spark, sf_dir))
+
+
+def prompted(df: DataFrame) -> DataFrame:
+    """(block_no, token, as_command, as_output): first tokens that are seen in output twice or more and in commands twice or less, with their commands."""
     commands = df.where("shell is not null").select("block_no", F.explode("shell.commands").alias("command")).withColumn("token", text.first_token("command")).where("token <> ''")
     output = df.where("kind = 'output'").select(F.explode(text.lines("code")).alias("line")).unionByName(df.where("shell is not null").select(F.explode("shell.output").alias("line")))
     seen = output.select(text.first_token("line").alias("token")).where("token <> ''").groupBy("token").agg(F.count("*").alias("as_output")).where("as_output >= 2")
@@ -355,7 +366,8 @@ SQL = {
 SELECT ref, blocks, repo, CASE WHEN regexp_matches(repo, '^[^/]+/[^/]+/.') THEN split_part(repo, '/', 1) END AS registry,
  CASE WHEN regexp_matches(repo, '^[^/]+/[^/]+/.') THEN coalesce(nullif(regexp_extract(ref, '@(sha256:[0-9a-f]+)$', 1), ''), nullif(regexp_extract(split_part(ref, '@', 1), ':([^:/]+)$', 1), ''), 'latest') END AS reference,
  coalesce(nullif(regexp_extract(split_part(ref, '@', 1), ':([^:/]+)$', 1), ''), 'latest') AS comparison_tag FROM n""",
-    "pinned_refs": f"WITH {_BLOCKS} SELECT digest, count(*) AS sightings FROM (SELECT unnest(regexp_extract_all(code, 'sha256:[0-9a-f]{{16,64}}')) AS digest FROM blocks) GROUP BY digest",
+    "pinned_refs": f"WITH {_BLOCKS}, {_REF_ROWS} SELECT ref, split_part(ref, '@', 2) AS digest, count(*) AS blocks FROM refs WHERE contains(ref, '@') GROUP BY ref",
+    "pinned_on_synthetic": "SELECT ref, '@' || ref AS digest, count(*) AS blocks FROM part GROUP BY ref".replace("FROM part", f"FROM (SELECT split_part({SYNTHETIC_PIN}, 'pull ', 2) AS ref FROM part WHERE p_partkey % 3 = 0)").replace("'@' || ref", "split_part(ref, '@', 2)"),
     "block_urls": f"WITH {_BLOCKS}, {_urls(_URL_CODE)} SELECT block_no, url FROM urls",
     "json_parse_status": rf"""WITH {_KIND}, j AS (SELECT block_no, code, regexp_replace(regexp_replace(code, '\A[{_B}]+|[{_B}]+\z', '', 'g'), ',[\s]*\z', '') AS bare FROM kinded WHERE parser = 'json')
 SELECT block_no, CASE WHEN json_valid(code) THEN 'valid' WHEN regexp_matches(code, '{_ELISION}') OR contains(code, '…') THEN 'excerpt'
@@ -367,7 +379,6 @@ SELECT block_no, CASE WHEN json_valid(code) THEN 'valid' WHEN regexp_matches(cod
     "residue_on_synthetic": _residue_sql(),
     "residue_blocks": _residue_blocks_sql(),
     "runnable_blocks": f"WITH {_KIND} SELECT kind, sum((kind = 'shell' AND NOT regexp_matches(code, '{_PLACEHOLDER}') AND NOT regexp_matches(code, '{_ELISION}') AND NOT contains(code, '…'))::int) AS runnable, count(*) AS blocks FROM kinded GROUP BY kind",
-    "code_trailing_space": rf"SELECT DISTINCT block_no FROM code_blocks WHERE regexp_matches(code, '[{_B}]\z')",
     "unknown_lang": f"WITH {_KIND} SELECT lang, count(*) AS blocks FROM kinded WHERE lang <> '' AND lang NOT IN (SELECT lang FROM lang_kinds) GROUP BY lang",
     "unused_lang": "SELECT lang FROM lang_kinds WHERE lang NOT IN (SELECT lang FROM code_blocks WHERE lang IS NOT NULL)",
     "anomaly_tally": f"WITH {_BLOCKS} SELECT anomaly, count(*) AS blocks FROM (SELECT unnest(anomalies) AS anomaly FROM blocks) GROUP BY anomaly",
@@ -384,8 +395,8 @@ SELECT block_no, CASE WHEN json_valid(code) THEN 'valid' WHEN regexp_matches(cod
 QUERIES = {
     f.__name__: f
     for f in (
-        block_fingerprint, block_kind_tally, block_flags_tally, block_regex_flags, runnable_blocks, shell_commands, prompt_lines, image_refs_distinct, pinned_refs, block_urls, config_parse_status, json_parse_status,
-        comment_in_block, markup_on_synthetic, typography_by_char, mislabeled_dockerfile, residue_by_rule, residue_blocks, residue_on_synthetic, code_trailing_space, unknown_lang, unused_lang, anomaly_tally, unescaped_markup, output_pairing, expected_outputs,
+        block_fingerprint, block_kind_tally, block_flags_tally, block_regex_flags, runnable_blocks, shell_commands, prompt_lines, image_refs_distinct, pinned_refs, pinned_on_synthetic, block_urls, config_parse_status, json_parse_status,
+        comment_in_block, markup_on_synthetic, typography_by_char, mislabeled_dockerfile, residue_by_rule, residue_blocks, residue_on_synthetic, unknown_lang, unused_lang, anomaly_tally, unescaped_markup, output_pairing, expected_outputs,
         warnings_by_rule, warnings_on_synthetic, shared_code_groups, prompted_output, output_prefix_census, inventory_summary, block_ordinals,
     )
 }

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from marginalia.functions import html, text, urls
 from marginalia.operators import paths, prose
+from marginalia.operators.blocks import ends_in_blank
 from marginalia.plans.blocks import _B, _trim
 from marginalia.sources.tables import table
 
@@ -60,6 +61,15 @@ def inline_code_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("path", "c.ordinal", "c.text", text.fingerprint("c.text").alias("fingerprint"))
 
 
+TRAILING = "concat(html, '<p>Pass <code>--level', case when length(path) % 2 = 0 then ' ' else '' end, '</code> at last.</p>')"
+
+
+def code_trailing_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code elements outside blocks that end in a blank; one is put into each second file, as the stored ones have none."""
+    df = files(spark, sf_dir).withColumn("html", F.expr(TRAILING)).select("path", F.explode(html.inline_rows(F.col("html"))).alias("c"))
+    return df.where(ends_in_blank(F.col("c.text"))).select("path", "c.ordinal", "c.text")
+
+
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and images of each page."""
     df = pages(spark, sf_dir).select("path", F.explode(html.link_rows(F.col("html"))).alias("l")).select("path", "l.*")
@@ -141,6 +151,16 @@ def json_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("course_dir", F.explode(prose.json_templates(doc)).alias("t")).select("course_dir", "t.*")
 
 
+SYNTHETIC_FIELD = "case p_partkey % 5 when 0 then concat(' {', p_name, '} ') when 1 then concat('TBD ', substring(p_name, 1, 20)) when 2 then concat('{', p_partkey, '}') when 3 then concat('coming soon: ', p_name, ' ', p_name, ' ', p_name) else p_name end"
+
+
+def fields_on_synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D16, D20, F18 on values made from part names: stubs, placeholders, and what looks like them."""
+    df = table(spark, sf_dir, "part", "p_partkey", "p_name").withColumn("v", F.expr(SYNTHETIC_FIELD))
+    walked = prose.json_templates(F.to_json(F.struct(F.array(F.struct("v")).alias("a"))))
+    return df.select("p_partkey", prose.is_stub(F.col("v")).alias("stub"), prose.template_values(F.col("v")).alias("template"), F.array_join(F.transform(walked, lambda t: F.concat_ws("=", t["path"], t["value"])), " ").alias("walked"))
+
+
 def retired_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retired names in the prose of stored files, by place."""
     df = files(spark, sf_dir).select("path", F.explode(prose.retired(F.col("html"), TERMS)).alias("r")).select("path", "r.*")
@@ -207,6 +227,17 @@ def _decoded(x: str) -> str:
     return x
 
 
+# The named references that the stored files use.
+_NAMED_REFERENCES = {"&quot;": 34, "&amp;": 38, "&lt;": 60, "&gt;": 62, "&apos;": 39, "&nbsp;": 160, "&shy;": 173, "&zwnj;": 8204, "&zwj;": 8205, "&hellip;": 8230, "&ndash;": 8211, "&mdash;": 8212, "&uuml;": 252, "&auml;": 228, "&ouml;": 246, "&eacute;": 233, "&ensp;": 8194, "&emsp;": 8195, "&thinsp;": 8201}
+
+
+def _references(x: str) -> str:
+    """All character references of a text decoded, piece by piece."""
+    named = " ".join(f"WHEN t = '{name}' THEN chr({code})" for name, code in _NAMED_REFERENCES.items())
+    one = f"CASE WHEN regexp_matches(t, '^&#[xX][0-9A-Fa-f]+;$') THEN chr(('0x' || t[4:length(t) - 1])::INT) WHEN regexp_matches(t, '^&#[0-9]+;$') THEN chr(t[3:length(t) - 1]::INT) {named} ELSE t END"
+    return f"array_to_string(list_transform(regexp_extract_all({x}, '&#[xX][0-9A-Fa-f]+;|&#[0-9]+;|&[A-Za-z]+;|[^&]+|&'), lambda t: {one}), '')"
+
+
 _BLOCKS = rf"""pre AS (SELECT path, html, unnest(regexp_extract_all(html, '(?s)<pre[^>]*>.*?</pre>')) AS pre, unnest(range(len(regexp_extract_all(html, '<pre[^>]*>')))) AS ordinal FROM files),
 raw AS (SELECT *, coalesce(regexp_extract(pre, '^<pre[^>]*data-lang="([^"]*)"', 1), '') AS lang, regexp_matches(pre, '^<pre[^>]*>(?s:.*)<code') AS has_code,
  CASE WHEN regexp_matches(pre, '(?s)^<pre[^>]*><code[^>]*>.*</code></pre>$') THEN regexp_extract(pre, '(?s)^<pre[^>]*><code[^>]*>(.*)</code></pre>$', 1) ELSE regexp_extract(pre, '(?s)^<pre[^>]*>\n?(.*)</pre>$', 1) END AS raw FROM pre)"""
@@ -244,35 +275,45 @@ retired AS (SELECT path, term, i - 1 AS "offset", lower(prose[i:i + length(term)
 _FIELDS = """fields AS (SELECT 'details' AS source, course_dir AS owner, unnest(['title', 'short_description', 'long_description_html']) AS field, unnest([title, short_description, long_description_html]) AS value FROM courses
  UNION ALL SELECT 'lessons-meta', lesson_id, unnest(['title', 'description_html']), unnest([title, description_html]) FROM (SELECT DISTINCT lesson_id, title, description_html FROM lessons_meta))"""
 _NAMED = "named AS (SELECT DISTINCT 'courses/' || course_dir || '/' || f AS path FROM (SELECT course_dir, unnest(content_items).file AS f FROM lessons_meta) WHERE regexp_matches(f, '\\S'))"
-_LINKS = r"""links AS (
- SELECT path, 'link' AS kind, 0 AS ordinal, 'https://docs.kiln.example/a' || (length(path) % 7) || '?b=1&amp;c=2#part' AS raw, 'https://docs.kiln.example/a' || (length(path) % 7) || '?b=1&c=2#part' AS url, 'the docs' AS text, 'http' AS scheme, 'part' AS fragment FROM files
- UNION ALL SELECT path, 'image', 0, '/img/' || length(path) || '.png', '/img/' || length(path) || '.png', 'A < b', 'relative', NULL FROM files
- UNION ALL SELECT path, 'link', 1, 'mailto:x@y.example', 'mailto:x@y.example', 'm', 'mailto', NULL FROM files
- UNION ALL SELECT path, 'link', 2, '#top', '#top', 't', 'anchor', 'top' FROM files
- UNION ALL SELECT path, 'link', 3, 'next.html', 'next.html', 'n', 'relative', NULL FROM files)"""
+_CLOSED = "regexp_replace(html, '(?is)<(?:pre|script|style)\\b.*?</(?:pre|script|style)>|<!--.*?-->', '', 'g')"
+_LINKS = f"""tags AS (SELECT path, 'link' AS kind, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*>.*?</a>')) AS tag, unnest(range(len(regexp_extract_all(html, '(?is)<a\\b[^>]*>.*?</a>')))) AS ordinal FROM pages
+ UNION ALL SELECT path, 'image', unnest(regexp_extract_all(html, '(?is)<img\\b[^>]*>')), unnest(range(len(regexp_extract_all(html, '(?is)<img\\b[^>]*>')))) FROM pages),
+attrs AS (SELECT *, regexp_extract(tag, '(?is)^<[^>]*\\s(?:href|src)="([^"]*)"', 1) AS raw, CASE kind WHEN 'link' THEN {_trim(f"""regexp_replace({_decoded("regexp_replace(tag, '<[^>]*>', '', 'g')")}, '[{_B}]+', ' ', 'g')""")} ELSE {_decoded("""regexp_extract(tag, '(?is)\\salt="([^"]*)"', 1)""")} END AS text FROM tags WHERE regexp_matches(tag, '(?is)^<[^>]*\\s(?:href|src)=')),
+urls AS (SELECT *, {_trim(_decoded("raw"))} AS url FROM attrs),
+links AS (SELECT path, kind, ordinal, raw, url, text, CASE WHEN regexp_matches(url, '(?i)^https?:') THEN 'http' WHEN regexp_matches(url, '(?i)^mailto:') THEN 'mailto' WHEN url[1] = '#' THEN 'anchor' ELSE 'relative' END AS scheme, nullif(regexp_extract(url, '#(.*)$', 1), '') AS fragment FROM urls)"""
+_INLINE = f"""inline AS (SELECT path, unnest(regexp_extract_all({_CLOSED}, '(?is)<code\\b[^>]*>(.*?)</code>', 1)) AS body, unnest(range(len(regexp_extract_all({_CLOSED}, '(?is)<code\\b[^>]*>.*?</code>')))) AS ordinal FROM pages),
+texts AS (SELECT path, ordinal, {_decoded("regexp_replace(body, '<[^>]*>', '', 'g')")} AS text FROM inline)"""
 SQL = {
     "extracted_blocks": f"""WITH {_FILES}, {_BLOCKS}, spot AS (SELECT *, string_split_regex(html, '<pre[^>]*>') AS cuts FROM raw),
 lines AS (SELECT *, html[1:list_sum(list_transform(cuts[1:ordinal + 1], lambda c: length(c)))::BIGINT + coalesce(list_sum(list_transform(regexp_extract_all(html, '<pre[^>]*>')[1:ordinal], lambda p: length(p))), 0)::BIGINT] AS before FROM spot)
 SELECT path, ordinal, lang, sha256(raw) AS raw_hash, array_to_string(list_filter([CASE WHEN lang = '' THEN 'missing-lang' END, CASE WHEN NOT has_code THEN 'missing-code-element' END, CASE WHEN regexp_matches(raw, '<[a-zA-Z/][^>]*>') THEN 'unescaped-markup' END], lambda x: x IS NOT NULL), ' ') AS anomalies,
  length(before) - length(replace(before, chr(10), '')) + 1 AS line, length(string_split(before, chr(10))[-1]) + 1 AS "column" FROM lines""",
     "extraction_check": f"WITH {_FILES}, {_BLOCKS}, c AS (SELECT path, sha256(raw) AS h FROM raw), s AS (SELECT DISTINCT src_file AS path, sha256(raw_code) AS h FROM code_blocks) SELECT c.path, count(*) AS blocks, count(s.h) AS stored FROM c LEFT JOIN s ON s.path = c.path AND s.h = c.h GROUP BY c.path",
-    "inline_code_items": f"WITH {_FILES}, c AS (SELECT path, 'x' || length(path) || ' & y' AS text FROM files) SELECT path, 0 AS ordinal, text, {_fp('text')} AS fingerprint FROM c",
-    "page_links": f"WITH {_FILES}, {_LINKS} SELECT * FROM links",
-    "link_scheme_tally": f"WITH {_FILES}, {_LINKS} SELECT kind, scheme, count(*) AS links FROM links GROUP BY ALL",
-    "shared_links": f"WITH {_FILES}, {_LINKS} SELECT url, count(DISTINCT path) AS pages FROM links GROUP BY url HAVING count(DISTINCT path) > 1",
+    "decoding_check": f"WITH {_FILES}, {_BLOCKS}, c AS (SELECT path, sha256({_references('raw')}) AS h FROM raw), s AS (SELECT DISTINCT src_file AS path, sha256(code) AS h FROM code_blocks) SELECT c.path, count(*) AS blocks, count(s.h) AS stored FROM c LEFT JOIN s ON s.path = c.path AND s.h = c.h GROUP BY c.path",
+    "inline_code_items": f"WITH {_PAGES}, {_INLINE} SELECT path, ordinal, text, {_fp('text')} AS fingerprint FROM texts",
+    "code_trailing_space": f"WITH {_FILES}, pages AS (SELECT path, {TRAILING} AS html FROM files), {_INLINE} SELECT path, ordinal, text FROM texts WHERE regexp_matches(text, '[{_B}]\\z')",
+    "page_links": f"WITH {_PAGES}, {_LINKS} SELECT * FROM links",
+    "link_scheme_tally": f"WITH {_PAGES}, {_LINKS} SELECT kind, scheme, count(*) AS links FROM links GROUP BY ALL",
+    "shared_links": f"WITH {_PAGES}, {_LINKS} SELECT url, count(DISTINCT path) AS pages FROM links GROUP BY url HAVING count(DISTINCT path) > 1",
     "script_entity_items": f"WITH {_PAGES}, s AS (SELECT path, regexp_extract(html, '(?s)<script>(.*?)</script>', 1) AS body FROM pages) SELECT path, 0 AS script, unnest(regexp_extract_all(body, '&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);')) AS entity, {_fp('body')} AS fingerprint FROM s",
     "visible_words": f"WITH {_FILES} SELECT path, len(regexp_extract_all(lower({_decoded(_VISIBLE)}), '[a-z0-9]+')) AS words FROM files",
     "masks_keep_length": f"WITH {_PAGES} SELECT path, length(html) AS chars, length(html) AS prose_chars, length(html) AS free_chars FROM pages",
     "markdown_in_prose": rf"WITH {_PAGES}, f AS (SELECT path, regexp_replace(html, '(?is)<pre\b.*?</pre>|<code\b.*?</code>|<script\b.*?</script>', ' ', 'g') AS free FROM pages), m AS (SELECT path, 'backtick' AS rule, regexp_extract(free, '`') AS match FROM f UNION ALL SELECT path, 'bold', regexp_extract(free, '\*\*[^*\n]+\*\*') FROM f UNION ALL SELECT path, 'link', regexp_extract(free, '\[[^\]\n]+\]\((?:https?:|/)[^)\s]+\)') FROM f) SELECT * FROM m WHERE match <> ''",
     "flattened_commands": rf"WITH {_PAGES}, f AS (SELECT path, regexp_extract_all(regexp_replace(html, '(?is)<pre\b.*?</pre>|<code\b.*?</code>|<script\b.*?</script>', ' ', 'g'), '(?is)<(?:p\b[^>]*>.*?</p>|li\b[^>]*>.*?</li>)') AS e FROM pages) SELECT path, len(list_filter(e, lambda x: regexp_matches(regexp_replace(x, '^<[^>]*>|</[^>]*>$', '', 'g'), '(?i)\s--[a-z][a-z0-9-]*(?:=|\s+[^\s<])'))) AS elements FROM f WHERE len(list_filter(e, lambda x: regexp_matches(regexp_replace(x, '^<[^>]*>|</[^>]*>$', '', 'g'), '(?i)\s--[a-z][a-z0-9-]*(?:=|\s+[^\s<])'))) > 0",
     "unwritten_content": f"""WITH {_PAGES}, own AS (SELECT path, {_decoded("regexp_replace(regexp_replace(regexp_replace(html, '(?is)<pre.*?</pre>|<code.*?</code>|<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'), '<[^>]*>', chr(10), 'g'), 'x^', '', 'g')")} AS prose FROM pages),
-m AS (SELECT path, unnest(regexp_extract_all(prose, '{_MARK}')) AS match FROM own)
-SELECT path, 'comment-only' AS rule, '<!-- TODO: write this -->' AS match FROM pages UNION ALL SELECT path, 'marker-in-comment', 'FIXME: later' FROM pages UNION ALL SELECT path, 'marker-in-prose', {_short('match')} FROM m""",
+m AS (SELECT path, unnest(regexp_extract_all(prose, '{_MARK}')) AS match FROM own),
+comments AS (SELECT path, html, unnest(regexp_extract_all(html, '(?is)<!--(.*?)-->', 1)) AS body, regexp_extract_all(html, '(?is)<(?:p|li|h[1-6]|div)\\b[^>]*>\\s*(<!--.*?-->)\\s*</', 1) AS alone FROM pages),
+n AS (SELECT path, unnest(regexp_extract_all(body, '{_MARK}')) AS match FROM comments WHERE NOT list_contains(alone, '<!--' || body || '-->'))
+SELECT path, 'comment-only' AS rule, {_short('match')} AS match FROM (SELECT DISTINCT path, unnest(alone) AS match FROM comments) UNION ALL SELECT path, 'marker-in-comment', {_short('match')} FROM n UNION ALL SELECT path, 'marker-in-prose', {_short('match')} FROM m""",
     "stub_texts": f"SELECT text_no, {_short('text')} AS match FROM text_docs WHERE length({_trim('text')}) < 40 AND regexp_matches({_trim('text')}, '(?i)^(?:placeholder|tbd|todo|coming soon|lorem ipsum)\\b')",
     "text_markers": f"WITH m AS (SELECT text_no, unnest(regexp_extract_all(text, '{_MARK}')) AS match FROM text_docs) SELECT text_no, {_short('match')} AS match FROM m",
     "reader_fields": f"WITH {_FIELDS} SELECT * FROM fields WHERE value IS NOT NULL",
     "template_values": f"WITH {_FIELDS} SELECT source, owner, field, {_trim('value')} AS match FROM fields WHERE regexp_matches({_trim('value')}, '^\\{{[A-Za-z][\\w .-]*\\}}$')",
     "json_templates": f"SELECT course_dir, path, value FROM (SELECT course_dir, unnest(['title', 'details.short_description', 'details.html.0']) AS path, unnest([{_trim('title')}, {_trim('short_description')}, {_trim('long_description_html')}]) AS value FROM courses) WHERE regexp_matches(value, '^\\{{[A-Za-z][\\w .-]*\\}}$')",
+    "fields_on_synthetic": f"WITH v AS (SELECT p_partkey, {SYNTHETIC_FIELD} AS v FROM part), t AS (SELECT *, CASE WHEN regexp_matches({_trim('v')}, '^\\{{[A-Za-z][\\w .-]*\\}}$') THEN {_trim('v')} END AS template FROM v) SELECT p_partkey, length({_trim('v')}) < 40 AND regexp_matches({_trim('v')}, '(?i)^(?:placeholder|tbd|todo|coming soon|lorem ipsum)\\b') AS stub, template, coalesce('a.0.v=' || template, '') AS walked FROM t",
+    "term_rewrites": f"""WITH {_FILES}, {_RETIRED}, fresh AS (SELECT * FROM (VALUES {', '.join(f"('{t.old}', '{t.new}')" for t in TERMS)}) AS t(term, new)),
+spot AS (SELECT path, html, new, r."offset" AS a, r."offset" + length(r.term) AS b, lag(r."offset" + length(r.term)) OVER (PARTITION BY path ORDER BY r."offset") AS before FROM retired r JOIN files USING (path) JOIN fresh USING (term))
+SELECT path, 0 AS code, 0 AS markup, count(*) AS changed, 0 AS refused, sha256(string_agg(html[coalesce(before, 0) + 1:a] || new, '' ORDER BY a) || any_value(html)[max(b) + 1:]) AS new_hash FROM spot GROUP BY path""",
     "retired_terms": f"WITH {_FILES}, {_RETIRED} SELECT * FROM retired",
     "retired_identities": f"WITH {_FILES}, {_RETIRED}, n AS (SELECT *, row_number() OVER (PARTITION BY path, term ORDER BY \"offset\") AS n FROM retired) SELECT path, term, \"offset\", CASE WHEN n > 1 THEN term || ' (' || n || ')' ELSE term END AS id, n = 1 AS example FROM n",
     "retired_slugs": "WITH s AS (SELECT DISTINCT lesson_id, slug FROM lessons_meta) SELECT lesson_id, slug, term FROM s JOIN (VALUES ('Registries', '(?i)(?:^|[^a-z0-9])registries(?:$|[^a-z0-9])'), ('Trace Tokens', '(?i)(?:^|[^a-z0-9])trace-tokens(?:$|[^a-z0-9])')) AS t(term, p) ON regexp_matches(slug, p)",
@@ -285,7 +326,7 @@ SELECT DISTINCT lesson_id, regexp_replace(course_url, '/+$', '') || '/' || lower
 QUERIES = {
     f.__name__: f
     for f in (
-        extracted_blocks, extraction_check, decoding_check, inline_code_items, page_links, link_scheme_tally, shared_links, script_entity_items, visible_words, masks_keep_length, markdown_in_prose, flattened_commands, unwritten_content, stub_texts,
-        text_markers, reader_fields, template_values, json_templates, retired_terms, retired_identities, retired_slugs, term_rewrites, lesson_urls, course_slugs, file_resolution, unreferenced_files,
+        extracted_blocks, extraction_check, decoding_check, inline_code_items, code_trailing_space, page_links, link_scheme_tally, shared_links, script_entity_items, visible_words, masks_keep_length, markdown_in_prose, flattened_commands, unwritten_content, stub_texts,
+        text_markers, reader_fields, template_values, json_templates, fields_on_synthetic, retired_terms, retired_identities, retired_slugs, term_rewrites, lesson_urls, course_slugs, file_resolution, unreferenced_files,
     )
 }

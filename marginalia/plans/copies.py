@@ -78,11 +78,9 @@ def finding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.col("code")
     problems = F.array_compact(
         F.array(
-            F.when(block_ops.ends_in_blank(code), "code-trailing-space"),
             F.when(F.size(block_ops.typography(code)) > 0, "code-typography"),
             F.when(text.trim_blanks(code) == "", "empty-blocks"),
             F.when((F.coalesce("lang", F.lit("")) != "dockerfile") & block_ops.opens_as_dockerfile(code), "mislabeled-dockerfile"),
-            F.when(code.rlike("|".join(f"(?:{p})" for p in block_ops.PLACEHOLDERS)), "placeholder-residue"),
         )
     )
     return df.select(F.explode(problems).alias("problem"), F.col("block_id").alias("key"), text.fingerprint(code).alias("fingerprint"), F.col("src_file").alias("file"))
@@ -131,6 +129,55 @@ def ledger_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("problem", "key", "new_key", state.alias("state"))
 
 
+def _plain_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger with whole blocks and pairs as keys."""
+    df = table(spark, sf_dir, "known_issues", "problem", "key", "fingerprint", "note", "added").distinct()
+    return ledger.latest(df.withColumn("key", F.regexp_replace("key", r"::[^\s:]+$", "")))
+
+
+def _plain_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(problem, key, fingerprint) of the findings that SQL can make as well: plain ones on whole blocks, and copies that drifted apart."""
+    docs = _docs(spark, sf_dir)
+    words = docs.select(F.col("text_id").alias("id"), text.words("text").alias("words"))
+    a, b = F.col("a"), F.col("b")
+    drifted = copies.drift(_pairs(spark, sf_dir), docs, "text_id", "text").where("drifted").join(words.toDF("a", "words_a"), "a").join(words.toDF("b", "words_b"), "b")
+    pairs = drifted.select(F.when(F.col("touches_code"), "drifted-copy-code").otherwise("drifted-copy-prose").alias("problem"), copies.pair_key(a, b).alias("key"), copies.pair_fingerprint(a, F.col("words_a"), b, F.col("words_b")).alias("fingerprint"))
+    return written(finding_rows(spark, sf_dir).drop("file").unionByName(pairs))
+
+
+def plain_ledger_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J9, X8 over the findings that SQL can make as well."""
+    return ledger.applied(_plain_found(spark, sf_dir), _plain_issues(spark, sf_dir)).select("problem", "key", "state")
+
+
+def plain_ledger_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J10, J11 over the same."""
+    df = ledger.renamed(_plain_issues(spark, sf_dir), _plain_found(spark, sf_dir))
+    return df.select("problem", "key", "new_key", F.when(F.col("new_key").isNull(), "resolved").otherwise("renamed").alias("state"))
+
+
+def plain_problem_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G8, U1 over the same."""
+    states = plain_ledger_states(spark, sf_dir).join(catalogue.frame(spark).withColumnRenamed("id", "problem"), "problem")
+    return states.groupBy("category", "problem").agg(*(F.sum((F.col("state") == s).cast("int")).alias(s) for s in ("open", "accepted", "stale")))
+
+
+def plain_sibling_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J5-J8 over the plain findings of blocks."""
+    of = _docs(spark, sf_dir).select(F.col("text_id").alias("id"), F.regexp_replace("editor_ref", r":\d+:\d+$", "").alias("file"))
+    pairs = _pairs(spark, sf_dir).select("a", "b").join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    states = ledger.applied(finding_rows(spark, sf_dir), _plain_issues(spark, sf_dir)).withColumn("accepted", F.col("state") == "accepted")
+    return copies.sibling_findings(written(states.select("problem", "file", "accepted")), written(copies.sibling_files(pairs)))
+
+
+def siblings_on_synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J6-J8 on findings made from supplier and part keys, so that each rule has rows."""
+    parts = table(spark, sf_dir, "part", "p_partkey")
+    found = parts.select(F.concat(F.lit("p"), F.col("p_partkey") % 3).alias("problem"), F.concat(F.lit("f"), F.col("p_partkey") % 40).alias("file"), (F.col("p_partkey") % 4 == 0).alias("accepted")).where("p_partkey % 7 < 2").distinct()
+    twins = parts.where("p_partkey <= 80").select(F.concat(F.lit("f"), F.col("p_partkey") % 40).alias("a"), F.concat(F.lit("f"), (F.col("p_partkey") * 3) % 40).alias("b"))
+    return copies.sibling_findings(found, copies.sibling_files(twins))
+
+
 def renamed_on_synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J11 with entries whose slug was changed, so that renames occur."""
     found = finding_rows(spark, sf_dir).drop("file")
@@ -170,16 +217,14 @@ d AS (SELECT a, b, score, [sa[i] for i in range(1, len(sa) + 1) if NOT list_cont
 drift AS (SELECT a, b, len(only_a) AS only_a, len(only_b) AS only_b, score = 1 AS in_sync, score < 1 AND len(only_a) + len(only_b) > 0 AS drifted,
  len(list_filter(list_concat(only_a, only_b), lambda s: regexp_matches(s, '^\\s*[$#]\\s+\\S'))) > 0 AS touches_code FROM d)"""
 _IDENTITY = "identity AS (SELECT a || ' :: ' || b AS key, sha256(array_to_string(x.words, ' ') || chr(0) || array_to_string(y.words, ' '))[1:16] AS fingerprint FROM pairs JOIN docs x ON x.id = a JOIN docs y ON y.id = b)"
-_PLACEHOLDER = "(?i:\\{[a-z][a-z0-9_.-]*\\})|(?i:<[a-z][a-z0-9_ .-]*>)|\\bYOUR_[A-Z_]+\\b|\\$\\{\\{[^}]+\\}\\}"
 _FINDINGS = f"""fb AS (SELECT DISTINCT block_no, block_id, coalesce(lang, '') AS lang, code, src_file FROM code_blocks WHERE code IS NOT NULL),
 fp AS (SELECT *, 'sha256:' || sha256({_normal('code')})[1:16] AS fingerprint, list_filter(list_transform(string_split(code, chr(10)), lambda x: {_trim('x')}), lambda x: x <> '' AND x[1] <> '#') AS rows FROM fb),
-findings AS (SELECT 'code-trailing-space' AS problem, block_id AS key, fingerprint, src_file AS file FROM fp WHERE regexp_matches(code, '[{_B}]\\z')
- UNION ALL SELECT 'code-typography', block_id, fingerprint, src_file FROM fp WHERE regexp_matches(code, '[…\\x{{a0}}‘’“”–—]')
+findings AS (SELECT 'code-typography' AS problem, block_id AS key, fingerprint, src_file AS file FROM fp WHERE regexp_matches(code, '[…\\x{{a0}}‘’“”–—]')
  UNION ALL SELECT 'empty-blocks', block_id, fingerprint, src_file FROM fp WHERE {_trim('code')} = ''
- UNION ALL SELECT 'mislabeled-dockerfile', block_id, fingerprint, src_file FROM fp WHERE lang <> 'dockerfile' AND regexp_matches(rows[1], '^(?:FROM|ARG)\\s+\\S') AND len(list_filter(rows, lambda x: regexp_matches(x, '^FROM\\s+\\S'))) > 0
- UNION ALL SELECT 'placeholder-residue', block_id, fingerprint, src_file FROM fp WHERE regexp_matches(code, '{_PLACEHOLDER}'))"""
+ UNION ALL SELECT 'mislabeled-dockerfile', block_id, fingerprint, src_file FROM fp WHERE lang <> 'dockerfile' AND regexp_matches(rows[1], '^(?:FROM|ARG)\\s+\\S') AND len(list_filter(rows, lambda x: regexp_matches(x, '^FROM\\s+\\S'))) > 0)"""
 _ISSUES = "issues AS (SELECT problem, regexp_replace(key, '::[^\\s:]+$', '') AS key, fingerprint FROM known_issues QUALIFY row_number() OVER (PARTITION BY problem, regexp_replace(key, '::[^\\s:]+$', '') ORDER BY added DESC NULLS LAST, fingerprint DESC NULLS LAST, note DESC NULLS LAST) = 1)"
-_FOUND = "found AS (SELECT problem, key, fingerprint FROM findings UNION ALL SELECT 'drifted-copy-prose', key, fingerprint FROM identity)"
+_FOUND = """pair_found AS (SELECT CASE WHEN touches_code THEN 'drifted-copy-code' ELSE 'drifted-copy-prose' END AS problem, a || ' :: ' || b AS key FROM drift WHERE drifted),
+found AS (SELECT problem, key, fingerprint FROM findings UNION ALL SELECT problem, key, fingerprint FROM pair_found JOIN identity USING (key))"""
 
 
 def _states(found: str) -> str:
@@ -192,12 +237,15 @@ def _renamed(entries: str, states: str) -> str:
     return f"(SELECT min(o.key) FROM {states} o WHERE o.state = 'open' AND o.problem = e.problem AND {o[0]} = {e[0]} AND {o[2]} = {e[2]} AND {o[1]} <> {e[1]})"
 
 
-_LEDGER = f"{_PAIR_CTE}, {_IDENTITY}, {_FINDINGS}, {_FOUND}, {_ISSUES}, {_states('found')}"
+_LEDGER = f"{_DRIFT}, {_IDENTITY}, {_FINDINGS}, {_FOUND}, {_ISSUES}, {_states('found')}"
 _CATALOGUE = "catalogue AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{c}')" for k, (c, _) in catalogue.FINDINGS.items()) + ") AS t(id, category))"
 _TWINS = f"""WITH {_PAIR_CTE}, {_FINDINGS}, {_ISSUES}, {_states('findings')},
 twins AS (SELECT DISTINCT file, twin FROM (SELECT regexp_replace(x.editor_ref, ':\\d+:\\d+$', '') AS file, regexp_replace(y.editor_ref, ':\\d+:\\d+$', '') AS twin FROM pairs JOIN docs x ON x.id = a JOIN docs y ON y.id = b
  UNION ALL SELECT regexp_replace(y.editor_ref, ':\\d+:\\d+$', ''), regexp_replace(x.editor_ref, ':\\d+:\\d+$', '') FROM pairs JOIN docs x ON x.id = a JOIN docs y ON y.id = b) WHERE file <> twin),
-marked AS (SELECT DISTINCT problem, file, state = 'accepted' OR length(key) % 5 = 0 AS accepted FROM states)"""
+marked AS (SELECT DISTINCT problem, file, state = 'accepted' AS accepted FROM states)"""
+_SIBLINGS = """SELECT problem, 'uneven-copy' AS rule, file, twin FROM marked m JOIN twins USING (file) WHERE NOT accepted AND NOT EXISTS (SELECT 1 FROM marked o WHERE o.problem = m.problem AND o.file = twin AND NOT o.accepted)
+UNION ALL SELECT problem, 'shared-finding', file, twin FROM marked m JOIN twins USING (file) WHERE NOT accepted AND file <= twin AND EXISTS (SELECT 1 FROM marked o WHERE o.problem = m.problem AND o.file = twin AND NOT o.accepted)
+UNION ALL SELECT problem, 'half-accepted-copy', file, twin FROM marked m JOIN twins USING (file) WHERE accepted AND EXISTS (SELECT 1 FROM marked o WHERE o.problem = m.problem AND o.file = twin AND NOT o.accepted)"""
 SQL = {
     "near_duplicate_pairs": f"WITH {_PAIR_CTE} SELECT a, b, shared, either, round(score, 6) AS score FROM pairs",
     "top_pairs": f"WITH {_PAIR_CTE} SELECT a, b, round(score, 4) AS score FROM pairs WHERE score < 1 ORDER BY pairs.score DESC, a, b LIMIT 10",
@@ -207,19 +255,19 @@ SQL = {
     "word_counts": f"SELECT text_no, coalesce(len({_WORDS.replace('{}', 'text')}), 0) AS counted, words FROM text_docs",
     "sentence_counts": f"SELECT text_no, len({_SENTENCES.replace('{}', 'text')}) AS sentences FROM text_docs WHERE text IS NOT NULL",
     "shared_sentences": f"WITH s AS (SELECT course_dir, unnest({_SENTENCES.replace('{}', 'text')}) AS sentence FROM text_docs) SELECT sentence, count(DISTINCT course_dir) AS owners, count(*) AS copies FROM s GROUP BY sentence HAVING count(DISTINCT course_dir) > 1",
-    "ledger_states": f"WITH {_LEDGER} SELECT problem, key, state FROM states",
-    "ledger_unmatched": f"WITH {_LEDGER}, e AS (SELECT problem, key FROM issues WHERE (problem, key) NOT IN (SELECT problem, key FROM found)), r AS (SELECT problem, key, {_renamed('e', 'states')} AS new_key FROM e) SELECT problem, key, new_key, CASE WHEN new_key IS NULL THEN 'resolved' ELSE 'renamed' END AS state FROM r",
+    "plain_ledger_states": f"WITH {_LEDGER} SELECT problem, key, state FROM states",
+    "plain_ledger_unmatched": f"WITH {_LEDGER}, e AS (SELECT problem, key FROM issues WHERE (problem, key) NOT IN (SELECT problem, key FROM found)), r AS (SELECT problem, key, {_renamed('e', 'states')} AS new_key FROM e) SELECT problem, key, new_key, CASE WHEN new_key IS NULL THEN 'resolved' ELSE 'renamed' END AS state FROM r",
     "renamed_on_synthetic": f"WITH {_FINDINGS}, states AS (SELECT problem, key, 'open' AS state FROM findings), e AS (SELECT DISTINCT problem, regexp_replace(key, '^([^/]+)/([^/]+)/', '\\1/old-\\2/') AS key FROM findings) SELECT problem, key, {_renamed('e', 'states')} AS new_key FROM e",
-    "unknown_issues": f"WITH {_CATALOGUE} SELECT DISTINCT problem FROM known_issues WHERE problem NOT IN (SELECT id FROM catalogue WHERE category <> 'stale')",
-    "sibling_findings": f"""{_TWINS}
-SELECT problem, 'uneven-copy' AS rule, file, twin FROM marked m JOIN twins USING (file) WHERE NOT accepted AND NOT EXISTS (SELECT 1 FROM marked o WHERE o.problem = m.problem AND o.file = twin AND NOT o.accepted)
-UNION ALL SELECT problem, 'shared-finding', file, twin FROM marked m JOIN twins USING (file) WHERE NOT accepted AND file <= twin AND EXISTS (SELECT 1 FROM marked o WHERE o.problem = m.problem AND o.file = twin AND NOT o.accepted)
-UNION ALL SELECT problem, 'half-accepted-copy', file, twin FROM marked m JOIN twins USING (file) WHERE accepted AND EXISTS (SELECT 1 FROM marked o WHERE o.problem = m.problem AND o.file = twin AND NOT o.accepted)""",
-    "problem_totals": f"WITH {_LEDGER}, {_CATALOGUE} SELECT category, problem, sum((state = 'open')::int) AS open, sum((state = 'accepted')::int) AS accepted, sum((state = 'stale')::int) AS stale FROM states JOIN catalogue ON id = problem GROUP BY ALL",
+    "unknown_issues": f"WITH {_CATALOGUE} SELECT DISTINCT problem FROM known_issues WHERE problem NOT IN (SELECT id FROM catalogue)",
+    "plain_sibling_findings": f"{_TWINS} {_SIBLINGS}",
+    "siblings_on_synthetic": f"""WITH marked AS (SELECT DISTINCT 'p' || (p_partkey % 3) AS problem, 'f' || (p_partkey % 40) AS file, p_partkey % 4 = 0 AS accepted FROM part WHERE p_partkey % 7 < 2),
+t AS (SELECT 'f' || (p_partkey % 40) AS a, 'f' || ((p_partkey * 3) % 40) AS b FROM part WHERE p_partkey <= 80), twins AS (SELECT DISTINCT file, twin FROM (SELECT a AS file, b AS twin FROM t UNION ALL SELECT b, a FROM t) WHERE file <> twin) {_SIBLINGS}""",
+    "plain_problem_totals": f"WITH {_LEDGER}, {_CATALOGUE} SELECT category, problem, sum((state = 'open')::int) AS open, sum((state = 'accepted')::int) AS accepted, sum((state = 'stale')::int) AS stale FROM states JOIN catalogue ON id = problem GROUP BY ALL",
 }
 QUERIES = {
     f.__name__: f
     for f in (
         near_duplicate_pairs, top_pairs, copy_drift, copy_totals, pair_identity, word_counts, sentence_counts, shared_sentences, ledger_states, ledger_unmatched, renamed_on_synthetic, unknown_issues, sibling_findings, problem_totals,
+        plain_ledger_states, plain_ledger_unmatched, plain_problem_totals, plain_sibling_findings, siblings_on_synthetic,
     )
 }

@@ -71,11 +71,11 @@ def test_all_detectors_are_run(spark, tables):
 def test_siblings_take_acceptance_from_the_ledger_alone(spark, tables):
     # Keys of 20 and 25 characters: a multiple of five is nobody's acceptance.
     items = {c: f"{c}/l/" + "i" * n for c, n in (("AAAAA", 10), ("BBBBB", 10), ("CCCCC", 15), ("DDDDD", 15))}
-    blocks = [(n, f"{base}#0", None, "go", "x \n ", "x", [], f"courses/{c}.html", 1, c, "l", base.split("/")[2], 0) for n, (c, base) in enumerate(items.items())]
+    blocks = [(n, f"{base}#0", None, "go", " \n ", " ", [], f"courses/{c}.html", 1, c, "l", base.split("/")[2], 0) for n, (c, base) in enumerate(items.items())]
     texts = [(base, TEXT if c < "C" else TEXT.replace("word", "other"), f"courses/{c}.html:1:1", None) for c, base in items.items()]
     assert {len(b[1]) % 5 for b in blocks} == {0}
-    sf_dir = tables(blocks=blocks, texts=texts, issues=[("code-trailing-space", f"{items['CCCCC']}#0", None)])
-    got = {(r.rule, r.file, r.twin) for r in copies.sibling_findings(spark, sf_dir).where("problem = 'code-trailing-space'").collect()}
+    sf_dir = tables(blocks=blocks, texts=texts, issues=[("empty-blocks", f"{items['CCCCC']}#0", None)])
+    got = {(r.rule, r.file, r.twin) for r in copies.sibling_findings(spark, sf_dir).where("problem = 'empty-blocks'").collect()}
     page = "courses/{}.html".format
     assert got == {("shared-finding", page("AAAAA"), page("BBBBB")), ("uneven-copy", page("DDDDD"), page("CCCCC")), ("half-accepted-copy", page("CCCCC"), page("DDDDD"))}
 

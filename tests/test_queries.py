@@ -42,4 +42,4 @@ def test_equals_sql(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_runs_without_sql(spark, name):
     df = catalog.QUERIES[name](spark, DIR)
-    assert len(df.collect()) >= 0 and len(set(df.columns)) == len(df.columns)
+    assert len(df.take(1)) == 1 and len(set(df.columns)) == len(df.columns)
