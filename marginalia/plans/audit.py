@@ -120,9 +120,11 @@ class Audit:
         lessons = self.courses.select("course_dir", "url", F.explode("lessons").alias("l"))
         meta = lessons.select(F.concat_ws("/", "course_dir", "l.slug").alias("base"), F.lit("lessons-meta.json").alias("place"), F.explode(F.array("l.title", "l.description_html")).alias("html"), F.col("url").alias("lesson_url"), F.concat(F.lit("courses/"), "course_dir", F.lit("/lessons-meta.json")).alias("found"))
         pages = self.items.select("base", F.lit("page").alias("place"), "html", "lesson_url", "found")
-        rows = pages.unionByName(fields).unionByName(meta).where("html is not null").select("*", F.explode(prose.retired(F.col("html"), terms)).alias("r")).select("*", "r.*").drop("r")
+        rows = pages.unionByName(fields).unionByName(meta).where("html is not null").withColumn("hits", prose.retired(F.col("html"), terms)).where("size(hits) > 0")
+        # Masked once a source, not once a hit.
+        rows = rows.withColumn("prose", html.prose_mask(F.col("html"))).select("*", F.explode("hits").alias("r")).select("*", "r.*").drop("r", "hits")
         # The words around it, between the walls of its paragraph.
-        around = F.when(F.col("in_code"), F.regexp_replace("html", r"<[^>]*>", " ")).otherwise(html.prose_mask(F.col("html")))
+        around = F.when(F.col("in_code"), F.regexp_replace("html", r"<[^>]*>", " ")).otherwise(F.col("prose"))
         start = F.greatest(F.col("offset") - 39, F.lit(1))
         before = F.regexp_replace(F.substring(around, start, F.col("offset") - start + 1), r"(?s)^.*\x00", "")
         after = F.regexp_replace(F.substring(around, F.col("offset") + 1, F.length("match") + 40), r"(?s)\x00.*$", "")
