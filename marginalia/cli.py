@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import argparse
-import html
+import itertools
 import json
+from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia import catalogue, report, settings
@@ -38,6 +39,7 @@ def _arguments() -> argparse.ArgumentParser:
     links.add_argument("--limit", type=int, default=10)
     copies = commands.add_parser("copies", help="similar pages")
     copies.add_argument("--json", action="store_true")
+    copies.add_argument("--map", action="store_true", help="pairs and drifted pairs between courses")
     copies.add_argument("--limit", type=int, default=10)
     commands.add_parser("images", help="private images and pins behind their tag, over the network")
     terms = commands.add_parser("terms", help="replace retired names in pages")
@@ -77,47 +79,65 @@ def _inventory(audit: Audit, book: settings.Ledger, args: argparse.Namespace) ->
         return 0
     issues = book.frame(audit.spark)
     found = audit.judged(issues).persist()
-    rows = [r.asDict() for r in (found.where(F.col("category") == args.category) if args.category else found).collect()]
-    left = ledger.renamed(issues, found.select("problem", "key", "fingerprint")).collect()
-    unknown = ledger.unknown(issues, catalogue.frame(audit.spark)).count()
-    found.unpersist()
-    print(report.json_report(rows) if args.json else report.text_report(rows, args.limit))
-    if not args.json:
-        for r in left:
-            print(f"{r.problem} {r.key}: " + (f"now {r.new_key}" if r.new_key else "resolved"))
-        print(", ".join(f"{n} {name}" for name, n in report.totals(rows).items()))
-    return report.exit_code(rows, len(left), unknown)
+    try:
+        wanted = found.where(F.col("category") == args.category) if args.category else found
+        left = ledger.renamed(issues, found.select("problem", "key", "fingerprint"))
+        unknown = ledger.unknown(issues, catalogue.frame(audit.spark)).count()
+        numbers = {(r.problem, r.state): r["count"] for r in wanted.groupBy("problem", "state").count().collect()}
+        if args.json:
+            _print_json(wanted.orderBy("problem", F.coalesce("editor_ref", F.lit("")), "key"))
+        else:
+            print(report.text_report(_first(wanted.where("state <> 'accepted'"), "problem", (F.coalesce("editor_ref", F.lit("")), "key"), args.limit), numbers))
+            for r in left.orderBy("problem", "key").toLocalIterator():
+                print(f"{r.problem} {r.key}: " + (f"now {r.new_key}" if r.new_key else "resolved"))
+            print(", ".join(f"{n} {name}" for name, n in report.totals(numbers).items()))
+        return report.exit_code(numbers, left.count(), unknown)
+    finally:
+        found.unpersist()
+
+
+def _first(df: DataFrame, group: str, order: tuple, limit: int) -> Iterator[dict]:
+    """Rows in order, the first `limit` of each group (0: all), one partition at a time."""
+    if limit:
+        df = df.withColumn("n_", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("n_") <= limit).drop("n_")
+    return (r.asDict() for r in df.orderBy(group, *order).toLocalIterator())
+
+
+def _print_json(df: DataFrame) -> None:
+    """An array of objects, row by row."""
+    print("[", end="")
+    for n, r in enumerate(df.toLocalIterator()):
+        print(",\n" * bool(n) + json.dumps(r.asDict(True), ensure_ascii=False, default=str), end="")
+    print("]")
 
 
 def check_links(audit: Audit, results: DataFrame, args: argparse.Namespace) -> int:
     """Report verdicts over results of checks, rewrite if asked for; 1 if a link is dead or misses its fragment."""
     judged = audit.judged_links(results, tuple(args.owned)).persist()
-    rows = [r.asDict() for r in judged.orderBy("url").collect()]
     counts = {r.verdict: r.links for r in link_ops.verdict_counts(judged).collect()}
-    by = {v: [r for r in rows if r["verdict"] == v] for v in link_ops.VERDICTS if v != "ok"}
+    bad = judged.where("verdict <> 'ok'")
     if args.json:
-        print(json.dumps({"checked": len(rows), "counts": counts, "verdicts": rows}, indent=2, default=str))
+        print(f'{{"checked": {sum(counts.values())}, "counts": {json.dumps(counts)}, "verdicts": ', end="")
+        _print_json(judged.orderBy("url"))
+        print("}")
     elif args.markdown:
-        print(report.links_markdown(by))
+        for line in report.links_markdown(counts, (r.asDict() for r in bad.orderBy(F.array_position(F.array(*map(F.lit, report.LINK_TITLES)), F.col("verdict")), "url").toLocalIterator())):
+            print(line)
     else:
-        for verdict, some in by.items():
-            for r in some if args.limit == 0 else some[: args.limit]:
-                print(f"{verdict}  {r['url']}" + (f" -> {r['final_url']}" if r["final_url"] else ""))
+        for r in _first(bad, "verdict", ("url",), args.limit):
+            print(f"{r['verdict']}  {r['url']}" + (f" -> {r['final_url']}" if r["final_url"] else ""))
         print(", ".join(f"{n} {v}" for v, n in counts.items()))
     if args.fix:
-        edits = audit.link_sites().join(link_ops.rewrites(judged), "url").select("file", "raw", "target").distinct().collect()
-        for file in sorted({e.file for e in edits}):
+        edits = audit.link_sites().join(link_ops.rewrites(judged), "url").select("file", "raw", "target").distinct().orderBy("file", "raw")
+        for file, some in itertools.groupby(edits.toLocalIterator(), key=lambda e: e.file):
             path = audit.settings.root / file
             source = path.read_text(encoding="utf-8")
-            new = source
-            for e in (e for e in edits if e.file == file):
-                for quote in "\"'":
-                    new = new.replace(f"={quote}{e.raw}{quote}", f"={quote}{html.escape(e.target, quote=False)}{quote}")
+            new = link_ops.rewritten_text(source, [(e.raw, e.target) for e in some])
             if new != source and not args.dry_run:
                 path.write_text(new, encoding="utf-8")
             print(f"{'would rewrite' if args.dry_run else 'rewrote'} {file}" if new != source else f"unchanged {file}")
     judged.unpersist()
-    return int(bool(by["dead"] or by["fragment"]))
+    return int(counts.get("dead", 0) + counts.get("fragment", 0) > 0)
 
 
 def _links(audit: Audit, book: settings.Ledger, args: argparse.Namespace) -> int:
@@ -129,14 +149,24 @@ def _links(audit: Audit, book: settings.Ledger, args: argparse.Namespace) -> int
 
 
 def _copies(audit: Audit, book: settings.Ledger, args: argparse.Namespace) -> int:
-    pairs = [r.asDict() for r in audit.copies().orderBy(F.desc("score"), "a", "b").collect()]
+    pairs = audit.copies().persist()
+    totals = pairs.agg(F.count("*").alias("pairs"), F.count_if("in_sync").alias("in_sync"), F.count_if("drifted").alias("drifted")).first().asDict()
+    drifted = pairs.where("drifted")
     if args.json:
-        print(report.copies_json(pairs))
-        return 0
-    shown = [p for p in pairs if p["drifted"]]
-    for p in shown if args.limit == 0 else shown[: args.limit]:
-        print(f"{p['score']:.4f}  {p['a']} :: {p['b']}", *(f"  < {s}" for s in p["only_a"][:3]), *(f"  > {s}" for s in p["only_b"][:3]), sep="\n")
-    print(f"{len(pairs)} pairs, {sum(p['in_sync'] for p in pairs)} in sync, {len(shown)} drifted")
+        print(json.dumps(totals)[:-1] + ', "drift": ', end="")
+        _print_json(drifted.withColumn("score", F.round("score", 4)).orderBy(F.desc("score"), "a", "b"))
+        print("}")
+    else:
+        ordered = drifted.orderBy(F.desc("score"), "a", "b")
+        for p in (ordered.limit(args.limit) if args.limit else ordered).toLocalIterator():
+            print(f"{p.score:.4f}  {p.a} :: {p.b}", *(f"  < {s}" for s in p.only_a[:3]), *(f"  > {s}" for s in p.only_b[:3]), sep="\n")
+        print(f"{totals['pairs']} pairs, {totals['in_sync']} in sync, {totals['drifted']} drifted")
+        if args.map:
+            files = audit.items.select("base", "course_dir").distinct()
+            by = pairs.join(files.toDF("a", "course_a"), "a").join(files.toDF("b", "course_b"), "b").groupBy(F.least("course_a", "course_b").alias("x"), F.greatest("course_a", "course_b").alias("y")).agg(F.count("*").alias("pairs"), F.count_if("drifted").alias("drifted"))
+            for r in by.orderBy("x", "y").toLocalIterator():
+                print(f"{r.x} - {r.y}: {r.pairs} pairs, {r.drifted} drifted")
+    pairs.unpersist()
     return 0
 
 

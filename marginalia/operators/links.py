@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -78,6 +80,13 @@ def rewritten_source(source: Column, url: Column, target: Column) -> Column:
     return out
 
 
+def rewritten_text(source: str, edits: Sequence[tuple[str, str]]) -> str:
+    """A source in which href and src attributes that are exactly a raw value have its target, blanks around the sign kept."""
+    targets = dict(edits)
+    pattern = re.compile(r"""(\b(?:href|src)\s*=\s*)(["'])(.*?)\2""", re.I | re.S)
+    return pattern.sub(lambda m: m[1] + m[2] + html.escape(targets[m[3]], quote=False) + m[2] if m[3] in targets else m[0], source)
+
+
 def verdict_counts(judged_links: DataFrame) -> DataFrame:
     """(verdict, links) for each verdict, zeros included."""
     spark = judged_links.sparkSession

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.operators.references import apply_deltas, current_orphans, existence_deltas, orphan_references
+from marginalia.session import cut
 from marginalia.sources.tables import table
 
 
@@ -79,12 +80,12 @@ def p3_per_period(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys that are referenced and do not exist after all changes: the state after one batch of deltas on an empty one."""
+    """Keys that are referenced and do not exist after all changes: the state that two batches of deltas have made, first the references, then what exists."""
     refs = references(spark, sf_dir).where("key is not null").select("src_table", "row_key", "ref_value", "space", "key").distinct()
     refs = refs.select("space", "key", F.lit(1).alias("refs"), F.lit(0).alias("existence"))
     lives = targets(spark, sf_dir).select("space", "key", F.lit(0).alias("refs"), "existence")
-    deltas = refs.unionByName(lives)
-    return current_orphans(apply_deltas(deltas.limit(0), deltas))
+    state = cut(apply_deltas(refs.limit(0), refs))
+    return current_orphans(apply_deltas(state, lives))
 
 
 _LIVE = """

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,14 +14,10 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
 
 
-def _name(prefix: str) -> str:
-    return f"{prefix}_{uuid.uuid4().hex}"
-
-
 def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events per hour and kind."""
     events = _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = changes.drained(changes.event_counts(events, "ts", "event_type"), _name("events"))
+    out = changes.drained(changes.event_counts(events, "ts", "event_type"))
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("hour"), "kind", "n", F.round("total", 4).alias("total"))
 
 
@@ -32,7 +26,7 @@ def stream_course_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = _stream(spark, sf_dir, "course_urls").select(F.explode(F.map_keys("urls")).alias("key"), F.lit(1).alias("refs"), F.lit(0).alias("existence"))
     courses = _stream(spark, sf_dir, "courses").where("added_at is not null").select(F.col("course_dir").alias("key"), F.lit(0).alias("refs"), F.when(F.col("deleted_at").isNull(), 1).otherwise(0).alias("existence"))
     counts = lists.unionByName(courses).groupBy("key").agg(F.sum("refs").alias("refs"), F.sum("existence").alias("existence"))
-    return changes.drained(counts, _name("orphans")).where("refs > 0 and existence <= 0").select("key", "refs")
+    return changes.drained(counts).where("refs > 0 and existence <= 0").select("key", "refs")
 
 
 SQL = {

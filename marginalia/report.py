@@ -1,11 +1,12 @@
-"""Reports for people: text, Markdown and JSON of findings that were collected for them."""
+"""Reports for people: text and Markdown of findings, which come one by one."""
 
 from __future__ import annotations
 
-import json
+import itertools
 import textwrap
-from collections import defaultdict
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping
+
+from marginalia import catalogue
 
 WIDTH = 78
 
@@ -14,58 +15,45 @@ def wrapped(value: str, indent: str = "  ") -> str:
     return "\n".join(textwrap.wrap(value, WIDTH, initial_indent=indent, subsequent_indent=indent, break_long_words=False, break_on_hyphens=False))
 
 
-def grouped(findings: Iterable[Mapping]) -> dict[str, list[Mapping]]:
-    out: dict[str, list[Mapping]] = defaultdict(list)
-    for f in sorted(findings, key=lambda f: (f["problem"], f["editor_ref"] or "", f["key"])):
-        out[f["problem"]].append(f)
-    return out
-
-
-def text_report(findings: Iterable[Mapping], limit: int = 10) -> str:
-    """Open findings by problem, the first `limit` of each (0: all), with numbers of accepted ones."""
-    lines = []
-    for problem, rows in grouped(findings).items():
-        opened = [r for r in rows if r["state"] != "accepted"]
-        accepted = len(rows) - len(opened)
-        if not opened:
-            continue
-        lines.append(f"{problem} ({len(opened)}{f', {accepted} accepted' if accepted else ''})")
-        shown = opened if limit == 0 else opened[:limit]
-        for n, r in enumerate(shown, 1):
-            lines.append(f"  {n}. {r['match'] or r['key']}")
+def text_report(findings: Iterable[Mapping], numbers: Mapping[tuple[str, str], int]) -> str:
+    """Findings that aren't accepted, sorted by problem, under what the problem is; numbers: findings by (problem, state)."""
+    lines: list[str] = []
+    for problem, rows in itertools.groupby(findings, key=lambda f: f["problem"]):
+        accepted = numbers.get((problem, "accepted"), 0)
+        opened = sum(n for (p, state), n in numbers.items() if p == problem and state != "accepted")
+        title, why, fix = catalogue.TEXTS.get(problem, (problem, "", ""))
+        lines.append(f"{problem} ({opened}{f', {accepted} accepted' if accepted else ''})")
+        lines += [wrapped(t) for t in (title, why, fix) if t]
+        shown = 0
+        for shown, r in enumerate(rows, 1):
+            lines.append(f"  {shown}. {r['match'] or r['key']}" + (" (changed since it was accepted)" if r["state"] == "stale" else ""))
             lines += [f"     {x}" for x in (r["editor_ref"], r["url"]) if x]
-        if len(opened) > len(shown):
-            lines.append(f"  ... and {len(opened) - len(shown)} more")
+        if opened > shown:
+            lines.append(f"  ... and {opened - shown} more")
         lines.append("")
     return "\n".join(lines)
 
 
-def json_report(findings: Iterable[Mapping]) -> str:
-    return json.dumps([dict(f) for f in findings], indent=2, ensure_ascii=False, default=str)
-
-
-def totals(findings: Iterable[Mapping]) -> dict[str, int]:
+def totals(numbers: Mapping[tuple[str, str], int]) -> dict[str, int]:
     out = {"open": 0, "accepted": 0, "stale": 0}
-    for f in findings:
-        out[f["state"]] += 1
+    for (_, state), n in numbers.items():
+        out[state] += n
     return out
 
 
-def exit_code(findings: Sequence[Mapping], unmatched: int = 0, unknown: int = 0) -> int:
+def exit_code(numbers: Mapping[tuple[str, str], int], unmatched: int = 0, unknown: int = 0) -> int:
     """1 if a finding is open or stale, or the ledger has an entry that fits nothing."""
-    return int(any(f["state"] != "accepted" for f in findings) or unmatched > 0 or unknown > 0)
+    return int(any(n and state != "accepted" for (_, state), n in numbers.items()) or unmatched > 0 or unknown > 0)
 
 
-def links_markdown(verdicts: Mapping[str, Sequence[Mapping]]) -> str:
-    """Sections of moved, dead, reviewed and unreachable links, and a summary."""
-    titles = {"moved": "Rewritten", "dead": "Dead", "review": "For review", "unreachable": "Unreachable"}
-    out = ["# Links", "", ", ".join(f"{len(rows)} {name}" for name, rows in verdicts.items()) or "nothing to report", ""]
-    for name, title in titles.items():
-        if verdicts.get(name):
-            out += [f"## {title}", "", *(f"- {r['url']}" + (f" -> {r['final_url']}" if r.get("final_url") else "") for r in verdicts[name]), ""]
-    return "\n".join(out)
+LINK_TITLES = {"moved": "Rewritten", "dead": "Dead", "review": "For review", "unreachable": "Unreachable", "fragment": "Missing fragments", "temporary": "Temporary redirects"}
 
 
-def copies_json(pairs: Sequence[Mapping]) -> str:
-    rows = [dict(p) | {"score": round(p["score"], 4)} for p in pairs]
-    return json.dumps({"pairs": len(rows), "in_sync": sum(r["in_sync"] for r in rows), "drifted": sum(r["drifted"] for r in rows), "drift": [r for r in rows if r["drifted"]]}, indent=2, ensure_ascii=False)
+def links_markdown(counts: Mapping[str, int], rows: Iterable[Mapping]) -> Iterator[str]:
+    """Lines of a summary and a section for each verdict; rows come sorted by verdict in the order of LINK_TITLES."""
+    yield from ("# Links", "", ", ".join(f"{n} {name}" for name, n in counts.items() if name != "ok") or "nothing to report", "")
+    for verdict, some in itertools.groupby(rows, key=lambda r: r["verdict"]):
+        yield from (f"## {LINK_TITLES[verdict]}", "")
+        for r in some:
+            yield f"- {r['url']}" + (f" -> {r['final_url']}" if r.get("final_url") else "")
+        yield ""

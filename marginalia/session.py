@@ -71,13 +71,18 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, name: str) -> None:
+    """Remove a folder of the shared file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget_written(spark: SparkSession) -> None:
     """Remove the tables of `written`; no relation made from them may be used any more."""
     while _WRITTEN:
         name = _WRITTEN.pop()
         try:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            remove(spark, name)
         except Exception:  # the JVM may be gone at the end of the process
             return
 

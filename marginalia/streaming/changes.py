@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from marginalia.operators.references import apply_deltas, current_orphans
+from marginalia.session import ensure_checkpoint_dir, remove
 
 EMPTY = "space string, key string, refs bigint, existence bigint"
 
@@ -28,6 +31,9 @@ class OrphanLedger:
 
     def add(self, deltas: DataFrame, number: int) -> None:
         apply_deltas(self.version(number - 1), deltas).write.mode("overwrite").parquet(f"{self.folder}/version={number}")
+        # The version before stays, for a batch that is delivered again; those before it are never read any more.
+        if number >= 2:
+            remove(self.spark, f"{self.folder}/version={number - 2}")
 
     def orphans(self, number: int) -> DataFrame:
         return current_orphans(self.version(number))
@@ -49,12 +55,17 @@ def session_counts(events: DataFrame, time: str, user: str, gap: str = "30 minut
     return by.agg(F.count("*").alias("n")).select("user", F.col("s.start").alias("start"), "n")
 
 
-def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """All that a bounded stream has given once it is used up."""
+def drained(stream: DataFrame) -> DataFrame:
+    """The complete result of a bounded stream once it is used up: each batch is written to the shared folder by the executors, the last one counts."""
     spark = stream.sparkSession
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).start()
-    try:
-        query.processAllAvailable()
-    finally:
-        query.stop()
-    return spark.table(name)
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    last: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/result={number}")
+        last[:] = [number]
+
+    query = stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    read = spark.read.schema(stream.schema)
+    return read.parquet(f"{folder}/result={last[0]}") if last else spark.createDataFrame([], stream.schema)

@@ -47,7 +47,6 @@ def test_ledger(dirty, spark):
 def test_copies(dirty):
     rows = dirty.copies().collect()
     assert len(rows) == 1 and rows[0].drifted and not rows[0].touches_code
-    assert json.loads(report.copies_json([r.asDict() for r in rows]))["pairs"] == 1
 
 
 def test_siblings(dirty, spark):
@@ -76,12 +75,23 @@ def test_clean_tree_is_silent(spark, tmp_path):
     audit.close()
 
 
-def test_report(dirty, spark):
-    rows = [r.asDict() for r in dirty.judged(settings.Ledger().frame(spark)).collect()]
-    shown = report.text_report(rows, 1)
-    assert "unwritten-content (4)" in shown and "... and 3 more" in shown
-    assert report.exit_code(rows) == 1 and report.exit_code([]) == 0
-    assert len(json.loads(report.json_report(rows))) == len(rows)
+def test_report(dirty, spark, capsys):
+    args = cli._arguments().parse_args(["inventory", "--limit", "1"])
+    assert cli._inventory(dirty, settings.Ledger(), args) == 1
+    shown = capsys.readouterr().out
+    assert "unwritten-content (4)" in shown and "... and 3 more" in shown and "Readers see a note of the author." in shown
+    args = cli._arguments().parse_args(["inventory", "--json"])
+    assert cli._inventory(dirty, settings.Ledger(), args) == 1
+    rows = json.loads(capsys.readouterr().out)
+    assert len(rows) >= len(dirty.findings().collect()) and {"problem", "key", "state", "severity"} <= set(rows[0])
+    args = cli._arguments().parse_args(["inventory", "--blocks", "--lang", "bash"])
+    assert cli._inventory(dirty, settings.Ledger(), args) == 0
+    assert {r["lang"] for r in json.loads(capsys.readouterr().out)} == {"bash"}
+    assert report.exit_code({}) == 0 and report.exit_code({("p", "accepted"): 2}) == 0 and report.exit_code({}, 1) == 1
+    args = cli._arguments().parse_args(["copies", "--json"])
+    assert cli._copies(dirty, settings.Ledger(), args) == 0 and json.loads(capsys.readouterr().out)["pairs"] == 1
+    args = cli._arguments().parse_args(["copies", "--map"])
+    assert cli._copies(dirty, settings.Ledger(), args) == 0 and "Course - Course: 1 pairs, 1 drifted" in capsys.readouterr().out
 
 
 def test_rewrites():
