@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia import catalogue, report, settings
-from marginalia.operators import ledger, prose
+from marginalia.operators import ledger, pairing, prose
 from marginalia.operators import links as link_ops
 from marginalia.plans.audit import Audit
 from marginalia.session import local_session, ship
@@ -26,6 +26,9 @@ def _arguments() -> argparse.ArgumentParser:
     inventory = commands.add_parser("inventory", help="findings against the ledger")
     inventory.add_argument("--json", action="store_true")
     inventory.add_argument("--blocks", action="store_true", help="the code blocks as JSON")
+    inventory.add_argument("--pairs", action="store_true", help="what each output block answers, as JSON")
+    inventory.add_argument("--warnings", action="store_true", help="commands that contradict their output, as JSON")
+    inventory.add_argument("--anomalies", action="store_true", help="blocks by anomaly, as JSON")
     inventory.add_argument("--lang")
     inventory.add_argument("--flag")
     inventory.add_argument("--category")
@@ -77,6 +80,15 @@ def _inventory(audit: Audit, book: settings.Ledger, args: argparse.Namespace) ->
             print(",\n" * bool(n) + r.row, end="")
         print("]")
         return 0
+    if args.pairs or args.warnings or args.anomalies:
+        b = audit.blocks
+        if args.pairs:
+            _print_json(b.where("kind = 'output'").select("block_id", "responds_to", "output_hops", "editor_ref").orderBy("block_id"))
+        if args.warnings:
+            _print_json(pairing.warnings(b).orderBy("block_id", "rule"))
+        if args.anomalies:
+            _print_json(b.select(F.explode("anomalies").alias("anomaly")).groupBy("anomaly").agg(F.count("*").alias("blocks")).orderBy("anomaly"))
+        return 0
     issues = book.frame(audit.spark)
     found = audit.judged(issues).persist()
     try:

@@ -108,10 +108,13 @@ class Audit:
         return self.items.select("*", F.explode(html.inline_rows(F.col("html"))).alias("c")).withColumns({"seq": F.col("c.ordinal"), "offset": F.col("c.start"), "match": F.col("c.text")})
 
     def template_values(self) -> DataFrame:
-        df = self.courses.select("course_dir", "url", "details_doc", F.explode(prose.json_templates(F.col("details_doc"))).alias("t"))
-        at = text.line_and_column("details_doc", F.greatest(F.instr("details_doc", F.col("t.value")) - 1, F.lit(0)))
-        ref = F.concat(F.lit("courses/"), "course_dir", F.lit("/details.json:"), at["line"].cast("string"), F.lit(":"), at["column"].cast("string"))
-        return df.select(F.lit("unwritten-content").alias("problem"), F.concat_ws("#", "course_dir", "t.path").alias("key"), text.fingerprint("t.value").alias("fingerprint"), F.col("t.value").alias("match"), ref.alias("editor_ref"), "url")
+        """Placeholders in the metadata documents of courses, by file and path."""
+        docs = [self.courses.select("course_dir", "url", F.lit(name).alias("file"), F.col(f"{name}_doc").alias("doc")) for name in ("details", "published")]
+        df = docs[0].unionByName(docs[1]).select("*", F.explode(prose.json_templates(F.col("doc"))).alias("t"))
+        at = text.line_and_column("doc", F.greatest(F.instr("doc", F.col("t.value")) - 1, F.lit(0)))
+        ref = F.concat(F.lit("courses/"), "course_dir", F.lit("/"), "file", F.lit(".json:"), at["line"].cast("string"), F.lit(":"), at["column"].cast("string"))
+        key = F.concat_ws("#", "course_dir", F.when(F.col("file") == "details", F.col("t.path")).otherwise(F.concat_ws(".", "file", "t.path")))
+        return df.select(F.lit("unwritten-content").alias("problem"), key.alias("key"), text.fingerprint("t.value").alias("fingerprint"), F.col("t.value").alias("match"), ref.alias("editor_ref"), "url")
 
     def term_hits(self) -> DataFrame:
         """Retired names in pages and metadata: a finding each, with where it stands (place: page or a metadata file; found, html, offset, term, in_code)."""

@@ -103,6 +103,19 @@ def image_refs_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("ref", "blocks", images.repository("ref").alias("repo"), parts["registry"].alias("registry"), parts["reference"].alias("reference"), images.comparison_tag("ref").alias("comparison_tag"))
 
 
+def image_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks that name each image reference."""
+    df = one_row_a_block(spark, sf_dir, "block_id", "code").select("block_id", F.explode(images.image_refs(F.coalesce("code", F.lit("")), REGISTRY)).alias("ref"))
+    return df.select("ref", "block_id").distinct()
+
+
+def inventory_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runnable blocks, output blocks, those that answer a command, and those that do so over another output block."""
+    df = _paired(spark, sf_dir).join(one_row_a_block(spark, sf_dir, "code"), "block_no")
+    runnable = (F.col("kind") == "shell") & ~F.coalesce("code", F.lit("")).rlike("|".join(f"(?:{p})" for p in ops.PLACEHOLDERS)) & ~ops.has_elision(F.coalesce("code", F.lit("")))
+    return df.agg(F.count_if(runnable).alias("runnable"), F.count_if(F.col("kind") == "output").alias("outputs"), F.count_if(F.col("responds_to").isNotNull()).alias("paired"), F.count_if(F.col("output_hops") > 0).alias("over_a_run"))
+
+
 def pinned_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image references that are pinned to a digest, and the blocks that name them."""
     return _pinned(one_row_a_block(spark, sf_dir, "code"))
@@ -366,6 +379,8 @@ SQL = {
 SELECT ref, blocks, repo, CASE WHEN regexp_matches(repo, '^[^/]+/[^/]+/.') THEN split_part(repo, '/', 1) END AS registry,
  CASE WHEN regexp_matches(repo, '^[^/]+/[^/]+/.') THEN coalesce(nullif(regexp_extract(ref, '@(sha256:[0-9a-f]+)$', 1), ''), nullif(regexp_extract(split_part(ref, '@', 1), ':([^:/]+)$', 1), ''), 'latest') END AS reference,
  coalesce(nullif(regexp_extract(split_part(ref, '@', 1), ':([^:/]+)$', 1), ''), 'latest') AS comparison_tag FROM n""",
+    "image_mentions": f"WITH {_BLOCKS}, {_REF_ROWS} SELECT DISTINCT ref, block_id FROM refs JOIN blocks USING (block_no)",
+    "inventory_scalars": f"WITH {_PAIRED} SELECT count(*) FILTER (kind = 'shell' AND NOT regexp_matches(code, '{_PLACEHOLDER}') AND NOT regexp_matches(code, '{_ELISION}') AND NOT contains(code, '…')) AS runnable, count(*) FILTER (kind = 'output') AS outputs, count(responds_to) AS paired, count(*) FILTER (output_hops > 0) AS over_a_run FROM paired",
     "pinned_refs": f"WITH {_BLOCKS}, {_REF_ROWS} SELECT ref, split_part(ref, '@', 2) AS digest, count(*) AS blocks FROM refs WHERE contains(ref, '@') GROUP BY ref",
     "pinned_on_synthetic": "SELECT ref, '@' || ref AS digest, count(*) AS blocks FROM part GROUP BY ref".replace("FROM part", f"FROM (SELECT split_part({SYNTHETIC_PIN}, 'pull ', 2) AS ref FROM part WHERE p_partkey % 3 = 0)").replace("'@' || ref", "split_part(ref, '@', 2)"),
     "block_urls": f"WITH {_BLOCKS}, {_urls(_URL_CODE)} SELECT block_no, url FROM urls",
@@ -395,7 +410,7 @@ SELECT block_no, CASE WHEN json_valid(code) THEN 'valid' WHEN regexp_matches(cod
 QUERIES = {
     f.__name__: f
     for f in (
-        block_fingerprint, block_kind_tally, block_flags_tally, block_regex_flags, runnable_blocks, shell_commands, prompt_lines, image_refs_distinct, pinned_refs, pinned_on_synthetic, block_urls, config_parse_status, json_parse_status,
+        block_fingerprint, block_kind_tally, block_flags_tally, block_regex_flags, runnable_blocks, shell_commands, prompt_lines, image_refs_distinct, image_mentions, inventory_scalars, pinned_refs, pinned_on_synthetic, block_urls, config_parse_status, json_parse_status,
         comment_in_block, markup_on_synthetic, typography_by_char, mislabeled_dockerfile, residue_by_rule, residue_blocks, residue_on_synthetic, unknown_lang, unused_lang, anomaly_tally, unescaped_markup, output_pairing, expected_outputs,
         warnings_by_rule, warnings_on_synthetic, shared_code_groups, prompted_output, output_prefix_census, inventory_summary, block_ordinals,
     )

@@ -66,7 +66,7 @@ class TablesAudit(Audit):
         item = F.transform("content_items", lambda i: F.struct(i["id"].alias("id"), i["file"].alias("file"), i["sort_order"].alias("order")))
         lesson = F.struct(F.col("lesson_id").alias("id"), "slug", "title", F.col("sort_order").alias("order"), "description_html", F.filter(item, lambda i: i["file"].rlike(r"\S")).alias("content_items"))
         lessons = meta.groupBy("course_dir").agg(F.collect_list(lesson).alias("lessons"))
-        df = df.select("course_dir", F.coalesce("title", "course_dir").alias("title"), F.struct("title", "short_description", "long_description_html").alias("details"), doc.alias("details_doc"), slugs.alias("slugs"))
+        df = df.select("course_dir", F.coalesce("title", "course_dir").alias("title"), F.struct("title", "short_description", "long_description_html").alias("details"), doc.alias("details_doc"), F.to_json(F.struct("domains")).alias("published_doc"), slugs.alias("slugs"))
         return written(df.join(lessons, "course_dir", "full").join(last, "course_dir", "left"))
 
     def _blocks(self) -> DataFrame:

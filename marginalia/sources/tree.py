@@ -48,7 +48,7 @@ def courses(spark: SparkSession, root: str) -> DataFrame:
     details, published, lessons = _json(spark, root, "details.json", DETAILS, "details"), _json(spark, root, "published.json", PUBLISHED, "published"), _json(spark, root, "lessons-meta.json", LESSONS, "lessons")
     df = details.join(published, "course_dir", "full").join(lessons, "course_dir", "full").join(course_index(spark, root), "course_dir", "left")
     slugs = F.map_filter(F.transform_values("published.domains", lambda _, d: d["slug"]), lambda _, s: s.isNotNull())
-    return df.select("course_dir", F.coalesce("details.title", "course_dir").alias("title"), "url", "details", "details_doc", slugs.alias("slugs"), "lessons")
+    return df.select("course_dir", F.coalesce("details.title", "course_dir").alias("title"), "url", "details", "details_doc", "published_doc", slugs.alias("slugs"), "lessons")
 
 
 def items(courses_df: DataFrame) -> DataFrame:

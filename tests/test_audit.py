@@ -87,6 +87,9 @@ def test_report(dirty, spark, capsys):
     args = cli._arguments().parse_args(["inventory", "--blocks", "--lang", "bash"])
     assert cli._inventory(dirty, settings.Ledger(), args) == 0
     assert {r["lang"] for r in json.loads(capsys.readouterr().out)} == {"bash"}
+    for option, key in (("--pairs", "responds_to"), ("--warnings", "rule"), ("--anomalies", "anomaly")):
+        args = cli._arguments().parse_args(["inventory", option])
+        assert cli._inventory(dirty, settings.Ledger(), args) == 0 and key in json.loads(capsys.readouterr().out)[0]
     assert report.exit_code({}) == 0 and report.exit_code({("p", "accepted"): 2}) == 0 and report.exit_code({}, 1) == 1
     args = cli._arguments().parse_args(["copies", "--json"])
     assert cli._copies(dirty, settings.Ledger(), args) == 0 and json.loads(capsys.readouterr().out)["pairs"] == 1
@@ -180,3 +183,12 @@ def test_images(spark, tmp_path, capsys):
     assert cli.check_images(audit, results, drift, F.lit("2025-06-01").cast("timestamp")) == 1
     assert capsys.readouterr().out.splitlines() == ["private  Course  hub.test/o/c:2", "stale  a  517 days", "1 current, 1 behind, 1 stale, 1 unknown"]
     audit.close()
+
+
+def test_placeholders_in_both_metadata_files(spark, tmp_path):
+    loaded = settings.load(write(tmp_path, CLEAN, clean=True))
+    file = tmp_path / "courses/Course/published.json"
+    file.write_text(file.read_text().replace('"slug": "course"', '"slug": "{Slug here}"'))
+    audit = Audit(spark, loaded)
+    assert [(r.key, r.match, r.editor_ref.split(":")[0]) for r in audit.template_values().collect()] == [("Course#published.domains.learn.test.slug", "{Slug here}", "courses/Course/published.json")]
+    audit.close()
