@@ -14,7 +14,8 @@ itself, and even g - r groups must have equal cells. A group has SEGMENTS segmen
 Cells are ordered by how many records have them; of each record the r + 1 rarest take part, as two records with g - r cells in common
 share one of those. Cells that occur once drop out. Of g = SPARE (r + 1) groups all but r + 1 may be left out, so that
 frequent cells (of empty groups, or of a passage that stands in a third of all records and makes up to about 0.6 of
-them) are not among the rarest. Records that share more than that are compared pair by pair.
+them) are not among the rarest. Records that share more than that are compared pair by pair; a cell of very many records and a class of
+very many copies are dealt into parts where they are joined (`operators.skew`).
 
 Pairs that share a cell must then pass the lower bound over all runs in BOUND segments, and
 the rest is verified on the sets of hashes. Records with equal sets are one class of copies before all that; their pairs
@@ -38,6 +39,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from marginalia.functions import hashing
+from marginalia.operators.skew import hot_keys, split_join
 from marginalia.session import cut
 
 RUN = 5
@@ -148,7 +150,9 @@ def similar(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     radii = class_radius(np.arange(-1, 120), threshold)
     spare = F.create_map(*[F.lit(int(x)) for k, r, g in zip(range(-1, 120), radii, group_count(radii), strict=True) for x in (k, g - r - 1)])
     rare = ranked.where(F.col("rank") <= F.col("shared") - spare[F.col("cls").cast("int")]).select("cell", "no")
-    met = rare.toDF("cell", "no_a").join(rare.toDF("cell", "no_b"), "cell").where("no_a < no_b").select("no_a", "no_b").distinct()
+    rare = cut(rare)
+    hot = hot_keys(rare.groupBy("cell").agg(F.count("*").alias("often")), ["cell"], "often")
+    met = split_join(rare.toDF("cell", "no_a"), rare.toDF("cell", "no_b"), ["cell"], "no_a", hot).where("no_a < no_b").select("no_a", "no_b").distinct()
     for side in "ab":
         met = met.join(records.select(*(F.col(c).alias(f"{c}_{side}") for c in ("no", "n", "bound"))), f"no_{side}")
     met = met.where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)
@@ -212,7 +216,7 @@ def groups(docs: DataFrame, key: str, text: str) -> DataFrame:
     others = sides.join(copies.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("others"))
     table = copies.join(others, "rep", "left").join(roots.withColumnRenamed("no", "rep"), "rep", "left")
     table = table.select("rep", F.coalesce("root", "rep").alias("group_no"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
-    return members.join(table, "rep").select("no", "group_no", "links")
+    return split_join(members, table, ["rep"], "no", hot_keys(copies, ["rep"], "copies")).select("no", "group_no", "links")
 
 
 def found(docs: DataFrame, key: str, text: str) -> DataFrame:

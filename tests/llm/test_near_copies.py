@@ -55,6 +55,17 @@ def test_groups(spark):
     assert got == {x: (find(x), sum(x in p for p in pairs)) for x in got}
 
 
+def test_hot_cells_and_copies_are_split(spark, monkeypatch):
+    from marginalia.operators import skew
+
+    rows = corpus() + [(2000 + i, "the very same words " * 20 + "tail " * 3) for i in range(12)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    want = {tuple(r) for r in n.groups(docs, "id", "text").collect()}
+    monkeypatch.setattr(skew.hot_keys, "__defaults__", (3,))
+    assert {tuple(r) for r in n.found(docs, "id", "text").collect()} == brute(rows)
+    assert {tuple(r) for r in n.groups(docs, "id", "text").collect()} == want
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "id long, text string")
     assert n.found(docs, "id", "text").count() == 0
