@@ -239,7 +239,7 @@ def ends_in_blank(value: Column) -> Column:
 
 
 def residue(df: DataFrame) -> DataFrame:
-    """Rows of classified blocks with (rule, match), one a rule that fits; the first place of a block counts."""
+    """Rows of classified blocks with (rule, match, residue_line), one a rule that fits; the first place of a block counts, and the line it is in."""
     output = F.when(F.col("kind") == "output", F.col("code")).otherwise(F.array_join(F.coalesce("shell.output", F.array().cast("array<string>")), "\n"))
     found = []
     for rule, (scope, pattern) in RESIDUE_RULES.items():
@@ -247,7 +247,11 @@ def residue(df: DataFrame) -> DataFrame:
         if rule == "dangling-flag":
             # The pattern takes one character of what follows.
             match = F.regexp_replace(match, rf"[{BLANKS}]+[^{BLANKS}]\z", "")
-        has = (output if scope == "output" else F.col("code")).rlike(pattern)
-        found.append(F.when(has, F.struct(F.lit(rule).alias("rule"), match.alias("match"))))
+        source = output if scope == "output" else F.col("code")
+        start = F.regexp_instr(source, F.lit(pattern))
+        # The pattern may begin with the blank before the match.
+        start = start + F.length(F.regexp_extract(F.substring(source, start, F.length(source)), r"^\s*", 0))
+        line = text.trim_blanks(F.element_at(text.lines(source), F.size(text.lines(F.substring(source, F.lit(1), start - 1)))))
+        found.append(F.when(source.rlike(pattern), F.struct(F.lit(rule).alias("rule"), match.alias("match"), line.alias("line"))))
     rows = df.where(F.col("kind").isin(*RESIDUE_KINDS)).withColumn("found_", F.explode(F.array_compact(F.array(*found))))
-    return rows.select("*", "found_.rule", "found_.match").drop("found_")
+    return rows.select("*", "found_.rule", "found_.match", F.col("found_.line").alias("residue_line")).drop("found_")

@@ -146,6 +146,14 @@ def retired(source: Column, terms: Sequence[Term]) -> Column:
     return html.column_of(hits, schema, pa.list_(pa.struct([("term", pa.string()), ("offset", pa.int32()), ("match", pa.string()), ("in_code", pa.bool_())])))(source)
 
 
+def context(mask: Column, offset: Column, length: Column, reach: int = 40) -> Column:
+    """The text around a place of a prose mask, up to `reach` characters to each side and not beyond a wall, flattened."""
+    start = F.greatest(offset - (reach - 1), F.lit(1))
+    before = F.regexp_replace(F.substring(mask, start, offset - start + 1), r"(?s)^.*\x00", "")
+    after = F.regexp_replace(F.substring(mask, offset + 1, length + reach), r"(?s)\x00.*$", "")
+    return text.flatten_blanks(F.concat(before, after))
+
+
 def retired_in_slug(slug: Column, terms: Sequence[Term]) -> Column:
     """The names that a slug has."""
     return F.array_compact(F.array(*[F.when(slug.rlike(slug_pattern(t)), F.lit(t.old)) for t in terms]))

@@ -127,12 +127,9 @@ class Audit:
         # Masked once a source, not once a hit.
         rows = rows.withColumn("prose", html.prose_mask(F.col("html"))).select("*", F.explode("hits").alias("r")).select("*", "r.*").drop("r", "hits")
         # The words around it, between the walls of its paragraph.
-        around = F.when(F.col("in_code"), F.regexp_replace("html", r"<[^>]*>", " ")).otherwise(F.col("prose"))
         start = F.greatest(F.col("offset") - 39, F.lit(1))
-        before = F.regexp_replace(F.substring(around, start, F.col("offset") - start + 1), r"(?s)^.*\x00", "")
-        after = F.regexp_replace(F.substring(around, F.col("offset") + 1, F.length("match") + 40), r"(?s)\x00.*$", "")
-        in_code = F.regexp_replace(F.substring("html", start, F.length("match") + 80), r"<[^>]*>|<[^>]*$|^[^<]*>", " ")
-        rows = rows.withColumn("context", text.flatten_blanks(F.when(F.col("in_code"), in_code).otherwise(F.concat(before, after))))
+        in_code = text.flatten_blanks(F.regexp_replace(F.substring("html", start, F.length("match") + 80), r"<[^>]*>|<[^>]*$|^[^<]*>", " "))
+        rows = rows.withColumn("context", F.when(F.col("in_code"), in_code).otherwise(prose.context(F.col("prose"), F.col("offset"), F.length("match"))))
         n = F.row_number().over(Window.partitionBy("base", "term", "context").orderBy("place", "offset"))
         name = F.concat("base", F.lit("#term "), "term", F.lit(": "), "context")
         at = text.line_and_column("html", F.col("offset"))

@@ -162,11 +162,18 @@ def fields_on_synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retired_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Retired names in the prose of stored files, by place."""
+    """Retired names in the prose of stored files, by place."""
     df = files(spark, sf_dir).select("path", F.explode(prose.retired(F.col("html"), TERMS)).alias("r")).select("path", "r.*")
     return df.select("path", "term", "offset", F.lower("match").alias("match"))
 
 
+def retired_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words around each retired name, between the walls of its paragraph."""
+    df = files(spark, sf_dir).withColumn("hits", prose.retired(F.col("html"), TERMS)).where("size(hits) > 0").withColumn("prose", html.prose_mask(F.col("html")))
+    df = df.select("path", "prose", F.explode("hits").alias("r")).select("path", "prose", "r.*")
+    return df.select("path", "term", "offset", prose.context(F.col("prose"), F.col("offset"), F.length("match")).alias("context"))
+
+
 def retired_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The n-th time a name stands in a file has the number in its id; the first is the file's example."""
     df = retired_terms(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("path", "term").orderBy("offset")))
@@ -315,6 +322,8 @@ SELECT path, 'comment-only' AS rule, {_short('match')} AS match FROM (SELECT DIS
 spot AS (SELECT path, html, new, r."offset" AS a, r."offset" + length(r.term) AS b, lag(r."offset" + length(r.term)) OVER (PARTITION BY path ORDER BY r."offset") AS before FROM retired r JOIN files USING (path) JOIN fresh USING (term))
 SELECT path, 0 AS code, 0 AS markup, count(*) AS changed, 0 AS refused, sha256(string_agg(html[coalesce(before, 0) + 1:a] || new, '' ORDER BY a) || any_value(html)[max(b) + 1:]) AS new_hash FROM spot GROUP BY path""",
     "retired_terms": f"WITH {_FILES}, {_RETIRED} SELECT * FROM retired",
+    "retired_contexts": f"""WITH {_FILES}, {_RETIRED}, a AS (SELECT r.path, r.term, r."offset", regexp_replace(prose[greatest("offset" - 39, 1):"offset"], '(?s)^.*' || chr(1), '') || regexp_replace(prose["offset" + 1:"offset" + length(r.match) + 40], '(?s)' || chr(1) || '.*$', '') AS around FROM retired r JOIN masked USING (path))
+SELECT path, term, "offset", {_trim(f"regexp_replace(around, '[{_B}]+', ' ', 'g')")} AS context FROM a""",
     "retired_identities": f"WITH {_FILES}, {_RETIRED}, n AS (SELECT *, row_number() OVER (PARTITION BY path, term ORDER BY \"offset\") AS n FROM retired) SELECT path, term, \"offset\", CASE WHEN n > 1 THEN term || ' (' || n || ')' ELSE term END AS id, n = 1 AS example FROM n",
     "retired_slugs": "WITH s AS (SELECT DISTINCT lesson_id, slug FROM lessons_meta) SELECT lesson_id, slug, term FROM s JOIN (VALUES ('Registries', '(?i)(?:^|[^a-z0-9])registries(?:$|[^a-z0-9])'), ('Trace Tokens', '(?i)(?:^|[^a-z0-9])trace-tokens(?:$|[^a-z0-9])')) AS t(term, p) ON regexp_matches(slug, p)",
     "lesson_urls": r"""WITH l AS (SELECT course_dir, max_by(url, (taken_at, index_id)) AS course_url FROM (SELECT index_id, taken_at, unnest(map_keys(urls)) AS course_dir, unnest(map_values(urls)) AS url FROM course_urls) GROUP BY course_dir)
@@ -327,6 +336,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         extracted_blocks, extraction_check, decoding_check, inline_code_items, code_trailing_space, page_links, link_scheme_tally, shared_links, script_entity_items, visible_words, masks_keep_length, markdown_in_prose, flattened_commands, unwritten_content, stub_texts,
-        text_markers, reader_fields, template_values, json_templates, fields_on_synthetic, retired_terms, retired_identities, retired_slugs, term_rewrites, lesson_urls, course_slugs, file_resolution, unreferenced_files,
+        text_markers, reader_fields, template_values, json_templates, fields_on_synthetic, retired_terms, retired_contexts, retired_identities, retired_slugs, term_rewrites, lesson_urls, course_slugs, file_resolution, unreferenced_files,
     )
 }

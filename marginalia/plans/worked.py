@@ -64,7 +64,7 @@ def worked_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("bash", "$ kiln bake --base  --heat 5m"), ("bash", '$ kiln sign --key ""'), ("out", 'issuer ""'), ("yaml", "name: a\nowner: "), ("bash", "$ kiln sync --path='/x'"), ("out", "packed into ."), ("bash", "$ kiln ls\npacked into ."),
         ("go", 'x ""'), ("bash", "$ kiln bake --base --heat 5m"), ("bash", "$ kiln pack ."), ("json", '{"a": "x"}'),
     ]
-    return ops.residue(_blocks(spark, rows)).select("no", "rule", "match")
+    return ops.residue(_blocks(spark, rows)).select("no", "rule", "match", F.col("residue_line").alias("line"))
 
 
 def worked_prompted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,9 +151,9 @@ SQL = {
         "11, 'hcl', 'valid'", "12, 'hcl', 'excerpt'", "13, 'hcl', 'invalid'", "14, 'hcl', 'invalid'", "15, 'hcl', 'valid'", "16, 'hcl', 'valid'",
     ),
     "worked_residue": _values(
-        "no, rule, match",
-        "1, 'dangling-flag', '--base'", "2, 'empty-flag-value', '--key \"\"'", "2, 'empty-quoted-value', 'key \"\"'", "3, 'empty-quoted-value', 'issuer \"\"'", "4, 'empty-key-value', 'owner:'", "5, 'eaten-before-slash', '--path=''/'",
-        "6, 'dangling-period', 'o .'", "7, 'dangling-period', 'o .'",
+        "no, rule, match, line",
+        "1, 'dangling-flag', '--base', '$ kiln bake --base  --heat 5m'", "2, 'empty-flag-value', '--key \"\"', '$ kiln sign --key \"\"'", "2, 'empty-quoted-value', 'key \"\"', '$ kiln sign --key \"\"'", "3, 'empty-quoted-value', 'issuer \"\"', 'issuer \"\"'",
+        "4, 'empty-key-value', 'owner:', 'owner:'", "5, 'eaten-before-slash', '--path=''/', '$ kiln sync --path=''/x' || chr(39)", "6, 'dangling-period', 'o .', 'packed into .'", "7, 'dangling-period', 'o .', 'packed into .'",
     ),
     "worked_prompted": _values("no, token, as_command, as_output", "1, 'Pulling', 1, 2", "6, 'Done', 1, 2"),
     "worked_decoding": _values("no, code", "1, '<a> &amp; ''''\"'", "2, 'x' || chr(160) || 'y … …'", "3, '&unknown; & &'", "4, 'a < b'"),
