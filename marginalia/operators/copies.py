@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text
-from marginalia.operators.skew import hot_keys, split_join
+from marginalia.operators.skew import hot_keys, large, split_join
 from marginalia.session import cut
 
 RUN = 5
@@ -28,20 +28,22 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, shared, either, score) with a < b of the rows of `documents`; score is shared / either.
 
     Runs of one text alone are the rarest and meet nothing: they drop out before the ranks are made, and only their number counts.
+    Texts go by number until their pairs are known: a run is then moved with 8 bytes of its text, not with the whole id.
     """
-    sets = cut(docs.select("id", "runs").where(F.size("runs") > 0))
-    rows = sets.select("id", F.size("runs").alias("n"), F.explode("runs").alias("run"))
+    sets = cut(docs.select("id", "runs").where(F.col("id").isNotNull() & (F.size("runs") > 0)).withColumn("no", F.monotonically_increasing_id()))
+    rows = sets.select("no", F.size("runs").alias("n"), F.explode("runs").alias("run"))
     often = rows.groupBy("run").agg(F.count("*").alias("often")).where("often > 1")
-    by = Window.partitionBy("id")
-    ranked = rows.join(often, "run").withColumn("rank", F.row_number().over(by.orderBy("often", "run")) + F.col("n") - F.count("*").over(by))
-    rare = cut(ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("id", "n", "run"))
+    by = Window.partitionBy("no")
+    ranked = large(rows).join(often, "run").withColumn("rank", F.row_number().over(by.orderBy("often", "run")) + F.col("n") - F.count("*").over(by))
+    rare = cut(ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("no", "n", "run"))
     hot = hot_keys(rare.groupBy("run").agg(F.count("*").alias("often")), ["run"], "often")
-    met = split_join(rare.toDF("a", "n_a", "run"), rare.toDF("b", "n_b", "run"), ["run"], "a", hot).where("a < b")
-    met = met.where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9).select("a", "b").distinct()
-    both = met.join(sets.toDF("a", "runs_a"), "a").join(sets.toDF("b", "runs_b"), "b")
-    both = both.withColumn("shared", F.size(F.array_intersect("runs_a", "runs_b")))
+    met = split_join(large(rare.toDF("no_a", "n_a", "run")), rare.toDF("no_b", "n_b", "run"), ["run"], "no_a", hot).where("no_a < no_b")
+    both = met.where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9).select("no_a", "no_b").distinct()
+    for side in "ab":
+        both = both.join(large(sets.select(*(F.col(c).alias(f"{c}_{side}") for c in ("no", "id", "runs")))), f"no_{side}")
+    both = both.where("id_a <> id_b").withColumn("shared", F.size(F.array_intersect("runs_a", "runs_b")))
     both = both.withColumn("either", F.size("runs_a") + F.size("runs_b") - F.col("shared")).withColumn("score", F.col("shared") / F.col("either"))
-    return both.where(F.col("score") >= threshold - 1e-12).select("a", "b", "shared", "either", "score")
+    return both.where(F.col("score") >= threshold - 1e-12).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "shared", "either", "score")
 
 
 def sentence_key(sentence: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Joins on keys of which a few may hold a large part of all rows."""
+"""Joins of more rows than the planner takes them for, and on keys of which a few may hold a large part of all rows."""
 
 from __future__ import annotations
 
@@ -13,6 +13,12 @@ MOST = 10_000
 PARTS = 64
 
 
+def large(df: DataFrame) -> DataFrame:
+    """The rows, to be joined by sorting only. The planner guesses sizes from those of compressed files and takes a row for one row
+    however many it is exploded into; by such a guess it would build any number of rows in the driver to send them to all executors."""
+    return df.hint("merge")
+
+
 def hot_keys(sizes: DataFrame, keys: Sequence[str], size: str, hot: int = HOT) -> DataFrame | None:
     """The hot keys of (keys, size), a list of fewer than MOST rows; None if there is none. `sizes` is read once, and again if there are."""
     total, most = sizes.agg(F.sum(size), F.max(size)).first()

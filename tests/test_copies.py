@@ -49,3 +49,17 @@ def test_siblings(spark):
     findings = spark.createDataFrame([("p", "f", False), ("p", "g", False), ("q", "g", False), ("q", "h", True)], "problem string, file string, accepted boolean")
     got = sorted(tuple(r) for r in copies.sibling_findings(findings, copies.sibling_files(pairs)).collect())
     assert got == [("p", "shared-finding", "f", "g"), ("p", "uneven-copy", "g", "h"), ("q", "half-accepted-copy", "h", "g"), ("q", "uneven-copy", "g", "f"), ("q", "uneven-copy", "g", "h")]
+
+
+def test_runs_are_not_sent_through_the_driver(spark, tmp_path):
+    # A small file of many runs: by its size the planner would send all of them to all executors.
+    rows = [(f"{i:03}", " ".join(f"w{i % 40} x{i % 40 * j}" for j in range(60))) for i in range(80)]
+    spark.createDataFrame(rows, "id string, body string").write.parquet(str(tmp_path / "texts"))
+    docs = copies.documents(spark.read.parquet(str(tmp_path / "texts")), "id", "body")
+    most = spark.conf.get("spark.sql.maxBroadcastTableSize")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1")
+    try:
+        got = {(r.a, r.b, r.score) for r in copies.similar_pairs(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.maxBroadcastTableSize", most)
+    assert got == {(f"{i:03}", f"{i + 40:03}", 1.0) for i in range(40)}
