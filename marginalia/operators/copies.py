@@ -58,7 +58,7 @@ def only_in(mine: Column, other: Column) -> Column:
 
 def drift(pairs: DataFrame, docs: DataFrame, key: str, body: str) -> DataFrame:
     """Pairs with only_a and only_b, in_sync (equal sets), drifted (unequal and a sentence differs) and touches_code."""
-    parts = docs.select(F.col(key).alias("id"), text.sentences(F.col(body)).alias("sentences"))
+    parts = large(docs.select(F.col(key).alias("id"), text.sentences(F.col(body)).alias("sentences")))
     df = pairs.join(parts.toDF("a", "sentences_a"), "a").join(parts.toDF("b", "sentences_b"), "b")
     df = df.withColumn("only_a", only_in(F.col("sentences_a"), F.col("sentences_b"))).withColumn("only_b", only_in(F.col("sentences_b"), F.col("sentences_a")))
     differing = F.concat("only_a", "only_b")

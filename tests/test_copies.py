@@ -63,3 +63,21 @@ def test_runs_are_not_sent_through_the_driver(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.maxBroadcastTableSize", most)
     assert got == {(f"{i:03}", f"{i + 40:03}", 1.0) for i in range(40)}
+
+
+def test_sentences_and_words_are_not_sent_through_the_driver(spark, tmp_path):
+    from marginalia.plans import copies as plans
+
+    text = " ".join(f"One sentence of some words stands here in row w{i}." for i in range(12)) + " "
+    rows = [("a", text, "f:1:1"), ("b", text + "Another sentence is added.", "g:1:1"), ("c", "too short", "h:1:1")]
+    spark.createDataFrame(rows, "text_id string, text string, editor_ref string").write.parquet(str(tmp_path / "text_docs.parquet"))
+    pairs = spark.createDataFrame([("a", "b", 0.9)], "a string, b string, score double")
+    docs = plans._docs(spark, str(tmp_path))
+    most = spark.conf.get("spark.sql.maxBroadcastTableSize")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1")
+    try:
+        drift = copies.drift(pairs.repartition(2), docs, "text_id", "text").first()
+        with_words = plans.pair_identity(spark, str(tmp_path)).count()
+    finally:
+        spark.conf.set("spark.sql.maxBroadcastTableSize", most)
+    assert (drift.only_a, drift.only_b, drift.drifted, with_words) == ([], ["Another sentence is added."], True, 1)
