@@ -9,6 +9,7 @@ from marginalia import catalogue
 from marginalia.functions import text
 from marginalia.operators import blocks as block_ops
 from marginalia.operators import copies, ledger
+from marginalia.operators.skew import large
 from marginalia.plans import blocks as block_plans
 from marginalia.plans.blocks import _B, _normal, _trim
 from marginalia.plans.tables_audit import JUDGED, TablesAudit, sibling_rows
@@ -48,7 +49,7 @@ def copy_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pair_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key and fingerprint of each pair."""
-    words = _docs(spark, sf_dir).select(F.col("text_id").alias("id"), text.words("text").alias("words"))
+    words = large(_docs(spark, sf_dir).select(F.col("text_id").alias("id"), text.words("text").alias("words")))
     df = _pairs(spark, sf_dir).join(words.toDF("a", "words_a"), "a").join(words.toDF("b", "words_b"), "b")
     a, b = F.col("a"), F.col("b")
     return df.select(copies.pair_key(a, b).alias("key"), copies.pair_fingerprint(a, F.col("words_a"), b, F.col("words_b")).alias("fingerprint"))
@@ -138,7 +139,7 @@ def _plain_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _plain_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(problem, key, fingerprint) of the findings that SQL can make as well: plain ones on whole blocks, and copies that drifted apart."""
     docs = _docs(spark, sf_dir)
-    words = docs.select(F.col("text_id").alias("id"), text.words("text").alias("words"))
+    words = large(docs.select(F.col("text_id").alias("id"), text.words("text").alias("words")))
     a, b = F.col("a"), F.col("b")
     drifted = copies.drift(_pairs(spark, sf_dir), docs, "text_id", "text").where("drifted").join(words.toDF("a", "words_a"), "a").join(words.toDF("b", "words_b"), "b")
     pairs = drifted.select(F.when(F.col("touches_code"), "drifted-copy-code").otherwise("drifted-copy-prose").alias("problem"), copies.pair_key(a, b).alias("key"), copies.pair_fingerprint(a, F.col("words_a"), b, F.col("words_b")).alias("fingerprint"))
@@ -164,7 +165,7 @@ def plain_problem_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plain_sibling_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J5-J8 over the plain findings of blocks."""
-    of = _docs(spark, sf_dir).select(F.col("text_id").alias("id"), F.regexp_replace("editor_ref", r":\d+:\d+$", "").alias("file"))
+    of = large(_docs(spark, sf_dir).select(F.col("text_id").alias("id"), F.regexp_replace("editor_ref", r":\d+:\d+$", "").alias("file")))
     pairs = _pairs(spark, sf_dir).select("a", "b").join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     states = ledger.applied(finding_rows(spark, sf_dir), _plain_issues(spark, sf_dir)).withColumn("accepted", F.col("state") == "accepted")
     return copies.sibling_findings(written(states.select("problem", "file", "accepted")), written(copies.sibling_files(pairs)))
