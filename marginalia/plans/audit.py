@@ -10,6 +10,7 @@ from marginalia import catalogue
 from marginalia.functions import html, text, urls
 from marginalia.operators import blocks as block_ops
 from marginalia.operators import copies, images, ledger, links, pairing, paths, prose
+from marginalia.operators.skew import large
 from marginalia.session import written
 from marginalia.settings import Settings
 from marginalia.sources import tree
@@ -178,7 +179,7 @@ class Audit:
 
     def copy_findings(self) -> list[DataFrame]:
         """Copies that drifted apart in code or in prose, and code that stands in several courses."""
-        seen = self._seen().withColumn("words", text.words("text"))
+        seen = large(self._seen().withColumn("words", text.words("text")))
         pairs = self.copies().where("drifted").join(seen.select(F.col("id").alias("a"), F.col("words").alias("wa"), "found", "lesson_url"), "a").join(seen.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
         a, b = F.col("a"), F.col("b")
         drifted = pairs.select(

@@ -13,6 +13,7 @@ from marginalia import catalogue
 from marginalia.functions import text, urls
 from marginalia.operators import blocks as block_ops
 from marginalia.operators import copies, pairing, paths
+from marginalia.operators.skew import large
 from marginalia.plans import blocks as block_plans
 from marginalia.plans import content
 from marginalia.plans.audit import ABOUT_COPIES, Audit
@@ -100,7 +101,7 @@ class TablesAudit(Audit):
         return copies.sibling_findings(rows.withColumn("accepted", F.col("state") == "accepted"), self.sibling_files())
 
     def sibling_files(self) -> DataFrame:
-        of = self._seen().select("id", "found")
+        of = large(self._seen().select("id", "found"))
         pairs = self.copies().select("a", "b").join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b")
         return copies.sibling_files(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
 

@@ -61,6 +61,7 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder, read back: a plan that knows nothing of how they were made.
 
+    Joins with it are sorted: the size of its files says little about that of the columns that are read, or of what is exploded from them.
     It stays until `forget_written`, at the latest the end of the driver's process.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
@@ -68,7 +69,7 @@ def written(df: DataFrame) -> DataFrame:
         atexit.register(forget_written, df.sparkSession)
     _WRITTEN.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")
 
 
 def remove(spark: SparkSession, name: str) -> None:
