@@ -91,7 +91,7 @@ def sibling_findings(findings: DataFrame, siblings: DataFrame) -> DataFrame:
     """
     files = findings.select("problem", "file", "accepted").distinct()
     opened, done = files.where("not accepted").select("problem", "file"), files.where("accepted").select("problem", "file")
-    there = opened.withColumnRenamed("file", "twin")
+    there, siblings = large(opened.withColumnRenamed("file", "twin")), large(siblings)
     mine = opened.join(siblings, "file")
     uneven = mine.join(there, ["problem", "twin"], "left_anti").withColumn("rule", F.lit("uneven-copy"))
     shared = mine.join(there, ["problem", "twin"], "left_semi").where("file <= twin").withColumn("rule", F.lit("shared-finding"))

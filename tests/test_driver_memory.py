@@ -59,3 +59,15 @@ def test_top_pairs(spark, sf_dir):
 def test_copy_totals(spark, sf_dir):
     with nothing_is_sent(spark):
         assert rows(plans.copy_totals(spark, sf_dir)) == [(1, 0, 1)]
+
+
+SIBLINGS = [("half-accepted-copy", "A", "B"), ("shared-finding", "A", "B")]
+
+
+def siblings(df):
+    return sorted((r.rule, r.file[8], r.twin[8]) for r in df.where("problem = 'empty-blocks'").collect())
+
+
+def test_plain_sibling_findings(spark, sf_dir):
+    with nothing_is_sent(spark):
+        assert siblings(plans.plain_sibling_findings(spark, sf_dir)) == SIBLINGS
