@@ -71,3 +71,13 @@ def siblings(df):
 def test_plain_sibling_findings(spark, sf_dir):
     with nothing_is_sent(spark):
         assert siblings(plans.plain_sibling_findings(spark, sf_dir)) == SIBLINGS
+
+
+PAIR = ("drifted-copy-prose", "A/l/i :: B/l/i", "open")
+EMPTY = [("empty-blocks", "A/l/i#0", "accepted"), ("empty-blocks", "A/l/i#1", "open"), ("empty-blocks", "B/l/i#0", "open")]
+LEFT = [("empty-blocks", "A/m/i#1", "A/l/i#1", "renamed"), ("empty-blocks", "C/l/i#0", None, "resolved")]
+
+
+def test_plain_ledger_states(spark, sf_dir):
+    with nothing_is_sent(spark):
+        assert rows(plans.plain_ledger_states(spark, sf_dir)) == sorted([PAIR, *EMPTY])
