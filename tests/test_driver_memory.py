@@ -86,3 +86,8 @@ def test_plain_ledger_states(spark, sf_dir):
 def test_plain_problem_totals(spark, sf_dir):
     with nothing_is_sent(spark):
         assert [r[1:] for r in rows(plans.plain_problem_totals(spark, sf_dir))] == [("empty-blocks", 2, 1, 0), ("drifted-copy-prose", 1, 0, 0)]
+
+
+def test_plain_ledger_unmatched(spark, sf_dir):
+    with nothing_is_sent(spark):
+        assert rows(plans.plain_ledger_unmatched(spark, sf_dir)) == LEFT
