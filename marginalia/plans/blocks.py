@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from marginalia.functions import images, text
 from marginalia.operators import blocks as ops
 from marginalia.operators import pairing
+from marginalia.operators.skew import large
 from marginalia.sources.tables import table
 
 REGISTRY = r"(?:hub|reg|pull)\.[a-z0-9-]+\.example/"
@@ -208,7 +209,7 @@ def unknown_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unused_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of the taxonomy that no block uses."""
-    return table(spark, sf_dir, "lang_kinds", "lang").join(table(spark, sf_dir, "code_blocks", "lang"), "lang", "left_anti")
+    return table(spark, sf_dir, "lang_kinds", "lang").join(large(table(spark, sf_dir, "code_blocks", "lang").distinct()), "lang", "left_anti")
 
 
 def anomaly_tally(spark: SparkSession, sf_dir: str) -> DataFrame:

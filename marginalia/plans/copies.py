@@ -97,9 +97,9 @@ def _issues(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
     df = table(spark, sf_dir, "known_issues", "problem", "key", "fingerprint", "note", "added").distinct()
     df = ledger.latest(df.withColumn("key", F.when(F.col("problem").isin(*RULED), F.col("key")).otherwise(F.regexp_replace("key", r"::[^\s:]+$", ""))))
     ruled = found.where("key <> whole").select("problem", F.col("key").alias("own"), F.col("whole").alias("key")).distinct()
-    each = df.join(ruled, ["problem", "key"]).withColumn("key", F.col("own")).drop("own")
-    each = each.join(df.select("problem", "key"), ["problem", "key"], "left_anti")
-    return df.join(ruled, ["problem", "key"], "left_anti").unionByName(each)
+    each = df.join(large(ruled), ["problem", "key"]).withColumn("key", F.col("own")).drop("own")
+    each = each.join(large(df.select("problem", "key")), ["problem", "key"], "left_anti")
+    return df.join(large(ruled), ["problem", "key"], "left_anti").unionByName(each)
 
 
 def _judged(audit: TablesAudit) -> DataFrame:

@@ -49,7 +49,7 @@ class TablesAudit(Audit):
         self._findings: DataFrame | None = None
         self.courses = self._courses()
         named = tree.items(self.courses)
-        self.files = table(spark, sf_dir, "content_files", "path").distinct().join(content.files(spark, sf_dir), "path", "left")
+        self.files = table(spark, sf_dir, "content_files", "path").distinct().join(large(content.files(spark, sf_dir)), "path", "left")
         self.resolved = written(paths.resolved(named, self.files.select("path")))
         pages = self.files.where("html is not null").select(F.col("path").alias("found"), "html")
         self.items = written(self.resolved.where("found is not null").join(pages, "found").withColumn("base", F.concat_ws("/", "course_dir", "lesson_slug", "item_id")))
@@ -68,13 +68,13 @@ class TablesAudit(Audit):
         lesson = F.struct(F.col("lesson_id").alias("id"), "slug", "title", F.col("sort_order").alias("order"), "description_html", F.filter(item, lambda i: i["file"].rlike(r"\S")).alias("content_items"))
         lessons = meta.groupBy("course_dir").agg(F.collect_list(lesson).alias("lessons"))
         df = df.select("course_dir", F.coalesce("title", "course_dir").alias("title"), F.struct("title", "short_description", "long_description_html").alias("details"), doc.alias("details_doc"), F.to_json(F.struct("domains")).alias("published_doc"), slugs.alias("slugs"))
-        return written(df.join(lessons, "course_dir", "full").join(last, "course_dir", "left"))
+        return written(df.join(large(lessons), "course_dir", "full").join(large(last), "course_dir", "left"))
 
     def _blocks(self) -> DataFrame:
         rows = block_plans.classified(self.spark, self.sf_dir, "block_id", "raw_code", "anomalies", "src_file", "src_line", *block_plans.ITEM, "ordinal")
         meta = _last(table(self.spark, self.sf_dir, "lessons_meta", "course_dir", "slug", "updated_at").withColumn("at", F.concat_ws("/", "course_dir", "slug")), "at", "updated_at").join(self.courses.select("course_dir", F.col("url").alias("course_url")), "course_dir")
         meta = meta.select("course_dir", F.col("slug").alias("lesson_slug"), urls.lesson_url("course_url", "slug").alias("lesson_url"))
-        rows = rows.join(meta, ["course_dir", "lesson_slug"], "left").withColumn("lang", F.coalesce("lang", F.lit(""))).withColumn("fingerprint", text.fingerprint("code"))
+        rows = rows.join(large(meta), ["course_dir", "lesson_slug"], "left").withColumn("lang", F.coalesce("lang", F.lit(""))).withColumn("fingerprint", text.fingerprint("code"))
         rows = rows.withColumn("editor_ref", F.concat_ws(":", "src_file", F.coalesce("src_line", F.lit(1)), F.lit(1)))
         return written(pairing.linked(rows, block_plans.ITEM))
 

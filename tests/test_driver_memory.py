@@ -91,3 +91,8 @@ def test_plain_problem_totals(spark, sf_dir):
 def test_plain_ledger_unmatched(spark, sf_dir):
     with nothing_is_sent(spark):
         assert rows(plans.plain_ledger_unmatched(spark, sf_dir)) == LEFT
+
+
+def test_ledger_unmatched(spark, sf_dir):
+    with nothing_is_sent(spark):
+        assert rows(plans.ledger_unmatched(spark, sf_dir)) == LEFT
