@@ -96,3 +96,9 @@ def test_plain_ledger_unmatched(spark, sf_dir):
 def test_ledger_unmatched(spark, sf_dir):
     with nothing_is_sent(spark):
         assert rows(plans.ledger_unmatched(spark, sf_dir)) == LEFT
+
+
+def test_problem_totals(spark, sf_dir):
+    with nothing_is_sent(spark):
+        got = {r[1]: tuple(r[2:]) for r in plans.problem_totals(spark, sf_dir).collect()}
+    assert got["empty-blocks"] == (2, 1, 0) and got["drifted-copy-prose"] == (1, 0, 0)
