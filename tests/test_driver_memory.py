@@ -102,3 +102,8 @@ def test_problem_totals(spark, sf_dir):
     with nothing_is_sent(spark):
         got = {r[1]: tuple(r[2:]) for r in plans.problem_totals(spark, sf_dir).collect()}
     assert got["empty-blocks"] == (2, 1, 0) and got["drifted-copy-prose"] == (1, 0, 0)
+
+
+def test_sibling_findings(spark, sf_dir):
+    with nothing_is_sent(spark):
+        assert siblings(plans.sibling_findings(spark, sf_dir)) == SIBLINGS
