@@ -38,4 +38,4 @@ def split_join(left: DataFrame, right: DataFrame, keys: Sequence[str], by: str,
     copies = F.when(F.col("hot_"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
     one = left.join(marks, list(keys), "left").withColumn("part_", dealt).drop("hot_")
     two = right.join(marks, list(keys), "left").withColumn("part_", F.explode(copies)).drop("hot_")
-    return one.join(two, [*keys, "part_"]).drop("part_")
+    return large(one).join(two, [*keys, "part_"]).drop("part_")  # a hint on `left` holds for its join with the marks alone

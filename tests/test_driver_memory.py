@@ -6,6 +6,8 @@ from contextlib import contextmanager
 import pytest
 
 from marginalia import catalogue
+from marginalia.operators import copies, skew
+from marginalia.operators.skew import hot_keys
 from marginalia.plans import blocks as block_plans
 from marginalia.plans import copies as plans
 
@@ -56,6 +58,16 @@ def test_top_pairs(spark, sf_dir):
     assert [(r.a, r.b) for r in got] == [("A/l/i", "B/l/i")] and 0.9 < got[0].score < 1
 
 
+def test_hot_runs(spark, sf_dir, monkeypatch):
+    """The rows of hot runs are joined by sorting too; the list of these runs alone may be sent."""
+    monkeypatch.setattr(copies, "hot_keys", lambda sizes, keys, size: hot_keys(sizes, keys, size, hot=1))
+    monkeypatch.setattr(skew.F, "broadcast", lambda df: df.hint("merge"))
+    with nothing_is_sent(spark):
+        assert [(r.a, r.b) for r in plans.top_pairs(spark, sf_dir).collect()] == [("A/l/i", "B/l/i")]
+        assert rows(plans.copy_totals(spark, sf_dir)) == [(1, 0, 1)]
+        assert [r[1:] for r in rows(plans.plain_problem_totals(spark, sf_dir))] == [("empty-blocks", 2, 1, 0), ("drifted-copy-prose", 1, 0, 0)]
+
+
 def test_copy_totals(spark, sf_dir):
     with nothing_is_sent(spark):
         assert rows(plans.copy_totals(spark, sf_dir)) == [(1, 0, 1)]
