@@ -5,6 +5,8 @@ Blanks are the set BLANKS (that of ECMAScript), not Java's: a no-break space at
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -24,6 +26,12 @@ def _column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once. Functions over arrays have no common subexpressions: a value would be worked out wherever
+    it stands in them, and inside a lambda for each element."""
+    return F.transform(F.array(value), f)[0]
+
+
 def trim_blanks(c: Column | str) -> Column:
     return F.regexp_replace(_column(c), rf"\A[{BLANKS}]+|[{BLANKS}]+\z", "")
 
@@ -94,12 +102,12 @@ def line_and_column(text: Column | str, offset: Column) -> Column:
 
 def match_offsets(value: Column | str, pattern: str) -> Column:
     """array<int>: 0-based offsets of the matches of a pattern that doesn't match the empty string."""
-    value = _column(value)
-    parts = F.transform(F.split(value, pattern, -1), lambda p: F.length(p))
-    hits = F.transform(F.regexp_extract_all(value, F.lit(pattern), 0), lambda h: F.length(h))
+    parts = lambda v: F.transform(F.split(v, pattern, -1), lambda p: F.length(p))
+    hits = lambda v: F.transform(F.regexp_extract_all(v, F.lit(pattern), 0), lambda h: F.length(h))
     # Before match i stand the parts 0 .. i and the matches 0 .. i - 1.
     before = lambda xs, n: F.aggregate(F.slice(xs, F.lit(1), n), F.lit(0), lambda a, x: a + x)
-    return F.transform(hits, lambda _, i: before(parts, i + 1) + before(hits, i))
+    sizes = once(_column(value), lambda v: F.struct(parts(v).alias("parts"), hits(v).alias("hits")))
+    return once(sizes, lambda s: F.transform(s["hits"], lambda _, i: before(s["parts"], i + 1) + before(s["hits"], i)))
 
 
 def run_sets(c: Column | str, n: int = 5) -> Column:

@@ -28,15 +28,18 @@ MARKER = r"\b(?:TODO|FIXME|FIX|TBD|XXX|PLACEHOLDER|TO BE (?:ADDED|WRITTEN|DONE|C
 
 def markdown(source: Column) -> Column:
     """array<struct<rule, match, offset>>: the first match of each rule outside code, and its 0-based place in the source."""
-    free = html.code_free(source)
-    hits = [F.when(free.rlike(p), F.struct(F.lit(rule).alias("rule"), text.shorten(F.regexp_extract(free, f"({p})", 1)).alias("match"), (F.regexp_instr(free, F.lit(p)) - 1).alias("offset"))) for rule, p in MARKDOWN.items()]
-    return F.array_compact(F.array(*hits))
+
+    def hits(free: Column) -> Column:
+        each = [F.when(free.rlike(p), F.struct(F.lit(rule).alias("rule"), text.shorten(F.regexp_extract(free, f"({p})", 1)).alias("match"), (F.regexp_instr(free, F.lit(p)) - 1).alias("offset"))) for rule, p in MARKDOWN.items()]
+        return F.array_compact(F.array(*each))
+
+    return text.once(html.code_free(source), hits)
 
 
 def flattened_commands(source: Column) -> Column:
     """array<struct<match, offset>>: paragraphs and list items, whole, with a long option and its value outside code."""
-    free = html.code_free(source)
-    elements = F.zip_with(F.regexp_extract_all(free, F.lit(f"({PROSE_ELEMENT})"), 1), text.match_offsets(free, PROSE_ELEMENT), lambda e, o: F.struct(e.alias("match"), o.alias("offset")))
+    both = lambda e, o: F.struct(e.alias("match"), o.alias("offset"))
+    elements = text.once(html.code_free(source), lambda free: F.zip_with(F.regexp_extract_all(free, F.lit(f"({PROSE_ELEMENT})"), 1), text.match_offsets(free, PROSE_ELEMENT), both))
     return F.filter(elements, lambda e: F.regexp_replace(e["match"], r"^<[^>]*>|</[^>]*>\z", "").rlike(FLAG))
 
 
@@ -57,8 +60,12 @@ def markers(value: Column) -> Column:
 
 def unwritten(source: Column) -> Column:
     """array<struct<rule, match, offset>> of a document's drafts, with their 0-based places in the source."""
-    parts = html.prose_column(source)
-    alone = comment_only(source)
+    read = {"source": source, "parts": html.prose_column(source), "visible": html.visible_column(source), "mask": html.prose_mask(source), "alone": comment_only(source)}
+    return text.once(F.struct(*(c.alias(name) for name, c in read.items())), _drafts)
+
+
+def _drafts(read: Column) -> Column:
+    parts, alone = read["parts"], read["alone"]
     comments = F.zip_with(parts["comments"], parts["starts"], lambda c, o: F.struct(c.alias("body"), (o + 4).alias("at")))
     comments = F.filter(comments, lambda c: ~F.array_contains(alone, F.concat(F.lit("<!--"), c["body"], F.lit("-->"))))
 
@@ -66,13 +73,13 @@ def unwritten(source: Column) -> Column:
         both = F.zip_with(matches, offsets, lambda m, o: F.struct(F.lit(rule).alias("rule"), m.alias("match"), F.coalesce(o, F.lit(0)).alias("offset")))
         return F.filter(both, lambda r: r["match"].isNotNull())
 
-    visible = html.visible_column(source)
+    visible = read["visible"]
     stub = F.when(is_stub(visible), F.array(text.shorten(visible))).otherwise(F.array().cast("array<string>"))
     inside = F.flatten(F.transform(comments, lambda c: F.transform(text.match_offsets(c["body"], MARKER), lambda o: o + c["at"])))
     return F.concat(
         rows("stub-body", stub, F.array(F.lit(0))),
-        rows("comment-only", F.transform(alone, lambda m: text.shorten(m)), text.match_offsets(source, COMMENT_ONLY)),
-        rows("marker-in-prose", markers(parts["prose"]), text.match_offsets(html.prose_mask(source), MARKER)),
+        rows("comment-only", F.transform(alone, lambda m: text.shorten(m)), text.match_offsets(read["source"], COMMENT_ONLY)),
+        rows("marker-in-prose", markers(parts["prose"]), text.match_offsets(read["mask"], MARKER)),
         rows("marker-in-comment", F.flatten(F.transform(comments, lambda c: markers(c["body"]))), inside),
     )
 

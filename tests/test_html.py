@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from marginalia.functions import html as h
+from marginalia.operators import prose
 
 PAGE = """<h2>One &amp; two</h2>
 <!-- TODO: check -->
@@ -44,3 +45,11 @@ def test_masks_keep_length(spark):
 def test_odd_sources():
     for source in ("<", "<<<", "</p>", "<p", "<a href=x", "<!--", "<pre><pre></pre>", "<" * 2000, "<b>" * 3000, "<p title='>'>x</p>"):
         h.blocks(source), h.links(source), h.inline_code(source), h.visible_text(source), h.script_entities(source)
+
+
+def test_sources_are_worked_out_once(spark):
+    """Each use of a source inside a mask would double the work of the masks in it."""
+    df = spark.createDataFrame([(PAGE,)], "html string")
+    for f in (h.code_free, h.prose_mask, prose.markdown, prose.flattened_commands):
+        plan = df.select(f(F.col("html")).alias("m"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("html#") == 2, f  # in the projection and in the relation
